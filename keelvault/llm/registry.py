@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keelvault.llm import decontaminate, mixing, sharding, tokens
+from keelvault.llm import decontaminate, lines, mixing, sharding, tokens
 
 QUERIES = {
+    "op1_line_frequency": lines.op1_line_frequency,
     "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     "op7_token_cache": tokens.op7_token_cache,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -13,6 +14,7 @@ QUERIES = {
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES = {
+    "op1_line_frequency": lines.ORACLE_OP1,
     "op9_decontaminate": decontaminate.ORACLE_OP9,
     "op10_mix_sources": mixing.ORACLE_OP10,
 }
