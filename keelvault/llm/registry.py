@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keelvault.llm import decontaminate, lines, mixing, secrets, sharding, tokens, warc
+from keelvault.llm import decontaminate, lines, mixing, neardup, secrets, sharding, tokens, warc
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
     "op3_guess_cost_secrets": secrets.op3_guess_cost_secrets,
+    "op4_bbit_minhash": neardup.op4_bbit_minhash,
     "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     "op7_token_cache": tokens.op7_token_cache,
     "op8_warc_chain": warc.op8_warc_chain,
@@ -17,6 +18,7 @@ QUERIES = {
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES = {
     "op1_line_frequency": lines.ORACLE_OP1,
+    "op4_bbit_minhash": neardup.ORACLE_OP4,
     "op8_warc_chain": warc.ORACLE_OP8,
     "op9_decontaminate": decontaminate.ORACLE_OP9,
     "op10_mix_sources": mixing.ORACLE_OP10,
