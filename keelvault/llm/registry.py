@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keelvault.llm import decontaminate, lines, mixing, neardup, secrets, sharding, tokens, warc
+from keelvault.llm import decontaminate, lines, mixing, neardup, secrets, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
     "op3_guess_cost_secrets": secrets.op3_guess_cost_secrets,
     "op4_bbit_minhash": neardup.op4_bbit_minhash,
     "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
+    "op6_toxicity_gru": toxicity.op6_toxicity_gru,
     "op7_token_cache": tokens.op7_token_cache,
     "op8_warc_chain": warc.op8_warc_chain,
     "op9_decontaminate": decontaminate.op9_decontaminate,
