@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keelvault.llm import decontaminate, lines, mixing, neardup, secrets, sharding, tokens, toxicity, warc
+from keelvault.llm import decontaminate, language, lines, mixing, neardup, secrets, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
+    "op2_language_spans": language.op2_language_spans,
     "op3_guess_cost_secrets": secrets.op3_guess_cost_secrets,
     "op4_bbit_minhash": neardup.op4_bbit_minhash,
     "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
