@@ -1,22 +1,27 @@
 """Near-duplicate documents by b-bit MinHash, with links confirmed on the full shingle sets.
 
 1. One pass over the texts makes a sketch of each: its number of distinct shingles, a digest of the
-   set, band keys of its minima, and the low two bits of all minima, packed.
+   set, band keys of its minima, and the low bits of all minima, packed.
 2. Documents with equal sets are one class, known by its smallest id. Only classes go on.
 3. In each bucket of a band every member is paired with the smallest one, so pairs are linear in
    the bucket. The packed bits give a collision-corrected estimate of the similarity that drops
-   pairs far below the limit; the rest are confirmed on the texts.
-4. Connected components of the links. In a bucket that still holds several components, the members
-   outside its largest one are paired with all members of other components, estimated and
-   confirmed in the same way. So no pair of a bucket stays unseen unless its ends are connected.
+   pairs far below the limit; the rest are confirmed on the texts, and connected components follow.
+4. Buckets that still hold several components are paired once more, with the member that lies in
+   the largest buckets, since it is the least changed one of its group.
+5. What then remains: members outside a bucket's largest component are held against all of the
+   bucket that they aren't connected with; in small buckets as a join whose condition holds the
+   estimate, in large ones in blocks of bounded size that give links only. So no pair of a bucket
+   stays unseen unless its ends are connected, and pairs of a group are never written out.
 
-A pair at the limit shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, 3e-6."""
+A pair at the limit shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, 1.2e-5; its
+estimate falls below what is confirmed with probability 5e-6."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +29,11 @@ from pyspark.sql import types as T
 
 from keelvault.llm.common import documents, stored
 
-ROWS, BANDS, BITS = 5, 32, 2
-#: Estimates have a standard deviation of 0.04 at the limit; pairs more than five of them below are dropped.
-MARGIN = 0.2
+ROWS, BANDS, BITS = 7, 48, 4
+#: Estimates have a standard deviation of 0.023 at the limit; pairs more than four of them below are dropped.
+MARGIN = 0.1
+#: Buckets of more members are worked on in blocks of so many rows.
+LARGE, BLOCK = 64, 512
 #: Sets of ids up to so many rows are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 300_000
 
@@ -99,36 +106,42 @@ def sketcher(width: int):
 
 def estimate(one: Column, other: Column) -> Column:
     """Similarity of two packed signatures: the share of equal fields, corrected for chance collisions."""
-    even = F.lit(0x5555555555555555)
+    lowest = F.lit(0x1111111111111111)
     different = F.lit(0)
     for i in range(ROWS * BANDS * BITS // 64):
         x = F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))
-        different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        different = different + F.bit_count(x.bitwiseAND(lowest))
     share = 1 - different / float(ROWS * BANDS)
     chance = 2.0**-BITS
     return (share - chance) / (1 - chance)
 
 
+def shingle_set(text: str | None, width: int) -> set:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return set()
+    return set(zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else {tuple(words)}
+
+
+def reaches(a: set, b: set, percent: int) -> bool:
+    both = len(a & b)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def confirmer(width: int, percent: int):
     """(text, text) -> whether the shingle sets reach the similarity, as a column function."""
 
     def confirm(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        def shingles(text):
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if not words:
-                return set()
-            return set(zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else {tuple(words)}
-
         known, of_known = None, set()
         for one, other in batches:
             out = []
             for x, y in zip(one, other, strict=True):
                 x = x.as_py()
                 if x != known or known is None:
-                    known, of_known = x, shingles(x)
-                b = shingles(y.as_py())
-                both = len(of_known & b)
-                out.append(both > 0 and 100 * both >= percent * (len(of_known) + len(b) - both))
+                    known, of_known = x, shingle_set(x, width)
+                out.append(reaches(of_known, shingle_set(y.as_py(), width), percent))
             yield pa.array(out, pa.bool_())
 
     return F.arrow_udf(confirm, "boolean").asNondeterministic()
@@ -139,23 +152,84 @@ def near(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the ``pairs`` (a, b) of class ids those that are links, by estimate and then by the texts."""
-    sigs = sketches.select("node", "sig")
-    likely = (
-        pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-        .join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-        .where(estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - MARGIN)
-        .select("a", "b")
-        .distinct()
-    )
-    likely = stored(likely, "likely")
-    wanted = stored(likely.select(F.explode(F.array("a", "b")).alias("_kv_node")).distinct(), "wanted")
-    texts = stored(docs.select("doc_id", "text").join(near(wanted), F.col("doc_id") == F.col("_kv_node"), "left_semi"), "texts")
-    both = likely.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the documents whose ids are in ``nodes`` (node)."""
+    wanted = stored(nodes.select(F.col("node").alias("_kv_node")).distinct(), "wanted")
+    return stored(docs.join(near(wanted), F.col("doc_id") == F.col("_kv_node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+
+
+def confirmed(likely: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of class ids those whose texts are links."""
+    likely = stored(likely.select("a", "b").distinct(), "likely")
+    texts = texts_of(likely.select(F.explode(F.array("a", "b")).alias("node")), docs)
+    both = likely.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return stored(both.withColumn("_kv_link", confirmer(width, percent)("text_a", "text_b")).where("_kv_link").select("a", "b").distinct(), "links")
 
 
+def star_links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the pairs (a, b) of members with their bucket's leader, by estimate and then by the texts."""
+    sigs = sketches.select("node", "sig")
+    joined = pairs.distinct().join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+    return confirmed(joined.where(estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - MARGIN), docs, width, percent)
+
+
+def block_meeter(width: int, percent: int):
+    """Links of one block: rows of strays against rows of other members of a bucket. A pair counts
+    only in the first band that it shares, and only while its ends are not known to be connected."""
+    least = percent / 100 - MARGIN
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        stray = group["stray"].to_numpy()
+        s, m = group[stray], group[~stray]
+        if len(s) and len(m):
+            bucket = group["bucket"].iloc[0]
+            s_bands, m_bands = np.stack(s["bands"].to_list()), np.stack(m["bands"].to_list())
+            s_sig, m_sig = (np.stack(x["sig"].to_list()).view(np.uint64) for x in (s, m))
+            here = int((s_bands[0] == bucket).argmax())
+            s_comp, m_comp = s["component"].to_numpy(), m["component"].to_numpy()
+            s_text, m_text = s["text"].to_list(), m["text"].to_list()
+            s_node, m_node = s["node"].to_list(), m["node"].to_list()
+            sets: dict[int, set] = {}
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            chance = 2.0**-BITS
+            for i in range(len(s)):
+                earlier = (m_bands[:, :here] == s_bands[i, :here]).any(axis=1)
+                x = m_sig ^ s_sig[i]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                different = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+                like = (1 - different / (ROWS * BANDS) - chance) / (1 - chance)
+                for j in np.flatnonzero((like >= least) & ~earlier & (m_comp != s_comp[i])):
+                    a, b = root(s_comp[i]), root(m_comp[j])
+                    if a == b:
+                        continue
+                    if -1 - i not in sets:
+                        sets[-1 - i] = shingle_set(s_text[i], width)
+                    if j not in sets:
+                        sets[j] = shingle_set(m_text[j], width)
+                    if reaches(sets[-1 - i], sets[j], percent):
+                        links.append((s_node[i], m_node[j]))
+                        parent[max(a, b)] = min(a, b)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return meet
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components: (bucket, node, leader, component, major, n, strays)."""
+    told = members.join(labels, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("component"))
+    sizes = told.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"))
+    return stored(told.join(totals.where("strays > 0"), "bucket"), "mixed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
 
@@ -197,20 +271,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = sketches.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
     members = stored(spread.join(shared, "bucket"), "members")
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(stars, sketches, docs, width, percent)
+    links = star_links(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, docs, width, percent)
     labels = components(links)
 
-    # Buckets that still hold several components.
-    told = members.join(labels, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("component"))
-    sizes = told.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    told = stored(told.join(mixed, "bucket"), "mixed")
-    strays = told.where("component <> major").select("bucket", F.col("node").alias("a"), F.col("component").alias("_kv_ca"))
-    others = told.select("bucket", F.col("node").alias("b"), F.col("component").alias("_kv_cb"), F.col("leader"))
-    # Pairs with the leader have been looked at.
-    across = strays.join(others, "bucket").where("_kv_ca <> _kv_cb AND a <> leader AND b <> leader").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(across, sketches, docs, width, percent)
+    mixed = mixed_buckets(members, labels)
+    middle = mixed.groupBy("node").agg(F.sum("n").alias("weight"))
+    middles = mixed.join(middle, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct("weight", "node")).alias("x"))
+    again = mixed.join(middles, "bucket").where("component <> x.component").select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
+    links = links.unionByName(star_links(again, sketches, docs, width, percent))
+    labels = components(links)
+
+    mixed = mixed_buckets(members, labels)
+    stray = F.col("component") != F.col("major")
+    small = mixed.where(F.col("n") <= LARGE).join(sketches.select("node", "sig"), "node")
+    small = stored(small.select("bucket", "node", "component", "sig", stray.alias("stray")), "small")
+    x, y = small.where("stray").alias("x"), small.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
+    across = x.join(y, apart & (estimate(F.col("x.sig"), F.col("y.sig")) >= percent / 100 - MARGIN)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    more = confirmed(across, docs, width, percent)
+
+    large = stored(mixed.where(F.col("n") > LARGE).select("bucket", "node", "component", stray.alias("stray"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kv_m"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("_kv_s")), "large")
+    if not large.isEmpty():
+        full = large.join(sketches, "node").join(texts_of(large, docs), "node")
+        h = F.xxhash64("node", F.lit(4))
+        one, every = F.pmod(h, F.col("_kv_s")).cast("int"), F.pmod(h, F.col("_kv_m")).cast("int")
+        columns = ["bucket", "node", "component", "bands", "sig", "text"]
+        against = full.select(*columns, F.lit(False).alias("stray"), every.alias("_kv_j"), F.explode(F.sequence(F.lit(0), F.col("_kv_s") - 1)).alias("_kv_i"))
+        held = full.where("stray").select(*columns, F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("_kv_m") - 1)).alias("_kv_j"), one.alias("_kv_i"))
+        # A group is a block of strays and a block of members.
+        found = against.unionByName(held).groupBy("bucket", "_kv_i", "_kv_j").applyInPandas(block_meeter(width, percent), "a long, b long")
+        more = more.unionByName(stored(found.distinct(), "more"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
