@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from keelvault.llm.common import documents
 
-#: Bytes that end a word: ASCII other than digits and letters. All other bytes belong to words.
-_BREAK = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: ASCII other than digits and letters ends a word and A-Z become lower case; all other bytes are of words.
+_NORMAL = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 #: A slice of the benchmark of at most so many words becomes one automaton (about 100 bytes a window word).
 SLICE_WORDS = 500_000
 
@@ -33,12 +33,7 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("i
 
 def normal_words(text: str | None) -> list[bytes]:
     """Words of ``text`` with A-Z in lower case, as UTF-8 bytes."""
-    table = bytes(32 if chr(c) in _BREAK and c < 128 else ord(chr(c).lower()) if c < 128 else c for c in range(256))
-    return (text or "").encode().translate(table).split()
-
-
-def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
-    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    return (text or "").encode().translate(_NORMAL).split()
 
 
 def slices(bench: DataFrame, slice_words: int) -> list[list[tuple[str, list[bytes]]]]:
@@ -75,11 +70,10 @@ def scanner(items: list[tuple[str, list[bytes]]], width: int):
         for window, whose in owners.items():
             automaton.add_word(window, (len(window), whose))
         automaton.make_automaton()
-        table = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
         for batch in batches:
             counts, hits, found = [], [], []
             for value in batch.cast(pa.binary()):
-                words = (value.as_py() or b"").translate(table).split()
+                words = (value.as_py() or b"").translate(_NORMAL).split()
                 covered: set[int] = set()
                 whose: set[str] = set()
                 if words:

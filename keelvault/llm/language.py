@@ -204,7 +204,7 @@ def tagger(model: dict, switch: float = SWITCH):
                 change = np.ones(len(begin), bool)
                 change[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
                 heads = np.flatnonzero(change)
-                tails = np.append(heads[1:], len(begin)) - 1
+                tails = np.append(heads[1:], len(begin))[: len(heads)] - 1
                 bounds = np.searchsorted(owner[heads], np.arange(len(part) + 1))
                 span_start = (begin[heads] - text_starts[owner[heads]]).tolist()
                 span_end = (end[tails] - text_starts[owner[heads]]).tolist()

@@ -100,11 +100,11 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str) -> DataFrame
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             table = spark.createDataFrame([], CACHE_SCHEMA)
-        return table.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("_kv_tokens"))
+        return table.where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("_kv_cached")).agg(F.max("n_tokens").alias("_kv_tokens"))
 
     # One row stands for each distinct missing text: the digests decide which, without the texts.
     row = F.xxhash64("doc_id")
-    missing = digested.groupBy("_kv_digest").agg(F.min(row).alias("_kv_row")).join(cached(), F.col("_kv_digest") == F.col("digest"), "left_anti")
+    missing = digested.groupBy("_kv_digest").agg(F.min(row).alias("_kv_row")).join(cached(), F.col("_kv_digest") == F.col("_kv_cached"), "left_anti")
     missing = stored(missing, "missing").withColumnsRenamed({"_kv_digest": "_kv_missing", "_kv_row": "_kv_first"})
     texts = digested.select("_kv_digest", row.alias("_kv_row"), text.alias("_kv_text"))
     texts = texts.join(missing, (F.col("_kv_row") == F.col("_kv_first")) & (F.col("_kv_digest") == F.col("_kv_missing")), "left_semi")
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str) -> DataFrame
     fresh.write.mode("append").parquet(cache_path)
 
     counts = cached()
-    joined = digested.join(counts, F.col("_kv_digest") == F.col("digest"), "left")
+    joined = digested.join(counts, F.col("_kv_digest") == F.col("_kv_cached"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in base.columns], "n_bytes", F.col("_kv_tokens").alias("n_tokens"))
 
 
