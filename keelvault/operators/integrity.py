@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import is_blank
 from keelvault.functions.names import normalize_identifier
-from keelvault.operators.load import HIGH_DATE, current_effectivity
+from keelvault.operators.load import current_effectivity, high_date
 from keelvault.operators.stage import LDTS, SOURCE
 
 
@@ -132,8 +132,7 @@ def parent_grain(stage: DataFrame, construct: str, pk: str) -> DataFrame:
 def driving_key_exclusive(eff: DataFrame, construct: str, pk: str, dfk: Sequence[str]) -> DataFrame:
     """Driving keys with several open relationships, and periods that run into the next one's."""
     current = current_effectivity(eff, pk)
-    high = F.lit(HIGH_DATE).cast("timestamp")
-    several = issue(current.where(F.col("END_DATE") == high).groupBy(*dfk).agg(F.count("*").alias("n")).where("n > 1"), "error", "E_EFFSAT_NO_DRIVING_KEY", f"{construct}.open")
+    several = issue(current.where(F.col("END_DATE") == high_date(eff)).groupBy(*dfk).agg(F.count("*").alias("n")).where("n > 1"), "error", "E_EFFSAT_NO_DRIVING_KEY", f"{construct}.open")
     following = F.lead("START_DATE").over(Window.partitionBy(*dfk).orderBy("START_DATE", "END_DATE", pk))
     overlap = issue(current.withColumn("_kv_next", following).where(F.col("_kv_next") < F.col("END_DATE")), "error", "E_EFFSAT_NO_DRIVING_KEY", f"{construct}.overlap")
     return several.unionByName(overlap)

@@ -107,6 +107,11 @@ def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequen
     return once.join(changed, [pk, LDTS], "left_semi").select(*columns)
 
 
+def high_date(df: DataFrame) -> Column:
+    """The end of an open relationship, with the type of the start dates (with or without time zone)."""
+    return F.lit(HIGH_DATE).cast(df.schema["START_DATE"].dataType)
+
+
 def current_effectivity(target: DataFrame, pk: str) -> DataFrame:
     """The latest record of each relationship by load time; of one load time, the open one."""
     end = "END_DATE"
@@ -127,10 +132,10 @@ def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Seque
     A driving key may have several columns and nulls. Rows that start before what they would close
     are left out: see ``rejected_effectivity``."""
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
-    opened = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).withColumn("END_DATE", F.lit(HIGH_DATE).cast("timestamp")).select(*columns)
+    opened = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).withColumn("END_DATE", high_date(batch)).select(*columns)
     if target is None:
         return opened
-    current = current_effectivity(target, pk).where(F.col("END_DATE") == F.lit(HIGH_DATE).cast("timestamp"))
+    current = current_effectivity(target, pk).where(F.col("END_DATE") == high_date(target))
     gone = current.alias("c").join(opened.select(pk).alias("o"), pk, "left_anti").alias("c")
     fresh = opened.join(current.select(pk), pk, "left_anti")
     successors = fresh.groupBy(*dfk).agg(F.min("START_DATE").alias("_kv_start"), F.max(LDTS).alias("_kv_ldts"), F.min(SOURCE).alias("_kv_source")).alias("s")
@@ -143,7 +148,7 @@ def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Seque
 
 def rejected_effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
     """New relationships of a batch that start before the open one of their driving key."""
-    current = current_effectivity(target, pk).where(F.col("END_DATE") == F.lit(HIGH_DATE).cast("timestamp"))
+    current = current_effectivity(target, pk).where(F.col("END_DATE") == high_date(target))
     fresh = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).join(current.select(pk), pk, "left_anti").alias("f")
     gone = current.join(batch.select(pk), pk, "left_anti")
     latest = gone.groupBy(*dfk).agg(F.max("START_DATE").alias("_kv_open")).alias("g")
@@ -158,7 +163,7 @@ def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: S
     before = F.lag(F.struct(pk, *sfk, "START_DATE")).over(w)
     marked = heads.withColumn("_kv_old", before)
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
-    opened = marked.withColumn("END_DATE", F.lit(HIGH_DATE).cast("timestamp")).select(*columns)
+    opened = marked.withColumn("END_DATE", high_date(history)).select(*columns)
     closed = marked.where(F.col("_kv_old").isNotNull()).select(
         F.col(f"_kv_old.{pk}").alias(pk), *dfk, *[F.col(f"_kv_old.{c}").alias(c) for c in sfk], F.col("_kv_old.START_DATE").alias("START_DATE"), F.col("START_DATE").alias("END_DATE"), LDTS, SOURCE
     )

@@ -306,7 +306,7 @@ def v18(spark, d):
     return integrity.date_order(joined, "lines", "o_orderdate", "l_shipdate")
 
 
-@query("v19_find_date_pairs", "SELECT 'valid_from' AS start_column, 'valid_to' AS end_column, 1.0 AS ratio, true AS named FROM events LIMIT 1")
+@query("v19_find_date_pairs", "SELECT 'valid_from' AS start_column, 'valid_to' AS end_column, 1.0::DOUBLE AS ratio, true AS named FROM events LIMIT 1")
 def v19(spark, d):
     df = table(spark, d, "events").select(F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("valid_to"), F.lit("2024-01-15").cast("timestamp").alias("seen"))
     return integrity.find_date_pairs(df, ["valid_from", "valid_to", "seen"])
@@ -573,7 +573,7 @@ def e6(spark, d):
     return score.mapping_coverage(*mapping(spark, d))
 
 
-@query("e7_false_friend_hits", "SELECT count(*) AS n_hits, CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END AS score FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 = 0")
+@query("e7_false_friend_hits", "SELECT count(*) AS n_hits, (CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 = 0")
 def e7(spark, d):
     proposals, _ = mapping(spark, d)
     bad = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_orderpriority").alias("table"), F.col("o_orderkey").cast("string").alias("column"))
@@ -594,7 +594,7 @@ def resolutions(spark, d):
 RES = """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'NEW' ELSE c_mktsegment END AS want, CASE WHEN c_custkey % 9 = 0 THEN 'WRONG' WHEN c_custkey % 4 = 0 THEN 'NEW' ELSE c_mktsegment END AS got, c_custkey % 8 <> 5 AS answered FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 10 = 1)"""
 
 
-@query("e9_false_merge_rate", RES + " SELECT count(*) AS n_merges, count(*) FILTER (WHERE got <> want) AS n_false, CASE WHEN n_false > 0 THEN 0.0 ELSE 1.0 END AS score FROM c WHERE answered AND got <> 'NEW'")
+@query("e9_false_merge_rate", RES + " SELECT count(*) AS n_merges, count(*) FILTER (WHERE got <> want) AS n_false, (CASE WHEN n_false > 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS score FROM c WHERE answered AND got <> 'NEW'")
 def e9(spark, d):
     return score.false_merge_rate(*resolutions(spark, d))
 
