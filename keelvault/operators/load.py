@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelvault.functions.hashing import is_blank
-from keelvault.operators.stage import LDTS, SOURCE
+from keelvault.functions.hashing import hash_key, is_blank
+from keelvault.operators.stage import LDTS, SOURCE, alias_fk
 from keelvault.sources.feeds import union_feeds
 
 HIGH_DATE = "9999-12-31 00:00:00"
@@ -43,9 +43,12 @@ def load_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequence
     return _absent(_first(stage.where(whole), pk, list(fks)), target, pk)
 
 
-def load_t_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequence[str], payload: Sequence[str], eff: str) -> DataFrame:
-    """Insert-once events with payload and event time. Make ``pk`` from the participations and what
-    tells events apart, else equal pairs of participations are one event."""
+def load_t_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequence[str], payload: Sequence[str], eff: str, degenerate_key: Sequence[str] = ()) -> DataFrame:
+    """Insert-once events with payload and event time. Where ``pk`` comes from the participations
+    alone, equal pairs of them are one event, unless ``degenerate_key`` names what tells events
+    apart: its columns are then hashed into the key."""
+    if degenerate_key:
+        stage = stage.withColumn(pk, hash_key([pk, *degenerate_key]))
     return _absent(_first(stage.where(F.col(eff).isNotNull()), pk, [*fks, eff, *payload]), target, pk)
 
 
@@ -172,9 +175,6 @@ def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: S
 
 def load_fk_link(stage: DataFrame, target: DataFrame | None, pk: str, own_hk: str, own_key: str, hub_key: str, fk_column: str) -> DataFrame:
     """The link that a ratified foreign key names: the key is aliased to the hub's name before hashing."""
-    from keelvault.functions.hashing import hash_key
-    from keelvault.operators.stage import alias_fk
-
     fk = f"{hub_key}_HK".upper()
     rows = alias_fk(stage, hub_key, fk_column).withColumn(own_hk, hash_key([own_key])).withColumn(pk, hash_key([own_key, hub_key]))
     return load_link(rows, target, pk, [own_hk, fk], keys=[own_key, hub_key])

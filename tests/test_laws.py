@@ -103,6 +103,15 @@ def test_rejected_effectivity(spark):
     assert load.rejected_effectivity(early, target, "LINK_HK", ["A"], ["B"]).count() == 1
 
 
+def test_degenerate_key_tells_events_apart(spark):
+    columns = "LINK_HK string, A string, B string, REF string, AT string, LOAD_DATETIME string"
+    rows = frame(spark, columns, [("1", "a", "b", "t1", DAY1, DAY1), ("1", "a", "b", "t2", DAY1, DAY1), ("1", "a", "b", "t3", None, DAY1)], "s")
+    args = ("LINK_HK", ["A", "B"], ["REF"], "AT")
+    assert load.load_t_link(rows, None, *args).count() == 1
+    once = load.load_t_link(rows, None, *args, degenerate_key=["REF"])
+    assert once.count() == 2 and load.load_t_link(rows, once, *args, degenerate_key=["REF"]).count() == 0
+
+
 def test_approximate_profile_is_near(spark):
     df = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_returnflag")
     exact = {r.column_name: r.distinct_count for r in profile.profile_columns(df).collect()}
