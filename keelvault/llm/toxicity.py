@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from keelvault.llm.common import documents, held_out
 
 #: At most so many texts of either label, and so many characters of each, are learned from.
-SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 6000
+SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 4000
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, WORD_BUCKETS, CHAR_BUCKETS = 8, 8, 2**14, 2**16
 GRAMS = (3, 4, 5)
@@ -49,7 +49,7 @@ def word_buckets(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         for i in range(n):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + text[i : len(text) - n + 1 + i]
         h = (h ^ (h >> np.uint32(16))) * np.uint32(0x297A2D39)
-        runs = (h >> np.uint32(8))[left[: len(h)] >= n].astype(np.int64) % CHAR_BUCKETS + WORD_BUCKETS
+        runs = ((h >> np.uint32(8))[left[: len(h)] >= n] % np.uint32(CHAR_BUCKETS)).astype(np.int32) + np.int32(WORD_BUCKETS)
         counts = lengths - (n - 1)
         out.append((runs, np.cumsum(counts) - counts))
     return out
@@ -91,16 +91,15 @@ def flattened(parts: list[tuple[np.ndarray, np.ndarray]]):
 
 def bucket_odds(docs: list[np.ndarray], y: np.ndarray, parts, prior: float = 8.0) -> np.ndarray:
     """Log-odds of the label for each bucket by the texts it is in, drawn to 0 where these are few."""
-    flat, owner, _ = flattened(parts)
-    order = np.argsort(owner, kind="stable")
-    flat, ends = flat[order], np.cumsum(np.bincount(owner))
     counts = np.zeros((2, WORD_BUCKETS + CHAR_BUCKETS))
+    spans = [(buckets, starts, np.append(starts[1:], len(buckets))) for buckets, starts in parts]
     for words, label in zip(docs, y, strict=True):
         used = np.unique(words)
-        begin = np.where(used > 0, ends[used - 1], 0)
-        size = ends[used] - begin
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        counts[label, np.unique(flat[at])] += 1
+        own = []
+        for buckets, starts, ends in spans:
+            begin, size = starts[used], ends[used] - starts[used]
+            own.append(buckets[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        counts[label, np.unique(np.concatenate(own))] += 1
     n = np.bincount(y, minlength=2)
     share = n / n.sum()
     odds = np.log((counts[1] + prior * share[1]) / (counts[0] + prior * share[0]) * n[0] / max(n[1], 1))
@@ -298,12 +297,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64,
     test = rng.random(len(y)) < 0.2
     if len(set(y[~test].tolist())) < 2:
         return start_parameters(np.zeros(WORD_BUCKETS + CHAR_BUCKETS), seed)
-    every = word_buckets(words)
     fitted = [d for d, x in zip(docs, test, strict=True) if not x]
-    p = start_parameters(bucket_odds(fitted, y[~test], every), seed)
+    p = start_parameters(bucket_odds(fitted, y[~test], word_buckets(words)), seed)
     windows = [[d[a:b] for a, b in cut(len(d))] for d in fitted]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "L"}
-    strength = vectors(p, every)[:, -1]
+    strength = np.concatenate([vectors(p, word_buckets(words[i : i + 8192]))[:, -1] for i in range(0, len(words), 8192)])
     step = 0
     for number in range(rounds):
         # Each text's window with the highest score (at first: the highest log-odds), and another of clean texts.
@@ -375,16 +373,21 @@ def fit(spark_docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, cha
     return train([r["text"] or "" for r in got], [r["toxic"] for r in got])
 
 
-def scorer(p: dict, block: int = 1024):
-    """text -> SCORE as a column function: the highest window's score, its first word, the windows."""
+def scorer(p: dict, block: int = 1024, chars: int = 2_000_000):
+    """text -> SCORE as a column function: the highest window's score, its first word, the windows.
+
+    Texts are worked on in parts of about ``chars`` characters, so memory is bounded by that or by
+    the longest text."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict[bytes, int] = {}
         tables = {d: np.empty((0, 3 * HIDDEN), np.float32) for d in "fb"}
         steps = np.arange(WINDOW)[:, None]
-        for batch in batches:
-            values = [text_words(v.as_py()) for v in batch]
-            if len(memo) > 400_000:
+        def part(texts: list[str | None]):
+            """Scores, places and numbers of windows of a bounded amount of text."""
+            nonlocal tables
+            values = [text_words(t) for t in texts]
+            if len(memo) > 200_000:
                 memo.clear()
                 tables = {d: x[:0] for d, x in tables.items()}
             new = list(dict.fromkeys(w for words in values for w in words if w not in memo))
@@ -411,6 +414,20 @@ def scorer(p: dict, block: int = 1024):
                 best[some] = sigmoid(np.clip(np.maximum.reduceat(found, begin).astype(np.float64), -30, 30))
                 order = np.lexsort((first, -found, owner))
                 place[some] = first[order[begin]]
+            return best, place, count
+
+        for batch in batches:
+            done, texts, room = [], [], chars
+            for value in batch:
+                text = value.as_py()
+                texts.append(text)
+                room -= len(text or "")
+                if room <= 0:
+                    done.append(part(texts))
+                    texts, room = [], chars
+            if texts or not done:
+                done.append(part(texts))
+            best, place, count = (np.concatenate(x) for x in zip(*done, strict=True))
             yield pa.StructArray.from_arrays([pa.array(best, pa.float64()), pa.array(place, pa.int32()), pa.array(count, pa.int32())], names=["score", "start", "n_windows"])
 
     return F.arrow_udf(score, SCORE).asNondeterministic()
