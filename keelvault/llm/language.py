@@ -37,32 +37,41 @@ FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("scor
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def char_tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point of the basic plane: the letter in lower case (0 where it is no letter), and its script."""
-    lower = np.zeros(0x10000, np.uint32)
-    script = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        if unicodedata.category(chr(c))[0] in "LM":
+#: Code points from here on are no letters (planes 0 to 3 have all scripts).
+LIMIT = 0x40000
+
+
+def char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the letter or mark in lower case (0 for all else), its script, whether it is a letter."""
+    lower = np.zeros(LIMIT, np.uint32)
+    script = np.zeros(LIMIT, np.uint8)
+    letter = np.zeros(LIMIT, bool)
+    for c in range(LIMIT - 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
             low = chr(c).lower()
             lower[c] = ord(low) if len(low) == 1 else c
+            letter[c] = kind == "L"
     for name, first, last in SCRIPTS:
         script[first : last + 1] = NAMES.index(name)
-    return lower, script
+    return lower, script, letter
 
 
-def letters_and_words(texts: list[str], lower: np.ndarray):
-    """All texts as one array of lower-case letters (0 elsewhere), where each text starts, and the
-    words (runs of letters) as (start, end, text)."""
+def letters_and_words(texts: list[str], lower: np.ndarray, letter: np.ndarray):
+    """All texts as one array of lower-case letters and marks (0 elsewhere), where each text starts,
+    and the words (runs that hold a letter) as start, end and text."""
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     starts = np.cumsum([0] + [len(p) + 1 for p in points])  # a gap after each text
     flat = np.zeros(starts[-1] + 1, np.uint32)
     for p, s in zip(points, starts, strict=False):
         flat[s : s + len(p)] = p
-    basic = lower[np.minimum(flat, 0xFFFF)]
-    letters = np.where(flat < 0x10000, basic, np.where(flat >= 0x20000, flat, 0)).astype(np.uint32)  # beyond: Han
-    is_letter = letters > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], is_letter.astype(np.int8), [0]])))
+    flat = np.minimum(flat, LIMIT - 1)
+    letters = lower[flat]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (letters > 0).astype(np.int8), [0]])))
     begin, end = edge[::2], edge[1::2]
+    if len(begin):
+        real = np.logical_or.reduceat(letter[flat], begin)
+        begin, end = begin[real], end[real]
     return letters, starts, begin, end, np.searchsorted(starts, begin, side="right") - 1
 
 
@@ -89,14 +98,14 @@ def gram_buckets(letters: np.ndarray, begin: np.ndarray, end: np.ndarray):
 
 def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """How often each bucket and each script occurs in the words of ``texts``."""
-    lower, script = char_tables()
-    letters, _, begin, end, _ = letters_and_words(texts, lower)
+    lower, script, letter = char_tables()
+    letters, _, begin, end, _ = letters_and_words(texts, lower, letter)
     counts = np.zeros(BUCKETS, np.int64)
     scripts = np.zeros(len(NAMES), np.int64)
     if len(begin):
         for b in gram_buckets(letters, begin, end)[0]:
             counts += np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS]
-        scripts += np.bincount(script[np.minimum(letters[begin], 0xFFFF)], minlength=len(NAMES))
+        scripts += np.bincount(script[letters[begin]], minlength=len(NAMES))
     return counts, scripts
 
 
@@ -172,7 +181,7 @@ def tagger(model: dict, switch: float = SWITCH):
     """text -> FOUND as a column function."""
 
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lower, script = char_tables()
+        lower, script, letter = char_tables()
         langs, weights, uses = model["langs"], model["weights"], model["uses"]
         k = len(langs)
         for batch in batches:
@@ -185,7 +194,7 @@ def tagger(model: dict, switch: float = SWITCH):
                     part.append(texts[at])
                     size += len(texts[at])
                     at += 1
-                letters, text_starts, begin, end, owner = letters_and_words(part, lower)
+                letters, text_starts, begin, end, owner = letters_and_words(part, lower, letter)
                 per_text = np.bincount(owner, minlength=len(part)) if len(owner) else np.zeros(len(part), np.int64)
                 word_starts = np.cumsum(per_text) - per_text
                 path = np.zeros(len(begin), np.int8)
@@ -195,7 +204,7 @@ def tagger(model: dict, switch: float = SWITCH):
                     for b in buckets:
                         table += np.add.reduceat(weights.take(b, axis=0), first, axis=0)
                     table /= len(GRAMS)
-                    can = uses[script[np.minimum(letters[begin], 0xFFFF)]]
+                    can = uses[script[letters[begin]]]
                     table[~can & can.any(axis=1)[:, None]] -= 30
                     path = viterbi(table, word_starts, per_text, switch)
                 weight = end - begin

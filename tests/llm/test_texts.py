@@ -35,11 +35,11 @@ def test_language_spans(spark):
     model = language.fit(docs, docs.lang)
     one = {r.lang: r.text for r in docs.where("n_chars > 3000 AND doc_id < 100").collect()}
     mixed = one["en"][:300] + " " + one["de"][:300] + " " + one["en"][300:500]
-    texts = [None, "", "12 3!", mixed, one["fr"] * 3, "ж"]
+    texts = [None, "", "12 3! \u0301 \u0301\u0302", mixed, one["fr"] * 3, "ж", "\U0001d400"]
     got = {r.doc_id: r.language for r in language.identify(frame(spark, texts).withColumnRenamed("scan", "language"), model).collect()}
     assert [got[i].lang for i in range(3)] == ["und"] * 3 and got[0].score == 0
     assert [s.lang for s in got[3].spans] == ["en", "de", "en"] and abs(got[3].spans[0].end - 300) < 25
-    assert got[4].lang == "fr" and got[5].lang in model["langs"]
+    assert got[4].lang == "fr" and got[5].lang in model["langs"] and got[6].lang in model["langs"]
     empty = language.fit(docs.limit(0), docs.lang)
     assert language.identify(frame(spark, ["abc"]), empty).first().language.lang == "und"
 
