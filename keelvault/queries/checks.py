@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelvault.functions.hashing import hash_key
 from keelvault.operators import contract, extend, integrity, load, match, profile, score
-from keelvault.queries.base import canon, hashed, query, table
+from keelvault.queries.base import hashed, query, table
+from keelvault.queries.build import CUSTOMERS, DAILY, ORDERS, customer_stage, daily_states, events_stage, islands, line_stage, multi_active, orders_stage
 from keelvault.sources.feeds import shared_folder
-from keelvault.queries.build import CUSTOMERS, DAILY, EVENTS, HIGH, LINES, ORDERS, customer_stage, daily_states, events_stage, islands, l13, line_stage, multi_active, orders_stage
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
@@ -50,9 +49,6 @@ def p4(spark, d):
     return profile.key_plausible(p1(spark, d))
 
 
-
-
-
 def guid_orders(spark, d):
     h = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
     guid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
@@ -631,6 +627,3 @@ def e14(spark, d):
     path = shared_folder(spark)
     table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")).write.json(path)
     return score.usage_rollup(score.read_usage(spark, path))
-
-
-__all__ = ["EVENTS", "HIGH", "LINES", "canon", "hash_key", "l13"]
