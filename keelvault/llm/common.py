@@ -7,10 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule, as a Java character class body and as plain characters.
-SPACE_CLASS = r"\x20\x09-\x0D"
-SPACE_CHARS = " \t\n\x0b\f\r"
-WORD = rf"[^{SPACE_CLASS}]+"
+#: A word: a run without white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,12 +31,6 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; empty for null."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
