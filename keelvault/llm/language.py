@@ -76,7 +76,8 @@ def letters_and_words(texts: list[str], lower: np.ndarray, letter: np.ndarray):
 
 
 def gram_buckets(letters: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """Buckets of the character runs of all words (a border on both sides), and where each word's start."""
+    """Buckets of the character runs of all words (a border on both sides), one array for each length
+    of run, made as it is asked for; and where each word's start."""
     lengths = end - begin + 2
     first = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
@@ -86,14 +87,17 @@ def gram_buckets(letters: np.ndarray, begin: np.ndarray, end: np.ndarray):
     at = np.repeat(begin - first - 1, lengths) + np.arange(total)
     chars[:total][inside] = letters[at[inside]]
     left = np.repeat(first + lengths, lengths) - np.arange(total)
-    out = []
-    for n in GRAMS:
-        h = np.full(total, n, np.uint32)
-        for i in range(n):
-            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + chars[i : total + i]
-        h = ((h ^ (h >> np.uint32(16))) * np.uint32(0x297A2D39)) >> np.uint32(16)
-        out.append(np.where(left >= n, h, BUCKETS).astype(np.int64))  # runs over the border have no weight
-    return out, first
+
+    def buckets():
+        for n in GRAMS:
+            h = np.full(total, n, np.uint32)
+            for i in range(n):
+                h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + chars[i : total + i]
+            h = ((h ^ (h >> np.uint32(16))) * np.uint32(0x297A2D39)) >> np.uint32(16)
+            h[left < n] = BUCKETS  # runs over the border have no weight
+            yield h.view(np.int32)
+
+    return buckets(), first
 
 
 def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +194,7 @@ def tagger(model: dict, switch: float = SWITCH):
             at = 0
             while at < len(texts):  # parts of bounded size; one long text is a part of its own
                 part, size = [], 0
-                while at < len(texts) and (not part or size + len(texts[at]) < 3_000_000):
+                while at < len(texts) and (not part or size + len(texts[at]) < 2_000_000):
                     part.append(texts[at])
                     size += len(texts[at])
                     at += 1
