@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from keelvault.llm.common import documents, let, stored
 
-#: A line is removed if more documents of its host hold it than both limits say.
-MIN_DOCUMENTS, SHARE_OF_HOST = 10, 0.005
+#: A line is removed if more documents of its host hold it, whatever the size of the host.
+MIN_DOCUMENTS = 10
 #: A document is rejected if fewer words, or a smaller share of its words, are left.
 MIN_WORDS_LEFT, MIN_SHARE_LEFT = 20, 0.5
 
@@ -91,12 +91,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
-    """(source, line): hashes of the lines that more documents of the source hold than the limits."""
+    """(source, line): hashes of the lines that more documents of the source hold than the limit."""
     each = rows.select("source", F.explode(F.array_distinct(F.transform("_kv_m.lines", lambda x: x["line"]))).alias("line"))
-    counts = each.groupBy("source", "line").agg(F.count("*").alias("_kv_docs")).where(F.col("_kv_docs") > MIN_DOCUMENTS)
-    hosts = rows.groupBy(F.col("source").alias("_kv_host")).agg(F.count("*").alias("_kv_all"))
-    near = counts.join(hosts, F.col("source").eqNullSafe(F.col("_kv_host")))
-    return near.where(F.col("_kv_docs") > F.col("_kv_all") * SHARE_OF_HOST).select("source", "line")
+    return each.groupBy("source", "line").agg(F.count("*").alias("_kv_docs")).where(F.col("_kv_docs") > MIN_DOCUMENTS).select("source", "line")
 
 
 def removed_words(rows: DataFrame) -> DataFrame:

@@ -61,6 +61,14 @@ def test_clean_removes_frequent_lines(spark):
     assert all("shared footer" not in by_id[i] and f"text number {i} " in by_id[i] for i in range(15))
 
 
+def test_lines_of_large_hosts_are_removed(spark):
+    """A line of 20 documents goes and one of 10 stays, also where they are under 0.5 % of the host."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(25)) + "\n"
+    rows = [(i, own(i) + ("shared by twenty\n" if i < 20 else "") + ("shared by ten\n" if 40 <= i < 50 else ""), "a") for i in range(4200)]
+    got = {r.doc_id: r.n_words - r.n_words_left for r in lines.judge(docs_frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(20)) and got[0] == 3
+
+
 def test_line_rules_sql(spark, duck):
     same_as_sql(registry.QUERIES["op1_line_frequency"](spark, SF), duck, registry.ORACLES["op1_line_frequency"])
 
