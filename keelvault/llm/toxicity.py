@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from keelvault.llm.common import documents, held_out
 
-#: At most so many texts of either label, and so many characters of each, are learned from.
-SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 4000
+#: At most so many texts of either label are learned from, each as a whole.
+SAMPLE_TEXTS = 1500
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, WORD_BUCKETS, CHAR_BUCKETS = 8, 8, 2**14, 2**16
 GRAMS = (3, 4, 5)
@@ -288,7 +288,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64,
     vocab: dict[bytes, int] = {b"": 0}
     docs, y = [], []
     for t, label in zip(texts, labels, strict=True):
-        numbers = np.array([vocab.setdefault(w, len(vocab)) for w in text_words(t)], np.int64)
+        numbers = np.array([vocab.setdefault(w, len(vocab)) for w in text_words(t)], np.int32)
         if len(numbers):
             docs.append(numbers)
             y.append(label)
@@ -360,15 +360,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64,
     return p
 
 
-def fit(spark_docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict:
+def fit(spark_docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS) -> dict:
     """A network from labelled rows outside the held-out fold: of each label the ``texts`` rows with
-    the smallest hash of the id. Only their first ``chars`` characters are learned from; scoring
-    always takes whole texts. Without rows of both labels the network is untrained."""
+    the smallest hash of the id. Whole texts are learned from and set the level, as scoring takes
+    whole texts. Without rows of both labels the network is untrained."""
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = F.xxhash64("doc_id")
     chosen = [rows.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(texts) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice ``texts`` rows
-    got = spark_docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).collect()
+    got = spark_docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in got], [r["toxic"] for r in got])
 

@@ -217,6 +217,15 @@ def test_toxicity_held_out(spark):
     assert test[test.toxic == 1].predicted.mean() > 0.75 and test[test.toxic == 0].predicted.mean() < 0.05
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """What tells toxic texts apart lies behind their first 6,000 characters."""
+    rows = [(i, "fine words " * 600 + ("you idiot " if i % 2 else "good people ") * 5, i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    p = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(df, p).collect()
+    assert all((r.toxicity.score >= 0.5) == (r.toxic == 1) for r in got)
+
+
 def test_toxicity_odd_texts(spark):
     p = toxicity.train(["you idiot " * 5, "a nice day " * 5] * 40, [1, 0] * 40, rounds=2)
     texts = [None, "", "idiot", "nice", "fine words " * 5000 + "idiot " + "fine words " * 5000, "fine words " * 10000]
