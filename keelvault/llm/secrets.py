@@ -50,9 +50,11 @@ _FOUND = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: More names of credentials, more ways to give a value, and values of any visible characters.
+#: More names of credentials, more ways to give a value, and values of any visible characters: what
+#: opens with a quote goes to the same quote on the line (group 2), all else to white space (group 4).
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|auth(?:orization)?)["']?[\x20\t]{0,4}(?::=|=>|[:=])[\x20\t]{0,4}(?:bearer[\x20\t]+)?["'`]?([^\s"'`<>,;(){}]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|auth(?:orization)?)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:bearer[\x20\t]+)?+"""
+    r"""(?:(["'`])((?:(?!\1)[^\r\n]){6,}+)\1|(?!(["'`])(?:(?!\3)[^\r\n])*+\3)["'`]?+(\S{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 YEAR = re.compile(r"(?:19|20)\d\d")
@@ -148,9 +150,10 @@ def find_spans(text: str, ranks: dict[str, int], threshold: float) -> list[tuple
     if b"x" * 24 in raw.translate(_HEX_BYTES):
         spans += [("hex", *m.span(), MOST_COST) for m in HEX.finditer(text)]
     for m in matches(CONTEXT, CONTEXT_STARTS, text, low):
-        cost = guess_cost(m[1], ranks)
+        group = 2 if m[1] else 4
+        cost = guess_cost(m[group], ranks)
         if cost >= threshold:
-            spans.append(("value", *m.span(1), cost))
+            spans.append(("value", *m.span(group), cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

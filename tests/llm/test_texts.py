@@ -103,6 +103,18 @@ def test_redact(spark):
     assert [r.text for r in out] == ["my [secret] ok", None, "pwd: [secret]"]
 
 
+def test_secrets_aligned_and_punctuated():
+    ranks = secrets.word_ranks(secrets.WEAK_WORDS)
+
+    def values(t):
+        return [t[a:b] for k, a, b, _ in secrets.find_spans(t, ranks, secrets.THRESHOLD) if k == "value"]
+
+    assert values("private_key          =        x9#Lq!2vTz\npwd\t\t\t\t\t\t: 'k8 (w,2;qT' # x") == ["x9#Lq!2vTz", "k8 (w,2;qT"]
+    assert values('pwd = "Xk9(v,2;qT" and more') == ["Xk9(v,2;qT"] and values("pwd=Xk9(v,2;qT{}<> z") == ["Xk9(v,2;qT{}<>"]
+    assert values('pwd = "ab", user = "x9#Lq!2vTz"') == [] and values('pwd = "x9#Lq!2vTz\nnext" line') == ["x9#Lq!2vTz"]
+    assert values("auth: bearer   x9#Lq!2vTz") == ["x9#Lq!2vTz"] and values("auth: bearer ab") == []
+
+
 # Near-duplicates
 
 
