@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelvault.llm.common import documents
+from keelvault.llm.common import documents, stored
 
 KINDS = ("assign", "access", "hex", "value")
-#: Well-known weak words, most guessed first. Fixed values; callers can give a longer ranked list.
+#: Well-known weak words, most guessed first; ``corpus_words`` adds those of a corpus.
 WEAK_WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login princess sunshine football "
     "iloveyou shadow superman secret test guest root changeme default user example sample demo access "
@@ -32,6 +32,9 @@ MOST_COST = 40.0
 #: log10 of guesses from which a value in a credential context is a secret.
 THRESHOLD = 8.0
 LONGEST_SEGMENT = 32
+#: Words of a corpus: so many at most, the most frequent first (about 1 MB where it is broadcast),
+#: each in so many documents at least, so that a secret of a few documents is no word.
+CORPUS_WORDS, LEAST_DOCUMENTS = 50_000, 5
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("cost", T.DoubleType())]))
 FOUND = T.StructType(
@@ -69,6 +72,23 @@ def word_ranks(words) -> dict[str, int]:
     return ranks
 
 
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_DOCUMENTS) -> tuple[str, ...]:
+    """The weak words, then the words of ``docs`` by the number of documents that hold them (ties by
+    the word): 2 to 32 letters between white space or the punctuation of prose, in lower case. At
+    most ``most`` words of at least ``least`` documents are taken to the driver; words of equally
+    many documents that don't all fit are left out together."""
+    pattern = r"(?<![^\s\"'(\[])\p{L}{2,32}+(?![^\s.,;:!?\"')\]])"
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))).alias("word"))
+    counts = stored(each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least), "words")
+    room, lowest = most, None
+    for n, words in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        if words > room:
+            break
+        room, lowest = room - words, n
+    kept = counts.where(F.lit(False) if lowest is None else F.col("n") >= lowest).collect()
+    return (*WEAK_WORDS, *(r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))))
+
+
 def segment_cost(part: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses for one segment that is a word, date, repeat or keyboard walk; inf otherwise."""
     best = math.inf
@@ -185,7 +205,7 @@ def scan_secrets(docs: DataFrame, words=tuple(WEAK_WORDS), threshold: float = TH
     return docs.withColumn("secrets", scanner(words, threshold)("text"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", words=tuple(WEAK_WORDS)) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced as one."""
 
     def cover(text, spans):
@@ -201,10 +221,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     redactor = F.udf(cover, "string")
     own = "secrets" in docs.columns
     plain = docs.withColumnRenamed("secrets", "_kv_secrets") if own else docs
-    out = scan_secrets(plain).withColumn("text", redactor("text", "secrets.found")).drop("secrets")
+    out = scan_secrets(plain, words).withColumn("text", redactor("text", "secrets.found")).drop("secrets")
     return out.withColumnRenamed("_kv_secrets", "secrets") if own else out
 
 
 def op3_guess_cost_secrets(spark, sf_dir: str) -> DataFrame:
-    s = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    s = scan_secrets(docs, corpus_words(docs))
     return s.select("doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])

@@ -115,6 +115,18 @@ def test_secrets_aligned_and_punctuated():
     assert values("auth: bearer   x9#Lq!2vTz") == ["x9#Lq!2vTz"] and values("auth: bearer ab") == []
 
 
+def test_secrets_ordinary_words(spark, tmp_path):
+    """Words of the corpus are no secrets as values; random letters of one document are."""
+    texts = ["The password: required, everything else is (optional). My auth: everything and pwd: required here"] * 6 + ["pwd: zqvkxwjhgb"]
+    frame(spark, texts).drop("scan").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in secrets.op3_guess_cost_secrets(spark, str(tmp_path)).collect()}
+    assert all("value" not in got[i] and got[i].startswith("assign") for i in range(6)) and got[6] == "value:5:15"
+    words = secrets.corpus_words(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert {"required", "everything", "optional"} <= set(words) and "zqvkxwjhgb" not in words
+    few = spark.createDataFrame([(t,) for t in ["alpha beta"] * 6 + ["alpha"]], "text string")
+    assert [secrets.corpus_words(few, most=n)[len(secrets.WEAK_WORDS) :] for n in (0, 1, 2)] == [(), ("alpha",), ("alpha", "beta")]
+
+
 # Near-duplicates
 
 
