@@ -29,8 +29,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: once for each epoch that it is in, or not at all."""
-    mixed = mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("taken") / F.nullif("size", F.lit(0))).cast("int").alias("_kv_times"))
+    """Every document as often as the mix takes it: once for each epoch that it is in, or not at all.
+
+    Documents with null, empty or blank texts are taken by the epochs of their source as well."""
+    mixed = mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("times").alias("_kv_times"))
     return mixed.where("_kv_times > 0").withColumn("_kv_time", F.explode(F.sequence(F.lit(1), F.col("_kv_times")))).drop("_kv_times", "_kv_time")
 
 

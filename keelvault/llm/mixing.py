@@ -52,13 +52,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix(docs: DataFrame, seed: int = 10, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, cells: int = 4096, quality=default_quality) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken, repeats counted).
+    """``docs`` with ``size``, ``source_size``, ``target``, ``times`` (how often the document is taken)
+    and ``taken`` (words taken, repeats counted).
 
-    A document's ``taken`` is its size times the epochs it is in, at most ``most``. Null texts have
-    size 0; the null source is a source; a null id has the key of the text ``null``; equal rows are
+    A document's ``times`` are the epochs it is in, at most ``most``; ``taken`` is its size times
+    these. Null, empty and blank texts have size 0 and are taken as often as others of the source; the null source is a source; a null id has the key of the text ``null``; equal rows are
     separate rows; an empty table gives an empty table. Columns of docs with the names of the new
     ones are replaced. ``cells`` sets how finely keys are cut, not what is taken."""
-    base = docs.drop("size", "source_size", "target", "taken")
+    base = docs.drop("size", "source_size", "target", "times", "taken")
     sized = base.withColumn("size", word_count(F.col("text")))
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("size"))
     keyed = sized.withColumn("_kv_key", key).withColumn("_kv_cell", F.floor((1 - F.exp(-F.col("_kv_key"))) * cells).cast("int"))
@@ -86,8 +87,8 @@ def mix(docs: DataFrame, seed: int = 10, weights: tuple[int, ...] = (1, 2, 3), m
     line = Window.partitionBy("_kv_source").orderBy("_kv_key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("_kv_before") + F.coalesce(F.sum("size").over(line), F.lit(0)) + F.col("size") / 2
     partly = rows.where(at_end).withColumn("_kv_in", middle <= F.col("_kv_budget"))
-    taken = (F.col("size") * (F.col("_kv_epochs") + F.col("_kv_in").cast("long"))).alias("taken")
-    return whole.unionByName(partly).select(*[F.col(f"`{c}`") for c in base.columns], "size", "source_size", "target", taken)
+    times = F.least(F.lit(most), F.col("_kv_epochs") + F.col("_kv_in").cast("long"))
+    return whole.unionByName(partly).select(*[F.col(f"`{c}`") for c in base.columns], "size", "source_size", "target", times.cast("int").alias("times"), (F.col("size") * times).alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_stages(spark):
     assert sorted(ids[5]) == sorted(ids[4])
     shards = Counter(r.shard for r in rows[5])
     assert max(shards.values()) - min(shards.values()) <= 1 and len({(r.shard, r.slot) for r in rows[5]}) == len(rows[5])
+
+
+def test_mixing_keeps_empty_texts(spark):
+    """Texts without words are repeated by the epochs of their source."""
+    rows = [(i, "some words here", s) for i, s in enumerate(["a", "b"] * 20)] + [(100, None, "a"), (101, "", "a"), (102, " \n", "a"), (103, None, "b"), (104, "", "b"), (105, None, "none")]
+    docs = spark.createDataFrame(rows + [(200 + i, "some more words", "a") for i in range(200)], "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert {got[i] for i in (103, 104)} <= {3} and all(got[i] == 3 for i in range(1, 40, 2))
+    assert all(got[i] <= 1 for i in (100, 101, 102)) and got[105] == 1
