@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared one that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (local tests) is a folder of our own used."""
+    Where the setting is absent a folder in the warehouse is used, but only on a single machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keelvault_checkpoints"
     return f"{top.rstrip('/')}/keelvault-{uuid.uuid4().hex}"
 
