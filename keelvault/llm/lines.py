@@ -13,6 +13,8 @@ from keelvault.llm.common import documents, let, stored
 
 #: A line is removed if more documents of its host hold it, whatever the size of the host.
 MIN_DOCUMENTS = 10
+#: Up to so many frequent lines are broadcast; beyond, they are joined by shuffle, where Spark splits hot lines.
+BROADCAST_LINES = 200_000
 #: A document is rejected if fewer words, or a smaller share of its words, are left.
 MIN_WORDS_LEFT, MIN_SHARE_LEFT = 20, 0.5
 
@@ -91,16 +93,20 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
-    """(source, line): hashes of the lines that more documents of the source hold than the limit."""
-    each = rows.select("source", F.explode(F.array_distinct(F.transform("_kv_m.lines", lambda x: x["line"]))).alias("line"))
-    return each.groupBy("source", "line").agg(F.count("*").alias("_kv_docs")).where(F.col("_kv_docs") > MIN_DOCUMENTS).select("source", "line")
+    """(source, line): hashes of the lines that more distinct documents of the source hold than the limit.
+
+    Rows with one id are one document, also those with the null id."""
+    each = rows.select("source", F.struct("doc_id").alias("id"), F.explode(F.array_distinct(F.transform("_kv_m.lines", lambda x: x["line"]))).alias("line"))
+    often = each.groupBy("source", "line").agg(F.count_distinct("id").alias("_kv_docs")).where(F.col("_kv_docs") > MIN_DOCUMENTS)
+    often = stored(often.select("source", "line"), "frequent")
+    return F.broadcast(often) if often.count() <= BROADCAST_LINES else often
 
 
 def removed_words(rows: DataFrame) -> DataFrame:
     """(_kv_id, _kv_text, _kv_removed, _kv_lines): for documents with frequent lines, keyed by id and
     text hash, the words in such lines and their hashes."""
     each = rows.select(F.col("doc_id").alias("_kv_id"), F.col("_kv_own").alias("_kv_text"), "source", F.posexplode("_kv_m.lines").alias("pos", "x")).select("*", "x.line", "x.n").drop("x")
-    often = frequent_lines(rows).withColumnsRenamed({"source": "_kv_host", "line": "_kv_line"})
+    often = frequent_lines(rows).select(F.col("source").alias("_kv_host"), F.col("line").alias("_kv_line"))
     hit = each.join(often, (F.col("line") == F.col("_kv_line")) & F.col("source").eqNullSafe(F.col("_kv_host")), "left_semi")
     # Rows that repeat id and text give each position once.
     once = hit.groupBy("_kv_id", "_kv_text", "pos").agg(F.max("n").alias("n"), F.max("line").alias("line"))
@@ -131,14 +137,19 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: its id, the base measures, base_failed, what the removal of
     frequent lines leaves (``n_words_left``), and ``kept``.
 
-    A null or empty text has no words and fails the base rules. Equal rows count as separate
-    documents of their host and get equal results; the null source is a host; an empty table gives
-    an empty table; columns other than doc_id, text and source are not read."""
+    A null or empty text has no words and fails the base rules. Rows with one id (or none) are one
+    document of their host in the counts, and each gets the result of its own text; equal rows get
+    equal results. The null source is a host. Texts of any length are measured whole. An empty table
+    gives an empty table; columns other than doc_id, text and source are not read."""
     return verdicts(measured(docs.select("doc_id", "text", "source"))).drop("_kv_own", "_kv_lines")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs``, their text without the frequent lines, other columns as they are."""
+    """The kept rows of ``docs``, their text without the frequent lines, other columns as they are.
+
+    Rows are judged as by ``judge``: null, empty and depleted texts go, every row of a repeated id is
+    kept or not by its own text, and an empty table gives an empty table. The rest of a text keeps
+    its lines as they were, also those without words; columns of any name are kept."""
     kept = verdicts(measured(docs.select("doc_id", "text", "source"))).where("kept")
     kept = kept.select(F.col("doc_id").alias("_kv_id"), F.col("_kv_own").alias("_kv_text"), "_kv_lines").dropDuplicates(["_kv_id", "_kv_text"])
     keyed = docs.withColumn("_kv_own", F.xxhash64("text", "source"))
