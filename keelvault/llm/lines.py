@@ -178,11 +178,8 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY doc_id
 ), nl AS (
   SELECT doc_id, source, lower(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw FROM ln
-), host AS (
-  SELECT source, count(*) AS n FROM d GROUP BY source
 ), f AS (
-  SELECT nl.source, k FROM nl JOIN host ON nl.source IS NOT DISTINCT FROM host.source
-  GROUP BY nl.source, k, host.n HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.005 * host.n
+  SELECT source, k FROM nl GROUP BY source, k HAVING count(DISTINCT doc_id) > 10
 ), gone AS (
   SELECT doc_id, sum(nw) AS n FROM nl JOIN f ON nl.source IS NOT DISTINCT FROM f.source AND nl.k = f.k GROUP BY doc_id
 ), m AS (
