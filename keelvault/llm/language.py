@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from keelvault.llm.common import documents, held_out
 
-#: At most so many texts of a language, and so many characters of each, are learned from.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 4000
+#: At most so many texts of a language are learned from, each as a whole, in slices of a language.
+SAMPLE_TEXTS, SLICES = 400, 16
+#: Characters that are worked on at a time; one longer text is a part of its own.
+PART_CHARS = 1_000_000
 BUCKETS = 2**16
 GRAMS = (2, 3, 4)
 #: What a change of language between two words costs, in units of log-probability.
@@ -100,45 +102,70 @@ def gram_buckets(letters: np.ndarray, begin: np.ndarray, end: np.ndarray):
     return buckets(), first
 
 
+def parts(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """``texts`` in parts of about ``chars`` characters; a longer text is a part of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """How often each bucket and each script occurs in the words of ``texts``."""
     lower, script, letter = char_tables()
-    letters, _, begin, end, _ = letters_and_words(texts, lower, letter)
     counts = np.zeros(BUCKETS, np.int64)
     scripts = np.zeros(len(NAMES), np.int64)
-    if len(begin):
-        for b in gram_buckets(letters, begin, end)[0]:
-            counts += np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS]
-        scripts += np.bincount(script[letters[begin]], minlength=len(NAMES))
+    for part in parts(texts, PART_CHARS):
+        letters, _, begin, end, _ = letters_and_words(part, lower, letter)
+        if len(begin):
+            for b in gram_buckets(letters, begin, end)[0]:
+                counts += np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS]
+            scripts += np.bincount(script[letters[begin]], minlength=len(NAMES))
     return counts, scripts
 
 
-def fit(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict:
+def fit(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -> dict:
     """Languages, their bucket weights and the scripts they use, from rows outside the held-out fold
-    with a label: of each language the ``texts`` rows with the smallest hash of the id, the first
-    ``chars`` characters of each. Prediction always takes whole texts.
+    with a label and a text: of each language the ``texts`` distinct rows (id and text) with the
+    smallest hash, each text as a whole.
 
-    Tasks count; what comes to the driver is one table of counts a language."""
+    Equal rows count once, rows that share an id but not the text are rows of their own, and a null
+    id is like any other. Tasks count slices of a language's sample; what comes to the driver is one
+    table of counts (512 KB) a language."""
     from pyspark.sql import Window
 
-    rows = docs.where(~held_out(F.col("doc_id")) & labels.isNotNull()).select("doc_id", labels.alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # A language's smallest hashes: each hash slice keeps its own, then the language keeps its own.
-    slices = rows.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(64)))
-    few = slices.withColumn("k", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "doc_id"))).where(F.col("k") <= texts)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= texts)
-    ids = F.broadcast(few.select("doc_id", "lang").withColumnsRenamed({"doc_id": "_kv_id", "lang": "_kv_lang"}))  # at most ``texts`` a language
-    sample = docs.join(ids, (F.col("doc_id") == F.col("_kv_id")) & (labels == F.col("_kv_lang"))).select(F.col("_kv_lang").alias("lang"), F.substring("text", 1, chars).alias("text"))
+    own = F.xxhash64("doc_id", "text")
+    rows = docs.where(~held_out(F.col("doc_id")) & labels.isNotNull() & F.col("text").isNotNull())
+    keys = rows.select(labels.alias("lang"), own.alias("h")).distinct()
+    # A language's smallest hashes: each slice of them keeps its own, then the language keeps its own.
+    few = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(64))).orderBy("h"))).where(F.col("k") <= texts)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts)
+    chosen = F.broadcast(few.select(F.col("lang").alias("_kv_lang"), F.col("h").alias("_kv_h")))  # at most ``texts`` a language
+    sample = rows.select(labels.alias("lang"), own.alias("h"), "text").join(chosen, (F.col("lang") == F.col("_kv_lang")) & (F.col("h") == F.col("_kv_h")), "left_semi")
+    sample = sample.dropDuplicates(["lang", "h"]).select("lang", F.pmod("h", F.lit(SLICES)).alias("slice"), "text")
 
     def count(group):
         import pandas as pd
 
-        counts, scripts = count_grams([t or "" for t in group["text"]])
-        return pd.DataFrame({"lang": group["lang"][:1], "counts": [counts.tolist()], "scripts": [scripts.tolist()]})
+        counts, scripts = count_grams(group["text"].tolist())
+        return pd.DataFrame({"lang": group["lang"][:1], "counts": [counts.tobytes()], "scripts": [scripts.tobytes()]})
+
+    def unite(group):
+        import pandas as pd
+
+        sums = {c: sum(np.frombuffer(x, np.int64) for x in group[c]) for c in ("counts", "scripts")}
+        return pd.DataFrame({"lang": group["lang"][:1]} | {c: [x.tobytes()] for c, x in sums.items()})
 
-    got = sample.groupBy("lang").applyInPandas(count, "lang string, counts array<long>, scripts array<long>").collect()
+    kinds = "lang string, counts binary, scripts binary"
+    got = sample.groupBy("lang", "slice").applyInPandas(count, kinds).groupBy("lang").applyInPandas(unite, kinds).collect()
     got.sort(key=lambda r: r["lang"])
-    counts = np.array([r["counts"] for r in got], np.float64).reshape(len(got), BUCKETS)
-    scripts = np.array([r["scripts"] for r in got], np.float64).reshape(len(got), len(NAMES))
+    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in got], np.float64).reshape(len(got), BUCKETS)
+    scripts = np.array([np.frombuffer(r["scripts"], np.int64) for r in got], np.float64).reshape(len(got), len(NAMES))
     weights = np.zeros((BUCKETS + 1, len(got)), np.float32)
     if len(got):
         # Log-probabilities, each less the mean over languages: what a run says for one against the others.
@@ -152,7 +179,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     """Best language of each word: texts are runs of rows of ``scores``; they go forward together, one
     word a step, longest first so that those that have ended drop out at the end of the arrays."""
     n, k = scores.shape
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int32)
     if not n or k < 2:
         return path
     order = np.argsort(-lengths, kind="stable")
@@ -161,7 +188,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than t
     best = scores[starts[: alive[0]]].copy()
     stay = np.empty((n, k), bool)  # whether the word before has the same language
-    top = np.zeros(n, np.int8)  # the best language of the word before
+    top = np.zeros(n, np.int32)  # the best language of the word before
     for t in range(1, steps):
         m = alive[t]
         at = starts[:m] + t
@@ -181,27 +208,21 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     return path
 
 
-def tagger(model: dict, switch: float = SWITCH):
-    """text -> FOUND as a column function."""
+def tagger(sent, switch: float = SWITCH):
+    """text -> FOUND as a column function; ``sent`` is a model that was broadcast."""
 
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lower, script, letter = char_tables()
-        langs, weights, uses = model["langs"], model["weights"], model["uses"]
+        langs, weights, uses = (sent.value[x] for x in ("langs", "weights", "uses"))
         k = len(langs)
         for batch in batches:
             texts = [v.as_py() or "" for v in batch]
             names, scores, spans = [], [], []
-            at = 0
-            while at < len(texts):  # parts of bounded size; one long text is a part of its own
-                part, size = [], 0
-                while at < len(texts) and (not part or size + len(texts[at]) < 2_000_000):
-                    part.append(texts[at])
-                    size += len(texts[at])
-                    at += 1
+            for part in parts(texts, 8 * PART_CHARS // max(4, k)):  # a word takes a row of as many numbers as there are languages
                 letters, text_starts, begin, end, owner = letters_and_words(part, lower, letter)
                 per_text = np.bincount(owner, minlength=len(part)) if len(owner) else np.zeros(len(part), np.int64)
                 word_starts = np.cumsum(per_text) - per_text
-                path = np.zeros(len(begin), np.int8)
+                path = np.zeros(len(begin), np.int32)
                 if len(begin) and k:
                     table = np.zeros((len(begin), k), np.float32)
                     buckets, first = gram_buckets(letters, begin, end)
@@ -243,9 +264,10 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     spans (code points, end exclusive) of one language each.
 
     A null text and one without letters are ``und`` with score 0 and no spans. On equal shares the
-    language first by name wins. Without labelled texts everything is ``und``. Rows are
-    independent; a column language is replaced; an empty table gives an empty table."""
-    return docs.withColumn("language", tagger(model, switch)("text"))
+    language first by name wins. Without labelled texts everything is ``und``. Texts of any length
+    are read whole. Rows are independent; a column language is replaced; an empty table gives an
+    empty table. The model (256 KB a language) is broadcast."""
+    return docs.withColumn("language", tagger(docs.sparkSession.sparkContext.broadcast(model), switch)("text"))
 
 
 def op2_language_spans(spark, sf_dir: str) -> DataFrame:
