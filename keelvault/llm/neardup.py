@@ -10,8 +10,13 @@
    the largest buckets, since it is the least changed one of its group.
 5. What then remains: members outside a bucket's largest component are held against all of the
    bucket that they aren't connected with; in small buckets as a join whose condition holds the
-   estimate, in large ones in blocks of bounded size that give links only. So no pair of a bucket
-   stays unseen unless its ends are connected, and pairs of a group are never written out.
+   estimate, in large ones in blocks of bounded size. A block first meets with signatures alone and
+   says which of its rows have a partner by the estimate; only these come again with their texts,
+   and what comes out are links. So no pair of a bucket stays unseen unless its ends are connected,
+   and pairs of a group are never written out.
+
+Frequent sets, buckets and components are keys of joins between stored tables, both sides of which
+Spark exchanges by itself, so that it can split what is skewed.
 
 A pair at the limit shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, 1.2e-5; its
 estimate falls below what is confirmed with probability 5e-6."""
@@ -33,7 +38,7 @@ ROWS, BANDS, BITS = 7, 48, 4
 #: Estimates have a standard deviation of 0.023 at the limit; pairs more than four of them below are dropped.
 MARGIN = 0.1
 #: Buckets of more members are worked on in blocks of so many rows.
-LARGE, BLOCK = 64, 512
+LARGE, BLOCK = 64, 1024
 #: Sets of ids up to so many rows are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 300_000
 
@@ -58,7 +63,7 @@ def sketcher(width: int):
 
         class Hashes(dict):
             def __missing__(self, word):
-                if len(self) > 500_000:
+                if len(self) > 300_000:
                     self.clear()
                 value = self[word] = xxhash.xxh64_intdigest(word)
                 return value
@@ -173,9 +178,44 @@ def star_links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: in
     return confirmed(joined.where(estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - MARGIN), docs, width, percent)
 
 
+def partners(s: pd.DataFrame, m: pd.DataFrame, bucket: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``s`` (by place) the rows of ``m`` that may be linked with it: of another component,
+    with a likely estimate, and not met in an earlier band."""
+    s_bands, m_bands = np.stack(s["bands"].to_list()), np.stack(m["bands"].to_list())
+    s_sig, m_sig = (np.stack(x["sig"].to_list()).view(np.uint64) for x in (s, m))
+    s_comp, m_comp = s["component"].to_numpy(), m["component"].to_numpy()
+    here = int((s_bands[0] == bucket).argmax())
+    chance = 2.0**-BITS
+    for i in range(len(s)):
+        apart = np.flatnonzero(m_comp != s_comp[i])
+        x = m_sig[apart] ^ s_sig[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        different = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+        likely = apart[(1 - different / (ROWS * BANDS) - chance) / (1 - chance) >= least]
+        yield i, likely[~(m_bands[likely, :here] == s_bands[i, :here]).any(axis=1)]
+
+
+def block_flagger(percent: int):
+    """(bucket, node, stray, _kv_i, _kv_j) of the rows of one block that have a likely partner in it."""
+    least = percent / 100 - MARGIN
+
+    def flag(group: pd.DataFrame) -> pd.DataFrame:
+        stray = group["stray"].to_numpy()
+        s, m = group[stray], group[~stray]
+        some_s, some_m = np.zeros(len(s), bool), np.zeros(len(m), bool)
+        if len(s) and len(m):
+            for i, found in partners(s, m, group["bucket"].iloc[0], least):
+                some_s[i] = len(found) > 0
+                some_m[found] = True
+        return pd.concat([s[some_s], m[some_m]])[["bucket", "node", "stray", "_kv_i", "_kv_j"]]
+
+    return flag
+
+
 def block_meeter(width: int, percent: int):
-    """Links of one block: rows of strays against rows of other members of a bucket. A pair counts
-    only in the first band that it shares, and only while its ends are not known to be connected."""
+    """Links of one block: rows of strays against rows of other members of a bucket, with their texts.
+    A pair counts only while its ends are not known to be connected."""
     least = percent / 100 - MARGIN
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -183,10 +223,6 @@ def block_meeter(width: int, percent: int):
         stray = group["stray"].to_numpy()
         s, m = group[stray], group[~stray]
         if len(s) and len(m):
-            bucket = group["bucket"].iloc[0]
-            s_bands, m_bands = np.stack(s["bands"].to_list()), np.stack(m["bands"].to_list())
-            s_sig, m_sig = (np.stack(x["sig"].to_list()).view(np.uint64) for x in (s, m))
-            here = int((s_bands[0] == bucket).argmax())
             s_comp, m_comp = s["component"].to_numpy(), m["component"].to_numpy()
             s_text, m_text = s["text"].to_list(), m["text"].to_list()
             s_node, m_node = s["node"].to_list(), m["node"].to_list()
@@ -198,23 +234,16 @@ def block_meeter(width: int, percent: int):
                     x = parent[x]
                 return x
 
-            chance = 2.0**-BITS
-            for i in range(len(s)):
-                earlier = (m_bands[:, :here] == s_bands[i, :here]).any(axis=1)
-                x = m_sig ^ s_sig[i]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                different = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-                like = (1 - different / (ROWS * BANDS) - chance) / (1 - chance)
-                for j in np.flatnonzero((like >= least) & ~earlier & (m_comp != s_comp[i])):
+            for i, found in partners(s, m, group["bucket"].iloc[0], least):
+                own = None
+                for j in found:
                     a, b = root(s_comp[i]), root(m_comp[j])
                     if a == b:
                         continue
-                    if -1 - i not in sets:
-                        sets[-1 - i] = shingle_set(s_text[i], width)
+                    own = shingle_set(s_text[i], width) if own is None else own
                     if j not in sets:
                         sets[j] = shingle_set(m_text[j], width)
-                    if reaches(sets[-1 - i], sets[j], percent):
+                    if reaches(own, sets[j], percent):
                         links.append((s_node[i], m_node[j]))
                         parent[max(a, b)] = min(a, b)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -222,6 +251,25 @@ def block_meeter(width: int, percent: int):
     return meet
 
 
+def block_links(large: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between strays and other members of large buckets (bucket, node, component, stray, n, strays)."""
+    h = F.xxhash64("node", F.lit(4))
+    _m, _s = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "strays"))
+    placed = large.select("bucket", "node", "component", "stray", _m.alias("_kv_m"), _s.alias("_kv_s"))
+    one, every = F.pmod(h, F.col("_kv_s")).cast("int"), F.pmod(h, F.col("_kv_m")).cast("int")
+    against = placed.select("bucket", "node", "component", F.lit(False).alias("stray"), every.alias("_kv_j"), F.explode(F.sequence(F.lit(0), F.col("_kv_s") - 1)).alias("_kv_i"))
+    held = placed.where("stray").select("bucket", "node", "component", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("_kv_m") - 1)).alias("_kv_j"), one.alias("_kv_i"))
+    block = ["bucket", "_kv_i", "_kv_j"]
+    signed = against.unionByName(held).join(sketches, "node")
+    # A group is a block of strays and a block of members.
+    flagged = stored(signed.groupBy(*block).applyInPandas(block_flagger(percent), "bucket long, node long, stray boolean, _kv_i int, _kv_j int"), "flagged")
+    if flagged.isEmpty():
+        return flagged.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    labels = large.select("node", "component").distinct()
+    full = flagged.join(labels, "node").join(sketches, "node").join(texts_of(flagged, docs), "node")
+    return stored(full.groupBy(*block).applyInPandas(block_meeter(width, percent), "a long, b long").distinct(), "more")
+
+
 def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components: (bucket, node, leader, component, major, n, strays)."""
     told = members.join(labels, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("component"))
@@ -238,7 +286,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
-        least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         second = least.select(F.col("a").alias("m"), F.col("m").alias("mm"))
         step = stored(least.join(second, "m").select(F.col("a").alias("v"), F.col("mm").alias("m")), "step")
         labels = stored(labels.join(step, F.col("component") == F.col("v"), "left").select("node", F.coalesce("m", "component").alias("component")), "labels")
@@ -260,18 +308,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one shingle. Null texts and texts without words have no shingles and link with nothing. Rows
     that repeat a doc_id are one document: a link of either is a link of both. A null doc_id can't
     be reached: its component_id is null, it is kept, and nothing links through it. An empty table
-    gives an empty table. Other columns are not read."""
+    gives an empty table. Texts of any length are read whole. Other columns are not read."""
     docs = docs.select("doc_id", "text")
     made = stored(docs.select("doc_id", sketcher(width)("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    rows = stored(made.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "rows")
-    first = rows.where("node = doc_id AND n > 0").select("node")
-    sketches = stored(made.where("n > 0").join(first.distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bands", "sig"), "classes")
+    # Sets that several rows have, with the smallest of their ids; all other documents are classes of their own.
+    named = made.where("n > 0 AND doc_id IS NOT NULL")
+    shared = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
+    shared = near(stored(shared.select(F.col("digest").alias("_kv_digest"), "node"), "shared"))
+    met = made.join(shared, F.col("digest") == F.col("_kv_digest"), "left")
+    rows = stored(met.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "rows")
+    sketched = met.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node", "bands", "sig")
+    heads = sketched.where("node = doc_id").dropDuplicates(["doc_id"])
+    sketches = stored(sketched.where("node IS NULL").unionByName(heads).select(F.col("doc_id").alias("node"), "bands", "sig"), "classes")
+    # Rows with one id but several sets tie the classes of these together.
+    torn = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("_kv_id"))
+    own = stored(rows.join(near(stored(torn, "torn")), F.col("doc_id") == F.col("_kv_id"), "left_semi").where("n > 0 AND node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), "own")
 
     spread = sketches.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
-    members = stored(spread.join(shared, "bucket"), "members")
-    links = star_links(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, docs, width, percent)
+    buckets = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
+    members = stored(spread.join(stored(buckets, "buckets"), "bucket"), "members")
+    links = own.unionByName(star_links(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, docs, width, percent))
     labels = components(links)
 
     mixed = mixed_buckets(members, labels)
@@ -290,20 +346,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     across = x.join(y, apart & (estimate(F.col("x.sig"), F.col("y.sig")) >= percent / 100 - MARGIN)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     more = confirmed(across, docs, width, percent)
 
-    large = stored(mixed.where(F.col("n") > LARGE).select("bucket", "node", "component", stray.alias("stray"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kv_m"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("_kv_s")), "large")
+    large = stored(mixed.where(F.col("n") > LARGE).select("bucket", "node", "component", stray.alias("stray"), "n", "strays"), "large")
     if not large.isEmpty():
-        full = large.join(sketches, "node").join(texts_of(large, docs), "node")
-        h = F.xxhash64("node", F.lit(4))
-        one, every = F.pmod(h, F.col("_kv_s")).cast("int"), F.pmod(h, F.col("_kv_m")).cast("int")
-        columns = ["bucket", "node", "component", "bands", "sig", "text"]
-        against = full.select(*columns, F.lit(False).alias("stray"), every.alias("_kv_j"), F.explode(F.sequence(F.lit(0), F.col("_kv_s") - 1)).alias("_kv_i"))
-        held = full.where("stray").select(*columns, F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("_kv_m") - 1)).alias("_kv_j"), one.alias("_kv_i"))
-        # A group is a block of strays and a block of members.
-        found = against.unionByName(held).groupBy("bucket", "_kv_i", "_kv_j").applyInPandas(block_meeter(width, percent), "a long, b long")
-        more = more.unionByName(stored(found.distinct(), "more"))
+        more = more.unionByName(block_links(large, sketches, docs, width, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
+    labels = stored(labels, "labels")
     out = rows.join(labels.withColumnRenamed("node", "_kv_node"), F.col("node") == F.col("_kv_node"), "left")
     component = F.coalesce("component", "node")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
