@@ -279,7 +279,7 @@ def window_logits(p: dict, windows: list[np.ndarray], words: list[bytes]) -> np.
     return np.concatenate([logits(p, index, proj, mask) for index, mask in (pack(windows[i : i + 1024]) for i in range(0, len(windows), 1024))])
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 6) -> dict:
+def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 6, odds: bool = True) -> dict:
     """Parameters learned from texts with labels 0 and 1, by Adam; the same for the same input.
 
     One text in five only serves to set the level at which a text counts as toxic: the one that
@@ -299,9 +299,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64,
         return start_parameters(np.zeros(WORD_BUCKETS + CHAR_BUCKETS), seed)
     fitted = [d for d, x in zip(docs, test, strict=True) if not x]
     p = start_parameters(bucket_odds(fitted, y[~test], word_buckets(words)), seed)
+    strength = np.concatenate([vectors(p, word_buckets(words[i : i + 8192]))[:, -1] for i in range(0, len(words), 8192)])
+    if not odds:  # they still say which window each text starts with
+        p["L"][:] = 0
     windows = [[d[a:b] for a, b in cut(len(d))] for d in fitted]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "L"}
-    strength = np.concatenate([vectors(p, word_buckets(words[i : i + 8192]))[:, -1] for i in range(0, len(words), 8192)])
     step = 0
     for number in range(rounds):
         # Each text's window with the highest score (at first: the highest log-odds), and another of clean texts.
@@ -360,17 +362,21 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, batch: int = 64,
     return p
 
 
-def fit(spark_docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS) -> dict:
-    """A network from labelled rows outside the held-out fold: of each label the ``texts`` rows with
-    the smallest hash of the id. Whole texts are learned from and set the level, as scoring takes
-    whole texts. Without rows of both labels the network is untrained."""
-    rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+def fit(spark_docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, odds: bool = True) -> dict:
+    """A network from labelled rows outside the held-out fold: of each label the ``texts`` ids with
+    the smallest hash. Whole texts are learned from and set the level, as scoring takes whole texts.
+
+    Ids with both labels, and labels whose document is missing or whose id is null, teach nothing and
+    use up no place; of several texts of one id the least counts. A null text has no words. Without
+    rows of both labels the network is untrained. ``odds`` off leaves the log-odds inputs at 0."""
+    rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_kv_high"))
+    rows = rows.where("toxic = _kv_high").select("doc_id", "toxic").join(spark_docs.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     chosen = [rows.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(texts) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice ``texts`` rows
-    got = spark_docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).collect()
+    got = spark_docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] or "" for r in got], [r["toxic"] for r in got])
+    return train([r["text"] or "" for r in got], [r["toxic"] for r in got], odds=odds)
 
 
 def scorer(p: dict, block: int = 1024, chars: int = 2_000_000):
@@ -383,11 +389,12 @@ def scorer(p: dict, block: int = 1024, chars: int = 2_000_000):
         memo: dict[bytes, int] = {}
         tables = {d: np.empty((0, 3 * HIDDEN), np.float32) for d in "fb"}
         steps = np.arange(WINDOW)[:, None]
+
         def part(texts: list[str | None]):
             """Scores, places and numbers of windows of a bounded amount of text."""
             nonlocal tables
             values = [text_words(t) for t in texts]
-            if len(memo) > 200_000:
+            if len(memo) > 100_000:
                 memo.clear()
                 tables = {d: x[:0] for d, x in tables.items()}
             new = list(dict.fromkeys(w for words in values for w in words if w not in memo))
@@ -443,7 +450,9 @@ def score_toxicity(docs: DataFrame, network: dict) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, network: dict, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with the columns of ``docs``."""
+    """The rows of ``docs`` that score below ``limit``, with the columns of ``docs`` (also one named toxicity).
+
+    Null and empty texts score 0 and stay."""
     own = "toxicity" in docs.columns
     plain = docs.withColumnRenamed("toxicity", "_kv_toxicity") if own else docs
     kept = score_toxicity(plain, network).where(F.col("toxicity.score") < limit).drop("toxicity")
