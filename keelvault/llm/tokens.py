@@ -29,8 +29,9 @@ def content(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def sentencepiece_counter(path: str, memo_limit: int = 400_000):
-    """text -> number of pieces, as a column function.
+def sentencepiece_counter(sent, memo_limit: int = 400_000):
+    """text -> number of pieces, as a column function. ``sent`` holds the model's file, broadcast, so
+    that executors need not see the driver's files.
 
     A piece never spans the start of a run of spaces if no piece of the model has a space mark
     after another character, which is checked on the model; then a text's count is the sum over
@@ -42,7 +43,7 @@ def sentencepiece_counter(path: str, memo_limit: int = 400_000):
 
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         mark = "▁"
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         free = [p for i, p in enumerate(pieces) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
@@ -84,11 +85,14 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str) -> DataFrame
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``; new counts are appended at ``cache_path``.
 
     Null texts count as empty: 0 bytes, 0 tokens. Equal texts are encoded once, whatever rows they
-    are in; rows that repeat an id keep their own counts. Columns of docs named n_bytes or n_tokens
-    are replaced. The cache may not exist yet. An entry that was appended twice (by runs at the
-    same time) is read once."""
+    are in and whatever their ids; rows that repeat or lack an id keep their own counts. Texts of any
+    length are encoded whole. Columns of docs named n_bytes or n_tokens are replaced; an empty table
+    gives an empty table. The cache may not exist yet. An entry that was appended twice (by runs at
+    the same time) is read once."""
     spark = docs.sparkSession
     version = tokenizer_version(model_path)
+    with open(model_path, "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
     base = docs.drop("n_bytes", "n_tokens")
     text = content(F.col("text"))
     digested = base.withColumns({"_kv_digest": F.unhex(F.sha2(text, 256)), "n_bytes": F.octet_length(text).cast("long")})
@@ -100,7 +104,8 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str) -> DataFrame
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             table = spark.createDataFrame([], CACHE_SCHEMA)
-        return table.where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("_kv_cached")).agg(F.max("n_tokens").alias("_kv_tokens"))
+        known = table.where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("_kv_cached")).agg(F.max("n_tokens").alias("_kv_tokens"))
+        return stored(known, "known")  # so that a join with it is one that Spark can split where a text is frequent
 
     # One row stands for each distinct missing text: the digests decide which, without the texts.
     row = F.xxhash64("doc_id")
@@ -108,7 +113,9 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str) -> DataFrame
     missing = stored(missing, "missing").withColumnsRenamed({"_kv_digest": "_kv_missing", "_kv_row": "_kv_first"})
     texts = digested.select("_kv_digest", row.alias("_kv_row"), text.alias("_kv_text"))
     texts = texts.join(missing, (F.col("_kv_row") == F.col("_kv_first")) & (F.col("_kv_digest") == F.col("_kv_missing")), "left_semi")
-    fresh = texts.select(F.lit(version).alias("tokenizer"), F.col("_kv_digest").alias("digest"), sentencepiece_counter(model_path)("_kv_text").alias("n_tokens"))
+    # Rows with one id and one text are left: any of them will do.
+    texts = texts.dropDuplicates(["_kv_row", "_kv_digest"])
+    fresh = texts.select(F.lit(version).alias("tokenizer"), F.col("_kv_digest").alias("digest"), sentencepiece_counter(sent)("_kv_text").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)
 
     counts = cached()
