@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from keelvault.llm.common import shared_folder, stored
 
-MAGIC = "WARC/1.1\r\n"
+VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Up to so many revisits they are broadcast to the pages; beyond, both are shuffled.
 BROADCAST_REVISITS = 200_000
+#: Up to so many pieces of records that were split are broadcast to the archives; beyond, both are shuffled.
+BROADCAST_PIECES = 200_000
 
 PIECES = "file string, block long, piece int, size long, successor long, page_id long, type string, refers_to long, payload_bytes long, digest string, whole boolean, raw binary"
 
@@ -41,7 +43,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, per_file: int = 50_000) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, per_file: int = 50_000, version: str = VERSION) -> None:
     """Write a record for every row of ``pages`` (page_id, url, html) into WARC files at ``path``.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the smallest page_id is
@@ -53,6 +55,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     keyed = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"))
     digests = stored(keyed.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes), "digests")
     firsts = digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
+    firsts = stored(firsts, "firsts")  # so that the join is one that Spark can split where a payload is frequent
     revisits = digests.join(firsts, "sha").where("page_id > first OR page_id IS NULL")
     revisits = stored(revisits.groupBy(F.col("page_id").alias("_kv_page"), F.col("sha").alias("_kv_sha")).agg(F.min("first").alias("first")), "revisits")
     if revisits.count() <= BROADCAST_REVISITS:
@@ -64,7 +67,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     header = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), kind,
+        F.lit(f"{version}\r\nWARC-Type: "), kind,
         F.lit("\r\nWARC-Record-ID: <urn:x-page:"), name,
         F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:"), base32_sha1(F.col("html")),
@@ -75,15 +78,16 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     rows.select(F.concat(header, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
-def read_pieces(spark: SparkSession, path: str, raw_of: DataFrame | None = None) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str, raw_of: DataFrame | None = None, version: str = VERSION) -> DataFrame:
     """The candidates of all files at ``path``: one row for what follows each version line.
 
     Rows are numbered within a block (a split of a file) in their order. With ``raw_of`` (file,
     block, piece) the bytes of those pieces are returned, and of no others."""
-    source = spark.read.option("lineSep", MAGIC).text(path)
+    line = f"{version}\r\n"
+    source = spark.read.option("lineSep", line).text(path)
     rows = source.select(F.col("value").cast("binary").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
     with_raw = raw_of is not None
-    magic, end, http = MAGIC.encode(), END.encode(), HTTP.encode()
+    magic, end, http = line.encode(), END.encode(), HTTP.encode()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = re.compile(rb"^([A-Za-z-]+): *(.*?) *\r?$", re.M)
@@ -144,7 +148,7 @@ def chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
     A file's table has a few numbers for each record, whatever the payloads' sizes."""
     pdf = pdf.sort_values(["block", "piece"], ignore_index=True)
-    step = len(MAGIC)
+    step = len(VERSION) + 2  # all versions are as long
     sizes = pdf["size"].to_numpy() + step
     offsets = np.cumsum(sizes) - sizes - step  # of the version line before each piece
     claims = pdf["successor"].to_numpy(dtype="float64", na_value=np.nan)
@@ -161,14 +165,15 @@ def chain(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) for each true record.
+def read_archives(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) for each true record of a
+    version (``WARC/1.0`` or ``WARC/1.1``). Records with ids of another form have a null page_id.
 
     Digests and sizes of responses are those of the payload as read; a revisit has those that its
     header states. Records whose successor is not a record nor the file's end are left out, and so
     is all that the chain from the file's start does not reach. Folders without records give an
     empty table."""
-    pieces = stored(read_pieces(spark, path).drop("raw"), "pieces")
+    pieces = stored(read_pieces(spark, path, version=version).drop("raw"), "pieces")
     links = "file string, block long, piece int, start long, part long, head boolean, good boolean"
     placed = stored(pieces.select("file", "block", "piece", "size", "successor").groupBy("file").applyInPandas(chain, links), "chain").where("good")
     # The type of whole records is known; the others have more than one piece.
@@ -179,16 +184,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     out = simple.join(several, ["file", "start"], "left_anti").select(*columns)
     parts = placed.join(several, ["file", "start"], "left_semi").select("file", "block", "piece", "start", "part")
     parts = stored(parts, "parts")
-    if parts.isEmpty():
+    n = parts.count()
+    if not n:
         return out
+    if n <= BROADCAST_PIECES:
+        parts = F.broadcast(parts)
+    magic = f"{version}\r\n".encode()
 
     def unite(group: pd.DataFrame) -> pd.DataFrame:
-        body = MAGIC.encode().join(group.sort_values("part")["raw"])
+        body = magic.join(group.sort_values("part")["raw"])
         block = body.partition(END.encode())[2][: -len(END)]
         payload = block.partition(END.encode())[2]
         return pd.DataFrame({"file": group["file"][:1].tolist(), "start": group["start"][:1].tolist(), "n": [len(payload)], "d": [base64.b32encode(hashlib.sha1(payload).digest()).decode()]})
 
-    raw = read_pieces(spark, path, parts.select("file", "block", "piece")).select("file", "block", "piece", "raw")
+    raw = read_pieces(spark, path, parts.select("file", "block", "piece"), version).select("file", "block", "piece", "raw")
     # A group is the pieces of one record.
     united = raw.join(parts, ["file", "block", "piece"]).groupBy("file", "start").applyInPandas(unite, "file string, start long, n long, d string")
     more = records.join(united, ["file", "start"]).select("page_id", F.when(F.col("type") == "revisit", F.col("payload_bytes")).otherwise(F.col("n")).alias("payload_bytes"), F.when(F.col("type") == "revisit", F.col("digest")).otherwise(F.col("d")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
