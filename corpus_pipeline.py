@@ -6,7 +6,6 @@ written as Parquet and read again as the next stage's input."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keelvault.llm import decontaminate, mixing, neardup, sharding, toxicity
 from keelvault.llm.common import documents, stored
@@ -32,8 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: once for each epoch that it is in, or not at all.
 
     Documents with null, empty or blank texts are taken by the epochs of their source as well."""
-    mixed = mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("times").alias("_kv_times"))
-    return mixed.where("_kv_times > 0").withColumn("_kv_time", F.explode(F.sequence(F.lit(1), F.col("_kv_times")))).drop("_kv_times", "_kv_time")
+    return mixing.repeated(docs)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
