@@ -23,15 +23,19 @@ def odd_rows():
     rows += [(100 + i, common * 4, "a") for i in range(3)]
     rows += [(200, None, "a"), (201, "", None), (202, " \t\n\x0b ", "b"), (203, "one two three four five six seven eight " * 9, "b"), (204, "x\n\nx\n x\nX #*$%&|<>", None)]
     rows += [(205, "a a a a a a a a a", "b"), (206, "a b c d e f g h\ta b c d e f g h", "b"), (207, "word " * 40, "c"), (207, "word " * 40, "c"), (None, "null id " * 20, "c")]
+    # Rows that repeat an id are one document, also those without one.
+    rows += [(300, "said by one document " * 8, "d")] * 1000 + [(None, "said without an id " * 8, "d")] * 30
     return rows
 
 
 def plain_lines(rows):
-    host_docs, seen = Counter(s for _, _, s in rows), defaultdict(Counter)
+    seen = defaultdict(lambda: defaultdict(set))
     key = lambda x: re.sub(r"[\x20\x09-\x0D]+", "", x).lower()
-    for _, t, s in rows:
-        seen[s].update({key(x) for x in (t or "").split("\n") if WORD.search(x)})
-    often = {s: {k for k, n in c.items() if n > 10 and n > 0.005 * host_docs[s]} for s, c in seen.items()}
+    for i, t, s in rows:
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                seen[s][key(x)].add(i)
+    often = {s: {k for k, ids in c.items() if len(ids) > 10} for s, c in seen.items()}
     out = []
     for i, t, s in rows:
         t = t or ""
@@ -77,9 +81,9 @@ def test_mix_sql(spark, duck):
     same_as_sql(registry.QUERIES["op10_mix_sources"](spark, SF), duck, registry.ORACLES["op10_mix_sources"])
 
 
-def plain_targets(sizes, most=3):
+def plain_targets(sizes, most=3, weights=(1, 2, 3)):
     order = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
-    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     fixed, total = {}, sum(sizes.values())
     while True:
         free = [s for s in order if s not in fixed]
@@ -115,6 +119,32 @@ def test_mix(spark):
     assert mixing.mix(docs_frame(spark, [])).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """Of equal rows, also those without an id, as many are taken as fit."""
+    rows = [(None, "w " * 10, "a")] * 900 + [(3, "v " * 300, "a")] * 100 + [(3, "v " * 500, "a")] * 20 + [(i, "u " * 10, "b") for i in range(10, 40)]
+    docs = docs_frame(spark, rows).withColumn("target", F.lit("own"))
+    got = mixing.mix(docs.drop("target"), weights=(1, 200)).collect()
+    total = Counter()
+    for r in got:
+        total[r.source] += r.taken
+        assert r.taken in (r.size * k for k in range(4))
+    want = plain_targets({"a": 9000 + 30000 + 10000, "b": 300}, 3, (1, 200))
+    assert all(abs(total[s] - want[s]) <= 500 for s in want)
+    again = mixing.repeated(docs).collect()
+    assert all(r.target == "own" for r in again)
+
+
+def test_targets_of_many_sources(spark):
+    """Ordered in ranges, the targets are those that one task gives."""
+    rng = np.random.default_rng(3)
+    sizes = spark.createDataFrame([(None if i == 7 else f"s{i:05}", int(rng.integers(0, 500))) for i in range(700)], "source string, source_size long")
+    one = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    many = {r.source: r.target for r in mixing.source_targets(sizes, single=10).collect()}
+    assert one == many and len(one) == 700
+    want = plain_targets({r.source: r.source_size for r in sizes.collect()})
+    assert all(abs(one[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_heavier_documents_come_first(spark):
     """Of documents with equal sizes those with ten times the weight are taken far more often."""
     docs = docs_frame(spark, [(i, "w " * 10, "a" if i < 2000 else "b") for i in range(4000)])
@@ -147,5 +177,28 @@ def test_shards(spark):
     again = sharding.shuffle_to_shards(df.repartition(5)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert sharding.shuffle_to_shards(docs_frame(spark, [])).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = sharding.shuffle_to_shards(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(map(str, other)) == sorted(map(str, got))
     ids = [r.doc_id for r in sharding.shuffle_to_shards(docs_frame(spark, [(i, "t", "a") for i in range(4000)])).where("shard = 0").orderBy("slot").collect()]
     assert abs(np.corrcoef(ids, range(len(ids)))[0, 1]) < 0.15
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """Copies of one row go to all shards and slots like any others."""
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    rows = [(1, "same", "a")] * 800 + [(None, None, None)] * 3 + [(i, "t", "b") for i in range(10, 210)]
+    df = docs_frame(spark, rows).withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    got = sharding.shuffle_to_shards(df, partitions=32).collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in got) == sorted(str(r) for r in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} <= {125, 126}
+    copies = Counter(r.shard for r in got if r.doc_id == 1)
+    assert len(copies) == 8 and min(copies.values()) > 75
+    again = sharding.shuffle_to_shards(df.repartition(5), partitions=32).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))

@@ -68,3 +68,26 @@ def test_mixing_keeps_empty_texts(spark):
     got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
     assert {got[i] for i in (103, 104)} <= {3} and all(got[i] == 3 for i in range(1, 40, 2))
     assert all(got[i] <= 1 for i in (100, 101, 102)) and got[105] == 1
+
+
+def test_stages_on_odd_tables(spark):
+    """Every stage on nulls in all columns, empty and very long texts, repeated rows, clashing columns and no rows."""
+    long = " ".join(f"long{i % 5000}" for i in range(40_000))
+    rows = [(1, "plain words in a text", "a"), (1, "plain words in a text", "a"), (2, None, None), (None, "no id here at all", "a"), (None, None, None), (3, "", "b"), (4, " \n\t", "b"), (5, long, "b"), (6, long, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = ["toxicity", "scan", "node", "component_id", "size", "target", "times", "_kv", "digest", "hits"]
+    for name in clash:
+        docs = docs.withColumn(name, docs.source)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stored(stage(spark, docs, SF), name)
+        out = got.collect()
+        new = ["shard", "slot"] if name == "sharding" else []
+        assert got.columns == docs.columns + new, name
+        assert all(r[c] == r.source for r in out for c in clash), name
+        assert {str((r.doc_id, r.text, r.source)) for r in out} <= {str(r) for r in rows}, name
+        counts = Counter(str(r.doc_id) for r in out)
+        if name in ("toxicity", "decontamination", "sharding"):
+            assert counts == Counter(str(i) for i, _, _ in rows), name
+        if name == "near_duplicates":
+            assert counts == Counter({"1": 2, "2": 1, "None": 2, "3": 1, "4": 1, "5": 1}), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
