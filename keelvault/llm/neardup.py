@@ -38,7 +38,7 @@ ROWS, BANDS, BITS = 7, 48, 4
 #: Estimates have a standard deviation of 0.023 at the limit; pairs more than four of them below are dropped.
 MARGIN = 0.1
 #: Buckets of more members are worked on in blocks of so many rows.
-LARGE, BLOCK = 64, 1024
+LARGE, BLOCK = 64, 512
 #: Sets of ids up to so many rows are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 300_000
 
@@ -197,7 +197,7 @@ def partners(s: pd.DataFrame, m: pd.DataFrame, bucket: int, least: float) -> Ite
 
 
 def block_flagger(percent: int):
-    """(bucket, node, stray, _kv_i, _kv_j) of the rows of one block that have a likely partner in it."""
+    """(bucket, node, component, stray, _kv_i, _kv_j) of the rows of one block that have a likely partner in it."""
     least = percent / 100 - MARGIN
 
     def flag(group: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +208,7 @@ def block_flagger(percent: int):
             for i, found in partners(s, m, group["bucket"].iloc[0], least):
                 some_s[i] = len(found) > 0
                 some_m[found] = True
-        return pd.concat([s[some_s], m[some_m]])[["bucket", "node", "stray", "_kv_i", "_kv_j"]]
+        return pd.concat([s[some_s], m[some_m]])[["bucket", "node", "component", "stray", "_kv_i", "_kv_j"]]
 
     return flag
 
@@ -255,18 +255,18 @@ def block_links(large: DataFrame, sketches: DataFrame, docs: DataFrame, width: i
     """Links between strays and other members of large buckets (bucket, node, component, stray, n, strays)."""
     h = F.xxhash64("node", F.lit(4))
     _m, _s = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "strays"))
-    placed = large.select("bucket", "node", "component", "stray", _m.alias("_kv_m"), _s.alias("_kv_s"))
+    # Each member meets its sketch once, before it is dealt to blocks.
+    placed = large.select("bucket", "node", "component", "stray", _m.alias("_kv_m"), _s.alias("_kv_s")).join(sketches, "node")
     one, every = F.pmod(h, F.col("_kv_s")).cast("int"), F.pmod(h, F.col("_kv_m")).cast("int")
-    against = placed.select("bucket", "node", "component", F.lit(False).alias("stray"), every.alias("_kv_j"), F.explode(F.sequence(F.lit(0), F.col("_kv_s") - 1)).alias("_kv_i"))
-    held = placed.where("stray").select("bucket", "node", "component", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("_kv_m") - 1)).alias("_kv_j"), one.alias("_kv_i"))
+    own = ["bucket", "node", "component", "bands", "sig"]
+    against = placed.select(*own, F.lit(False).alias("stray"), every.alias("_kv_j"), F.explode(F.sequence(F.lit(0), F.col("_kv_s") - 1)).alias("_kv_i"))
+    held = placed.where("stray").select(*own, F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("_kv_m") - 1)).alias("_kv_j"), one.alias("_kv_i"))
     block = ["bucket", "_kv_i", "_kv_j"]
-    signed = against.unionByName(held).join(sketches, "node")
     # A group is a block of strays and a block of members.
-    flagged = stored(signed.groupBy(*block).applyInPandas(block_flagger(percent), "bucket long, node long, stray boolean, _kv_i int, _kv_j int"), "flagged")
+    flagged = stored(against.unionByName(held).groupBy(*block).applyInPandas(block_flagger(percent), "bucket long, node long, component long, stray boolean, _kv_i int, _kv_j int"), "flagged")
     if flagged.isEmpty():
         return flagged.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    labels = large.select("node", "component").distinct()
-    full = flagged.join(labels, "node").join(sketches, "node").join(texts_of(flagged, docs), "node")
+    full = flagged.join(texts_of(flagged, docs).join(sketches, "node"), "node")
     return stored(full.groupBy(*block).applyInPandas(block_meeter(width, percent), "a long, b long").distinct(), "more")
 
 
