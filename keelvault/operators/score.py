@@ -29,72 +29,91 @@ def set_f1(found: DataFrame, golden: DataFrame, keys: Sequence[str], kind: str =
 
 
 def mean_f1(scores: DataFrame) -> DataFrame:
+    """(mean_f1, n_kinds) over the kinds that golden has."""
     return scores.agg(F.avg("f1").alias("mean_f1"), F.count("*").alias("n_kinds"))
 
 
 def match_groups(found: DataFrame, golden: DataFrame, name: str = "name", member: str = "member") -> DataFrame:
-    """(found_name, golden_name): groups with equal multisets of members. Each group matches at most
-    one: equal names first, then in order of names."""
-    def sets(df: DataFrame, as_name: str) -> DataFrame:
-        return df.groupBy(F.col(name).alias(as_name)).agg(F.array_join(F.sort_array(F.collect_list(normalize_identifier(member))), ",").alias("_kv_set"))
+    """(found_name, golden_name): golden groups with the found group of the same multiset of members.
 
-    a, b = sets(found, "found_name"), sets(golden, "golden_name")
-    same = a.join(b, (F.col("found_name") == F.col("golden_name")) & (a["_kv_set"] == b["_kv_set"])).select("found_name", "golden_name")
-    from pyspark.sql import Window
+    Names count only where several found groups have these members: then the one with the same
+    normalised name is meant, and without such a one the golden group stays unmatched."""
 
-    def rest(df: DataFrame, as_name: str) -> DataFrame:
-        left = df.join(same.select(as_name), as_name, "left_anti")
-        return left.withColumn("_kv_n", F.row_number().over(Window.partitionBy("_kv_set").orderBy(as_name)))
+    def sets(df: DataFrame, as_name: str) -> DataFrame:
+        return df.groupBy(F.col(name).alias(as_name)).agg(F.md5(F.array_join(F.sort_array(F.collect_list(normalize_identifier(member))), ",").cast("binary")).alias("_kv_set"))
 
-    others = rest(a, "found_name").join(rest(b, "golden_name"), ["_kv_set", "_kv_n"]).select("found_name", "golden_name")
-    return same.unionByName(others)
+    a, b = sets(found, "found_name"), sets(golden, "golden_name")
+    by_set = a.groupBy("_kv_set").agg(F.count("*").alias("_kv_n"), F.min("found_name").alias("_kv_only"))
+    by_name = a.groupBy("_kv_set", normalize_identifier("found_name").alias("_kv_name")).agg(F.min("found_name").alias("_kv_named"))
+    met = b.join(by_set, "_kv_set").withColumn("_kv_name", normalize_identifier("golden_name")).join(by_name, ["_kv_set", "_kv_name"], "left")
+    chosen = F.when(F.col("_kv_n") == 1, F.col("_kv_only")).otherwise(F.col("_kv_named"))
+    return met.select(chosen.alias("found_name"), "golden_name").where("found_name IS NOT NULL")
 
 
 def group_set_accuracy(matches: DataFrame, found: DataFrame, golden: DataFrame, name: str = "name", element: str = "element") -> DataFrame:
-    """(n_groups, accuracy): share of matched groups with the same subset, such as driving keys; a
-    group without elements has the empty one; 1.0 without groups."""
+    """(n_groups, n_right, accuracy): golden groups that declare a subset, such as a driving key, and
+    those whose matched group declares the same; one without a counterpart is a miss; 1.0 without groups."""
+
     def sets(df: DataFrame, as_name: str, as_set: str) -> DataFrame:
         return df.groupBy(F.col(name).alias(as_name)).agg(F.sort_array(F.collect_set(normalize_identifier(element))).alias(as_set))
 
-    empty = F.array().cast("array<string>")
-    met = matches.join(sets(found, "found_name", "f"), "found_name", "left").join(sets(golden, "golden_name", "g"), "golden_name", "left")
-    equal = F.coalesce("f", empty) == F.coalesce("g", empty)
-    return met.agg(F.count("*").alias("n_groups"), F.coalesce(F.avg(equal.cast("int")), F.lit(1.0)).alias("accuracy"))
+    met = sets(golden, "golden_name", "g").join(matches, "golden_name", "left").join(sets(found, "found_name", "f"), "found_name", "left")
+    one = met.agg(F.count("*").alias("n_groups"), F.count_if(F.col("f") == F.col("g")).alias("n_right"))
+    return one.withColumn("accuracy", _ratio(F.col("n_right"), F.col("n_groups"), 1.0))
+
 
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns normalised, and ``entity``: a concept is a label of an entity, or of
+    none in frames without that column."""
+    entity = F.coalesce(normalize_identifier("entity"), F.lit("")) if "entity" in df.columns else F.lit("")
+    return df.withColumns({c: normalize_identifier(c) for c in columns} | {"entity": entity})
 
-def _right(proposals: DataFrame, golden: DataFrame) -> DataFrame:
-    """Distinct proposals (concept, table, column) on golden concepts, and whether they are right; a
-    concept may have several golden columns, each of them right."""
-    g = golden.select(normalize_identifier("concept").alias("concept"), normalize_identifier("table").alias("table"), normalize_identifier("column").alias("column")).distinct()
-    p = proposals.withColumns({c: normalize_identifier(c) for c in ("concept", "table", "column")})
-    p = p.join(g.select("concept").distinct(), "concept", "left_semi")
-    return p.join(g.withColumn("_kv_g", F.lit(1)), ["concept", "table", "column"], "left").withColumn("right", F.col("_kv_g").isNotNull()).drop("_kv_g")
 
+CONCEPT, PAIR = ["concept", "entity"], ["table", "column"]
 
-def mapping_accuracy(proposals: DataFrame, golden: DataFrame) -> DataFrame:
-    """(n_proposed, n_golden, n_right, f1) over the golden concepts; any listed column is right."""
-    p = _right(proposals.select("concept", "table", "column").distinct(), golden)
-    one = p.agg(F.count("*").alias("n_proposed"), F.count_distinct(F.when(F.col("right"), F.col("concept"))).alias("n_right"))
-    n = golden.agg(F.count_distinct(normalize_identifier("concept")).alias("n_golden"))
-    return one.crossJoin(n).select("n_proposed", "n_golden", "n_right", _f1(F.col("n_right"), F.col("n_proposed"), F.col("n_golden")).alias("f1"))
+
+def _scored(proposals: DataFrame, golden: DataFrame, gaps: DataFrame | None) -> DataFrame:
+    """Proposals on the concepts that ``golden`` or ``gaps`` judge, and whether they are right: a concept
+    may have several golden columns, each of them right; a gap has none."""
+    g = _named(golden, "concept", *PAIR).select(*CONCEPT, *PAIR).distinct()
+    judged = g.select(*CONCEPT)
+    if gaps is not None:
+        judged = judged.unionByName(_named(gaps, "concept").select(*CONCEPT))
+    p = _named(proposals, "concept", *PAIR).join(judged.distinct(), CONCEPT, "left_semi")
+    return p.join(g.withColumn("_kv_g", F.lit(1)), [*CONCEPT, *PAIR], "left").withColumn("right", F.col("_kv_g").isNotNull()).drop("_kv_g")
+
+
+def mapping_accuracy(proposals: DataFrame, golden: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(n_proposed, n_golden, n_right, n_concepts, f1) over the concepts of ``golden`` and ``gaps``.
+
+    Precision is the share of right proposals (n_right of n_proposed), recall that of golden concepts
+    with a right proposal (n_concepts of n_golden). Proposals on gaps are wrong, those on other
+    concepts don't count. 1.0 with nothing to judge."""
+    p = _scored(proposals, golden, gaps)
+    one = p.agg(F.count("*").alias("n_proposed"), F.count_if("right").alias("n_right"), F.count_distinct(F.when(F.col("right"), F.struct(*CONCEPT))).alias("n_concepts"))
+    n = _named(golden, "concept").agg(F.count_distinct(F.struct(*CONCEPT)).alias("n_golden"))
+    precision, recall = _ratio(F.col("n_right"), F.col("n_proposed"), 0.0), _ratio(F.col("n_concepts"), F.col("n_golden"), 0.0)
+    f1 = F.when((F.col("n_golden") == 0) & (F.col("n_proposed") == 0), 1.0).otherwise(_ratio(2 * precision * recall, precision + recall, 0.0))
+    return one.crossJoin(n).select("n_proposed", "n_golden", "n_right", "n_concepts", f1.alias("f1"))  # two single rows
 
 
 def gap_recall(gaps: DataFrame, proposals: DataFrame, golden_gaps: DataFrame) -> DataFrame:
     """(n_golden, n_found, n_forced, recall): concepts without a source that were named as gaps, and
-    those that a proposal binds all the same."""
-    g = golden_gaps.select(normalize_identifier("concept").alias("concept")).distinct()
-    named = gaps.select(normalize_identifier("concept").alias("concept")).distinct().withColumn("_kv_n", F.lit(1))
-    bound = proposals.select(normalize_identifier("concept").alias("concept")).distinct().withColumn("_kv_b", F.lit(1))
-    met = g.join(named, "concept", "left").join(bound, "concept", "left")
-    one = met.agg(F.count("*").alias("n_golden"), F.count_if(F.col("_kv_n").isNotNull() & F.col("_kv_b").isNull()).alias("n_found"), F.count("_kv_b").alias("n_forced"))
+    those that a proposal binds, whether named or not."""
+    g = _named(golden_gaps, "concept").select(*CONCEPT).distinct()
+    named = _named(gaps, "concept").select(*CONCEPT).distinct().withColumn("_kv_n", F.lit(1))
+    bound = _named(proposals, "concept").select(*CONCEPT).distinct().withColumn("_kv_b", F.lit(1))
+    met = g.join(named, CONCEPT, "left").join(bound, CONCEPT, "left")
+    one = met.agg(F.count("*").alias("n_golden"), F.count("_kv_n").alias("n_found"), F.count("_kv_b").alias("n_forced"))
     return one.withColumn("recall", _ratio(F.col("n_found"), F.col("n_golden"), 1.0))
 
 
 def mapping_coverage(proposals: DataFrame, golden: DataFrame) -> DataFrame:
-    """(n_golden, n_found, coverage): recall on (table, column) pairs, whatever the concept."""
-    pair = [normalize_identifier("table").alias("table"), normalize_identifier("column").alias("column")]
-    g = golden.select(*pair).distinct()
-    met = g.join(proposals.select(*pair).distinct().withColumn("_kv_p", F.lit(1)), ["table", "column"], "left")
+    """(n_golden, n_found, coverage): golden concepts of which some proposal, on whatever concept,
+    binds one of the listed (table, column) pairs."""
+    g = _named(golden, "concept", *PAIR).select(*CONCEPT, *PAIR).distinct()
+    p = _named(proposals, *PAIR).select(*PAIR).distinct().withColumn("_kv_p", F.lit(1))
+    met = g.join(p, PAIR, "left").groupBy(*CONCEPT).agg(F.max("_kv_p").alias("_kv_p"))
     return met.agg(F.count("*").alias("n_golden"), F.count("_kv_p").alias("n_found")).withColumn("coverage", _ratio(F.col("n_found"), F.col("n_golden"), 1.0))
 
 
@@ -105,41 +124,43 @@ def false_friend_hits(proposals: DataFrame, forbidden: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.when(F.col("n_hits") == 0, 1.0).otherwise(0.0))
 
 
-def calibration(proposals: DataFrame, golden: DataFrame) -> DataFrame:
-    """(n_right, n_wrong, margin): mean confidence of right proposals less that of wrong ones, within
-    0 and 1; 1.0 when nothing is wrong."""
-    p = _right(proposals.select("concept", "table", "column", "confidence"), golden)
+def calibration(proposals: DataFrame, golden: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(n_right, n_wrong, margin): mean confidence of right proposals less that of wrong ones, those on
+    gaps included, within 0 and 1; 1.0 when nothing is wrong."""
+    p = _scored(proposals, golden, gaps)
     one = p.agg(F.count_if("right").alias("n_right"), F.count_if(~F.col("right")).alias("n_wrong"), F.avg(F.when(F.col("right"), F.col("confidence"))).alias("r"), F.avg(F.when(~F.col("right"), F.col("confidence"))).alias("w"))
     margin = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)) - F.col("w")))
     return one.select("n_right", "n_wrong", F.when(F.col("n_wrong") == 0, 1.0).otherwise(margin).alias("margin"))
 
 
-#: Answers of a resolution that merge nothing.
-NOT_MERGED = ("NEW", "unresolved")
+# The answers of a resolution that merge nothing.
+NEW, SAME_AS, UNRESOLVED = "NEW", "same_as_candidate", "unresolved"
 
 
 def false_merge_rate(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
     """(n_merges, n_false, score): merges on golden keys that differ from the golden answer; one is
-    enough for a score of 0."""
+    enough for a score of 0. New, same-as and unresolved answers merge nothing."""
     g = golden.select("key", F.col("resolution").alias("expected"))
-    met = resolutions.join(g, "key").where(~F.col("resolution").isin(*NOT_MERGED))
+    met = resolutions.join(g, "key").where(~F.col("resolution").isin(NEW, SAME_AS, UNRESOLVED))
     one = met.agg(F.count("*").alias("n_merges"), F.count_if(F.col("resolution") != F.col("expected")).alias("n_false"))
     return one.withColumn("score", F.when(F.col("n_false") > 0, 0.0).otherwise(1.0))
 
 
 def resolution_accuracy(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
-    """(n_golden, n_right, accuracy): keys whose only answer is the golden one; none or several differing are wrong."""
-    answers = resolutions.groupBy("key").agg(F.min("resolution").alias("a"), F.max("resolution").alias("b"))
-    met = golden.join(answers, "key", "left")
-    right = F.coalesce((F.col("a") == F.col("b")) & (F.col("a") == F.col("resolution")), F.lit(False))
-    return met.agg(F.count("*").alias("n_golden"), F.count_if(right).alias("n_right")).withColumn("accuracy", _ratio(F.col("n_right"), F.col("n_golden"), 1.0))
+    """(n_golden, n_right, accuracy): keys whose answers are all the golden one, for same-as answers with
+    the golden target; no answer and answers that differ are wrong."""
+    g = golden.select("key", F.col("resolution").alias("want"), F.col("same_as").alias("want_as"))
+    same = F.col("resolution") == F.col("want")
+    ok = same & ((F.col("want") != SAME_AS) | F.col("same_as").eqNullSafe(F.col("want_as")))
+    met = g.join(resolutions, "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
+    return met.agg(F.count("*").alias("n_golden"), F.count_if("ok").alias("n_right")).withColumn("accuracy", _ratio(F.col("n_right"), F.col("n_golden"), 1.0))
 
 
 def non_merge_recall(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
-    """(n_golden, n_found, recall) of golden keys that must not be merged (NEW, or with a same_as):
-    found when every answer on them says the same."""
-    g = golden.where((F.col("resolution") == "NEW") | F.col("same_as").isNotNull()).select("key", F.col("resolution").alias("want"), F.col("same_as").alias("want_as"))
-    ok = (F.col("resolution") == F.col("want")) & F.col("same_as").eqNullSafe(F.col("want_as"))
+    """(n_golden, n_found, recall) of golden keys that must not be merged (new or same-as): found when
+    every answer on them is the golden one."""
+    g = golden.where(F.col("resolution").isin(NEW, SAME_AS)).select("key", F.col("resolution").alias("want"))
+    ok = F.col("resolution") == F.col("want")
     met = g.join(resolutions, "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
     return met.agg(F.count("*").alias("n_golden"), F.count_if("ok").alias("n_found")).withColumn("recall", _ratio(F.col("n_found"), F.col("n_golden"), 1.0))
 
