@@ -1,7 +1,8 @@
 """Vault loads. Each gives the new rows for a target; the caller appends them.
 
 Loads are insert-only and idempotent. First rows are found by aggregation, so that rows of a hot
-key are combined before they are shuffled; targets are met by anti and semi joins on hash keys."""
+key are combined before they are shuffled; targets are met by anti and semi joins on hash keys. Of
+a target with a history only the rows of the batch's keys go into an aggregation."""
 
 from __future__ import annotations
 
@@ -52,6 +53,13 @@ def load_t_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequen
     return _absent(_first(stage.where(F.col(eff).isNotNull()), pk, [*fks, eff, *payload]), target, pk)
 
 
+def _of_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a target whose keys (nulls are equal) are in a batch."""
+    wanted = batch.select(*[F.col(k).alias(f"_kv_b_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_kv_b_{k}")) for k in keys])
+    return target.join(wanted, same, "left_semi")
+
+
 def _latest(target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
     return target.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by(hashdiff, LDTS).alias("_kv_diff"))
 
@@ -67,14 +75,14 @@ def load_sat(stage: DataFrame, target: DataFrame | None, pk: str, hashdiff: str,
     before = F.lag(hashdiff).over(Window.partitionBy(pk).orderBy(LDTS))
     if target is None:
         return once.withColumn("_kv_before", before).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before"))).select(*columns)
-    met = once.join(_latest(target, pk, hashdiff), F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
+    met = once.join(_latest(_of_batch(target, stage, [pk]), pk, hashdiff), F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
     changed = met.withColumn("_kv_before", F.coalesce(before, "_kv_diff")).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before")))
     return changed.select(*columns)
 
 
 def late_rows(stage: DataFrame, target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
     """Staged rows that are older than the target's latest row of their key: for quarantine."""
-    return stage.join(_latest(target, pk, hashdiff).drop("_kv_diff"), F.col(pk) == F.col("_kv_pk")).where(F.col(LDTS) < F.col("_kv_ldts")).drop("_kv_pk", "_kv_ldts")
+    return stage.join(_latest(_of_batch(target, stage, [pk]), pk, hashdiff).drop("_kv_diff"), F.col(pk) == F.col("_kv_pk")).where(F.col(LDTS) < F.col("_kv_ldts")).drop("_kv_pk", "_kv_ldts")
 
 
 def load_sat_per_feed(stages: dict[str, DataFrame], targets: dict[str, DataFrame], pk: str, hashdiff: str, payload: Sequence[str]) -> dict[str, DataFrame]:
@@ -87,26 +95,29 @@ def load_sat_bound(stages: dict[str, DataFrame], feed: str, target: DataFrame |
     return load_sat(stages[feed], target, pk, hashdiff, payload)
 
 
-def _sets(rows: DataFrame, pk: str, cdk: Sequence[str], hashdiff: str) -> DataFrame:
-    """(pk, load time, digest of the set of child keys and hashdiffs); a set is one parent's rows of one load."""
-    member = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("^^")) for c in cdk], hashdiff)
-    return rows.groupBy(pk, LDTS).agg(F.md5(F.array_join(F.sort_array(F.collect_set(member)), ",").cast("binary")).alias("_kv_set"))
+def _sets(once: DataFrame, pk: str, cdk: Sequence[str], hashdiff: str) -> DataFrame:
+    """(pk, load time, number and hash sums of the set of child keys and hashdiffs): a set is one parent's
+    distinct rows of one load, and is never gathered."""
+    marks = [c for k in cdk for c in (F.col(k), F.col(k).isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(i), *marks, F.col(hashdiff)).cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    return once.groupBy(pk, LDTS).agg(F.concat_ws(",", F.count("*"), *sums).alias("_kv_set"))
 
 
 def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequence[str], hashdiff: str, payload: Sequence[str]) -> DataFrame:
     """Several rows at a time for each parent: when the set of (child key, hashdiff) differs from the
     set before, the whole new set is inserted."""
     columns = [pk, *cdk, hashdiff, *payload, LDTS, SOURCE]
+    member = [pk, *cdk, hashdiff, LDTS]
     rows = stage.where(F.col(pk).isNotNull())
-    sets = _sets(rows, pk, cdk, hashdiff)
+    once = rows.groupBy(*member).agg(F.min(F.struct(*payload, SOURCE)).alias("x")).select(*member, *[F.col(f"x.{c}").alias(c) for c in (*payload, SOURCE)])
+    sets = _sets(rows.select(*member).distinct(), pk, cdk, hashdiff)
     before = F.lag("_kv_set").over(Window.partitionBy(pk).orderBy(LDTS))
     if target is not None:
-        known = _sets(target, pk, cdk, hashdiff).groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by("_kv_set", LDTS).alias("_kv_known"))
+        held = _sets(_of_batch(target, rows, [pk]).select(*member).distinct(), pk, cdk, hashdiff)
+        known = held.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by("_kv_set", LDTS).alias("_kv_known"))
         sets = sets.join(known, F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
         before = F.coalesce(before, "_kv_known")
     changed = sets.withColumn("_kv_before", before).where(~F.col("_kv_set").eqNullSafe(F.col("_kv_before"))).select(pk, LDTS)
-    least = F.min(F.struct(*payload, SOURCE)).alias("x")
-    once = rows.groupBy(pk, *cdk, hashdiff, LDTS).agg(least).select(pk, *cdk, hashdiff, LDTS, *[F.col(f"x.{c}").alias(c) for c in (*payload, SOURCE)])
     return once.join(changed, [pk, LDTS], "left_semi").select(*columns)
 
 
@@ -123,8 +134,23 @@ def current_effectivity(target: DataFrame, pk: str) -> DataFrame:
     return target.groupBy(pk).agg(last).select(pk, *[F.col(f"x.{c}").alias(c) for c in (LDTS, end, *others)])
 
 
-def _equal(left: str, right: str, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
+def _effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
+    """New relationships of a batch (``n``) beside the open ones of its driving keys (``c``): both
+    where a relationship goes on, one where it begins or is gone. ``_kv_bad`` marks new ones that start
+    before one that is gone; ``_kv_start``, ``_kv_ldts``, ``_kv_source`` are of the sound new ones of the
+    driving key, the earliest start, and ``_kv_key`` is the driving key."""
+    values = [pk, *dfk, *sfk, "START_DATE", LDTS, SOURCE]
+    opened = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).select(F.col(pk).alias("_kv_n"), F.struct(*values).alias("n"))
+    current = current_effectivity(_of_batch(target, batch, dfk), pk).where(F.col("END_DATE") == high_date(target))
+    current = current.select(F.col(pk).alias("_kv_c"), F.struct(*values).alias("c"))
+    met = opened.join(current, F.col("_kv_n") == F.col("_kv_c"), "full_outer")
+    met = met.withColumn("_kv_key", F.struct(*[F.coalesce(f"n.{c}", f"c.{c}").alias(c) for c in dfk]))
+    key = Window.partitionBy("_kv_key")
+    begins, gone = F.col("_kv_c").isNull(), F.col("_kv_n").isNull()
+    met = met.withColumn("_kv_open", F.max(F.when(gone, F.col("c.START_DATE"))).over(key))
+    met = met.withColumn("_kv_bad", begins & F.coalesce(F.col("n.START_DATE") < F.col("_kv_open"), F.lit(False)))
+    sound = begins & ~F.col("_kv_bad")
+    return met.withColumns({"_kv_start": F.min(F.when(sound, F.col("n.START_DATE"))).over(key), "_kv_ldts": F.max(F.when(sound, F.col(f"n.{LDTS}"))).over(key), "_kv_source": F.min(F.when(sound, F.col(f"n.{SOURCE}"))).over(key)})
 
 
 def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
@@ -133,29 +159,21 @@ def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Seque
     Relationships that aren't open are opened. For the driving keys of the batch, open relationships
     that it doesn't hold get a closing record that ends with the earliest start among the new ones.
     A driving key may have several columns and nulls. Rows that start before what they would close
-    are left out: see ``rejected_effectivity``."""
+    are left out and close nothing: see ``rejected_effectivity``."""
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
-    opened = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).withColumn("END_DATE", high_date(batch)).select(*columns)
     if target is None:
-        return opened
-    current = current_effectivity(target, pk).where(F.col("END_DATE") == high_date(target))
-    gone = current.alias("c").join(opened.select(pk).alias("o"), pk, "left_anti").alias("c")
-    fresh = opened.join(current.select(pk), pk, "left_anti")
-    successors = fresh.groupBy(*dfk).agg(F.min("START_DATE").alias("_kv_start"), F.max(LDTS).alias("_kv_ldts"), F.min(SOURCE).alias("_kv_source")).alias("s")
-    pairs = gone.join(successors, _equal("c", "s", dfk))
-    sound = pairs.where(F.col("_kv_start") >= F.col("c.START_DATE"))
-    closing = sound.select(*[F.col(f"c.{c}").alias(c) for c in (pk, *dfk, *sfk, "START_DATE")], F.col("_kv_start").alias("END_DATE"), F.col("_kv_ldts").alias(LDTS), F.col("_kv_source").alias(SOURCE))
-    bad = rejected_effectivity(batch, target, pk, dfk, sfk).select(pk)
-    return fresh.join(bad, pk, "left_anti").select(*columns).unionByName(closing)
+        return _first(batch, pk, [*dfk, *sfk, "START_DATE"]).withColumn("END_DATE", high_date(batch)).select(*columns)
+    met = _effectivity(batch, target, pk, dfk, sfk)
+    closes = F.col("_kv_n").isNull() & F.col("_kv_start").isNotNull()
+    met = met.where(closes | (F.col("_kv_c").isNull() & ~F.col("_kv_bad")))
+    names = [pk, *dfk, *sfk, "START_DATE"]
+    end = F.when(closes, F.col("_kv_start")).otherwise(high_date(batch))
+    return met.select(*[F.coalesce(f"n.{c}", f"c.{c}").alias(c) for c in names], end.alias("END_DATE"), F.when(closes, F.col("_kv_ldts")).otherwise(F.col(f"n.{LDTS}")).alias(LDTS), F.when(closes, F.col("_kv_source")).otherwise(F.col(f"n.{SOURCE}")).alias(SOURCE))
 
 
 def rejected_effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
-    """New relationships of a batch that start before the open one of their driving key."""
-    current = current_effectivity(target, pk).where(F.col("END_DATE") == high_date(target))
-    fresh = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).join(current.select(pk), pk, "left_anti").alias("f")
-    gone = current.join(batch.select(pk), pk, "left_anti")
-    latest = gone.groupBy(*dfk).agg(F.max("START_DATE").alias("_kv_open")).alias("g")
-    return fresh.join(latest, _equal("f", "g", dfk)).where(F.col("f.START_DATE") < F.col("_kv_open")).select("f.*")
+    """New relationships of a batch that start before an open one of their driving key that is gone."""
+    return _effectivity(batch, target, pk, dfk, sfk).where("_kv_bad").select("n.*")
 
 
 def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:

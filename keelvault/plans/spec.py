@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelvault.operators import load as loads
-from keelvault.operators.stage import LDTS
+from keelvault.operators.stage import LDTS, role_hash
 from keelvault.sources.feeds import shared_folder
 
 
@@ -23,7 +23,10 @@ class Hub:
 
 @dataclass(frozen=True)
 class Link:
-    """A link, or with ``event_time`` a transactional link with payload."""
+    """A link, or with ``event_time`` a transactional link with payload.
+
+    ``roles`` (hub, role, key column) add the foreign keys ``<HUB>_<ROLE>_HK`` of hubs that take part
+    in a role; ``degenerate_key`` names what tells events of the same participations apart."""
 
     name: str
     stage: str
@@ -32,6 +35,8 @@ class Link:
     keys: Sequence[str] = ()
     event_time: str | None = None
     payload: Sequence[str] = ()
+    degenerate_key: Sequence[str] = ()
+    roles: Sequence[tuple[str, str, str]] = ()
 
 
 @dataclass(frozen=True)
@@ -62,8 +67,10 @@ def new_rows(part: Hub | Link | Satellite, stages: Mapping[str, DataFrame], targ
         return loads.load_hub([stages[s] for s in part.stages], target, part.pk, part.nk)
     stage = stages[part.stage]
     if isinstance(part, Link):
+        for hub, role, key in part.roles:
+            stage = role_hash(stage, hub, role, key)
         if part.event_time:
-            return loads.load_t_link(stage, target, part.pk, part.fks, part.payload, part.event_time)
+            return loads.load_t_link(stage, target, part.pk, part.fks, part.payload, part.event_time, part.degenerate_key)
         return loads.load_link(stage, target, part.pk, part.fks, part.keys)
     if part.kind == "multi_active":
         return loads.load_ma_sat(stage, target, part.pk, part.child_keys, part.hashdiff, part.payload)
@@ -76,29 +83,33 @@ def load_vault(spark: SparkSession, spec: VaultSpec, stages: Mapping[str, DataFr
     """Load one batch into the tables below ``path``, hubs first, then links, then satellites; each
     table is written before the next is read, and the same batch again adds nothing.
 
-    A stage that several tables read is kept in memory and on local disk while they load."""
+    A stage that several tables read is written to the shared folder first, so it is made once and a
+    lost executor costs a re-read only."""
     users: dict[str, int] = {}
     for part in (*spec.hubs, *spec.links, *spec.satellites):
         for s in part.stages if isinstance(part, Hub) else [part.stage]:
             users[s] = users.get(s, 0) + 1
-    shared = {n: df.persist() if users.get(n, 0) > 1 else df for n, df in stages.items()}
+    shared = {n: _written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
     paths = {}
-    try:
-        for part in (*spec.hubs, *spec.links, *spec.satellites):
-            paths[part.name] = f"{path}/{part.name}"
-            try:
-                target = spark.read.parquet(paths[part.name])
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                target = None
-            new_rows(part, shared, target).write.mode("append").parquet(paths[part.name])
-    finally:
-        for df in shared.values():
-            df.unpersist()
+    for part in (*spec.hubs, *spec.links, *spec.satellites):
+        paths[part.name] = f"{path}/{part.name}"
+        try:
+            target = spark.read.parquet(paths[part.name])
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            target = None
+        new_rows(part, shared, target).write.mode("append").parquet(paths[part.name])
     return paths
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_batches(stage: DataFrame, cuts: Sequence[str], load: Callable[[DataFrame, DataFrame | None], DataFrame], ldts: str = LDTS) -> DataFrame:
     """The table after loading the parts of a stage between load times ``cuts``, one after another.
 

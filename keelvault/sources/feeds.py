@@ -16,8 +16,12 @@ PHYSICAL = {"string": "string", "integer": "bigint", "number": "decimal(38,9)",
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one of ``spark.checkpoint.dir``, which all executors share; without
-    that setting, as in tests, below the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keelvault"
+    that setting below the warehouse, but only on a single machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keelvault"
     return f"{top.rstrip('/')}/vault-{uuid.uuid4().hex}"
 
 
