@@ -17,9 +17,15 @@ def add_feed(hub: DataFrame, new_stage: DataFrame, pk: str, nk: str) -> DataFram
     return hub.unionByName(load_hub(new_stage, hub, pk, nk).select(*hub.columns))
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    """A row's values as one text that no other row of the columns has: each with its length, null marked."""
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("^")) for t in texts])
+
+
 def row_hash(columns: Sequence[str]) -> Column:
     """md5 of a row's values; a null differs from any text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("^")) for c in columns]).cast("binary"))
+    return F.md5(row_text(columns).cast("binary"))
 
 
 def diff_tables(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -35,10 +41,11 @@ def diff_tables(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Data
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """(n_rows, fingerprint): the same for the same rows in any order. The sum of row hashes wraps by
-    decimal arithmetic, so it can't overflow."""
-    h = F.xxhash64(*df.columns).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("fingerprint"))
+    """(n_rows, fingerprint): the same for the same rows in any order, as often as they occur. The
+    fingerprint is the sum of 60 bits of each row's md5, as text; nulls keep their place."""
+    h = F.conv(F.substring(row_hash(df.columns), 1, 15), 16, 10).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(h).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.count("*").alias("n_rows"), total.cast("string").alias("fingerprint"))
 
 
 def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -50,6 +57,27 @@ def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.select("n_before", kept.alias("n_kept"), F.coalesce(kept / F.nullif("n_before", F.lit(0)), F.lit(1.0)).alias("score"))
 
 
+#: What a change of the values that a stored key stands for is called, by kind of table.
+CHANGED = {"hub": "E_EXISTING_BK_CHANGED", "link": "E_EXISTING_GRAIN_CHANGED", "satellite": "E_EXISTING_SAT_RESHAPED"}
+
+
+def existing_changes(before: DataFrame, after: DataFrame, construct: str, kind: str, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(severity, code, construct, n_rows): rows of a live table that an extension has removed, and rows
+    whose ``values`` (business key, participations or payload) are no longer the same.
+
+    A table that has lost one of the values has changed in all rows, and so has a satellite that has
+    gained a column, since that would have to be filled for its history."""
+    reshaped = not set(values) <= set(after.columns) or (kind == "satellite" and not set(after.columns) <= set(before.columns))
+    held = [c for c in values if c in after.columns]
+    a = before.select(*[F.col(k).alias(f"_kv_{k}") for k in key], row_hash(held).alias("_kv_a"))
+    b = after.select(*key, row_hash(held).alias("_kv_b"))
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_kv_{k}")) for k in key]), "left")
+    differ = F.col("_kv_b").isNotNull() & (F.lit(reshaped) | (F.col("_kv_a") != F.col("_kv_b")))
+    one = met.agg(F.count_if(F.col("_kv_b").isNull()).alias("gone"), F.count_if(differ).alias("changed"))
+    rows = F.array(F.struct(F.lit("E_EXISTING_REMOVED").alias("code"), F.col("gone").alias("n_rows")), F.struct(F.lit(CHANGED[kind]).alias("code"), F.col("changed").alias("n_rows")))
+    return one.select(F.explode(rows).alias("x")).select(F.lit("error").alias("severity"), "x.code", F.lit(construct).alias("construct"), "x.n_rows")
+
+
 def cross_domain_links(link: DataFrame, origins: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Links whose hubs first came from different sources, with those sources ({foreign key: (hub, key)})."""
     out = link

@@ -22,6 +22,12 @@ def issue(rows: DataFrame, severity: str, code: str, construct: str, count: Colu
     return rows.agg(n.cast("long").alias("n_rows")).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(construct).alias("construct"), "n_rows")
 
 
+def issues(one: DataFrame, found: Sequence[tuple[str, str, str, Column]]) -> DataFrame:
+    """Issue rows (severity, code, construct, number) from one row of numbers."""
+    rows = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), F.lit(x).alias("construct"), F.coalesce(n, F.lit(0)).cast("long").alias("n_rows")) for s, c, x, n in found])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def required_columns(table: DataFrame, construct: str, kind: str, pk: str, nk: str | None = None, hashdiff: str | None = None) -> DataFrame:
     """Nulls in required columns: hash key, load time, source, of hubs the business key, of satellites
     the hashdiff (effectivity satellites have none). A column that isn't there counts for all rows."""
@@ -73,9 +79,10 @@ def redundant_grain(one: DataFrame, other: DataFrame, construct: str, fks: Seque
 
 def txn_events(t_link: DataFrame, construct: str, pk: str, eff: str) -> DataFrame:
     """Events without a time, and rows of event keys that occur more than once."""
-    none = issue(t_link.where(F.col(eff).isNull()), "error", "E_TXNLINK_NO_TIMESTAMP", f"{construct}.{eff}")
-    twice = issue(t_link.groupBy(pk).agg(F.count("*").alias("n")).where("n > 1"), "error", "E_TXNLINK_NO_TIMESTAMP", f"{construct}.{pk}", F.sum("n"))
-    return none.unionByName(twice)
+    keys = t_link.groupBy(pk).agg(F.count("*").alias("n"), F.count_if(F.col(eff).isNull()).alias("none"))
+    one = keys.agg(F.sum("none").alias("none"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"))
+    code = "E_TXNLINK_NO_TIMESTAMP"
+    return issues(one, [("error", code, f"{construct}.{eff}", F.col("none")), ("error", code, f"{construct}.{pk}", F.col("twice"))])
 
 
 def sat_orphans(sat: DataFrame, construct: str, pk: str, parent: DataFrame, parent_pk: str) -> DataFrame:
@@ -119,9 +126,8 @@ def attribute_overlap(one: DataFrame, other: DataFrame, construct: str, pk: str,
 def cdk_unique(sat: DataFrame, construct: str, pk: str, cdk: Sequence[str]) -> DataFrame:
     """Rows without a child key, and rows that share parent, child key and load time."""
     none = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cdk])
-    nulls = issue(sat.where(none), "error", "E_MASAT_NO_CDK", f"{construct}.null")
-    twice = issue(sat.groupBy(pk, *cdk, LDTS).agg(F.count("*").alias("n")).where("n > 1"), "error", "E_MASAT_NO_CDK", f"{construct}.duplicate", F.sum("n"))
-    return nulls.unionByName(twice)
+    one = sat.groupBy(pk, *cdk, LDTS).agg(F.count("*").alias("n")).agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"))
+    return issues(one, [("error", "E_MASAT_NO_CDK", f"{construct}.null", F.col("none")), ("error", "E_MASAT_NO_CDK", f"{construct}.duplicate", F.col("twice"))])
 
 
 def parent_grain(stage: DataFrame, construct: str, pk: str) -> DataFrame:
@@ -131,19 +137,32 @@ def parent_grain(stage: DataFrame, construct: str, pk: str) -> DataFrame:
 
 def driving_key_exclusive(eff: DataFrame, construct: str, pk: str, dfk: Sequence[str]) -> DataFrame:
     """Driving keys with several open relationships, and periods that run into the next one's."""
-    current = current_effectivity(eff, pk)
-    several = issue(current.where(F.col("END_DATE") == high_date(eff)).groupBy(*dfk).agg(F.count("*").alias("n")).where("n > 1"), "error", "E_EFFSAT_NO_DRIVING_KEY", f"{construct}.open")
     following = F.lead("START_DATE").over(Window.partitionBy(*dfk).orderBy("START_DATE", "END_DATE", pk))
-    overlap = issue(current.withColumn("_kv_next", following).where(F.col("_kv_next") < F.col("END_DATE")), "error", "E_EFFSAT_NO_DRIVING_KEY", f"{construct}.overlap")
-    return several.unionByName(overlap)
+    rows = current_effectivity(eff, pk).withColumn("_kv_next", following)
+    keys = rows.groupBy(*dfk).agg(F.count_if(F.col("END_DATE") == high_date(eff)).alias("n"), F.count_if(F.col("_kv_next") < F.col("END_DATE")).alias("k"))
+    one = keys.agg(F.count_if(F.col("n") > 1).alias("several"), F.sum("k").alias("overlap"))
+    code = "E_EFFSAT_NO_DRIVING_KEY"
+    return issues(one, [("error", code, f"{construct}.open", F.col("several")), ("error", code, f"{construct}.overlap", F.col("overlap"))])
+
+
+def driving_key_in_link(eff: DataFrame, link: DataFrame, construct: str, pk: str, dfk: Sequence[str]) -> DataFrame:
+    """Effectivity rows whose driving key is not among the participations of their link row: the link
+    lacks the row or has other values; all rows where the link lacks such a column."""
+    held = [c for c in dfk if c in link.columns]
+    if len(held) < len(dfk):
+        return issue(eff, "error", "E_DRIVING_KEY_NOT_IN_LINK", construct)
+    own = link.select(F.col(pk).alias("_kv_pk"), *[F.col(c).alias(f"_kv_{c}") for c in dfk])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_kv_{c}")) for c in dfk], F.col(pk) == F.col("_kv_pk"))
+    return issue(eff.join(own, same, "left_anti"), "error", "E_DRIVING_KEY_NOT_IN_LINK", construct)
 
 
 def date_order(df: DataFrame, construct: str, start: str, end: str) -> DataFrame:
-    """Rows that end before they start, and rows of which a date can't be read."""
+    """Rows without both dates, rows that end before they start, and rows of which a date can't be read."""
     s, e = F.col(start).try_cast("timestamp"), F.col(end).try_cast("timestamp")
-    wrong = issue(df.where(e < s), "error", "E_EFFSAT_DATE_ORDER", construct)
-    unread = issue(df.where((F.col(start).isNotNull() & s.isNull()) | (F.col(end).isNotNull() & e.isNull())), "warning", "W_EFFSAT_DATE_ORDER_UNVERIFIED", construct)
-    return wrong.unionByName(unread)
+    none = F.col(start).isNull() | F.col(end).isNull()
+    unread = (F.col(start).isNotNull() & s.isNull()) | (F.col(end).isNotNull() & e.isNull())
+    one = df.agg(F.count_if(none).alias("none"), F.count_if(e < s).alias("wrong"), F.count_if(unread).alias("unread"))
+    return issues(one, [("error", "E_EFFSAT_DATES", construct, F.col("none")), ("error", "E_EFFSAT_DATE_ORDER", construct, F.col("wrong")), ("warning", "W_EFFSAT_DATE_ORDER_UNVERIFIED", construct, F.col("unread"))])
 
 
 # Name parts that mark the start and the end of a period.
@@ -168,7 +187,7 @@ def find_date_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.99)
         return names_period_end(a, FROM_TOKENS) and names_period_end(b, TO_TOKENS)
 
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("start_column"), F.lit(b).alias("end_column"), F.col(f"p{i}").alias("ratio"), F.lit(named(a, b)).alias("named")) for i, (a, b) in enumerate(pairs)]))
-    return one.select(rows.alias("x")).select("x.*").where(F.col("ratio") >= least).orderBy(F.col("named").desc(), F.col("ratio").desc(), "start_column", "end_column")
+    return one.select(rows.alias("x")).select("x.*").where(F.col("ratio") >= least).orderBy(F.col("named").desc(), F.col("ratio").desc(), "start_column", "end_column")  # a row a pair of columns
 
 
 def duplicate_feeds(one: DataFrame, other: DataFrame, construct: str, nk: str, least: float = 1.0) -> DataFrame:
@@ -187,8 +206,8 @@ def feeds_integrate(one: DataFrame, other: DataFrame, construct: str, pk: str, n
     return issue(a.join(b, nk).where("_kv_a <> _kv_b"), "error", "E_HUB_HK_COLLISION", construct)
 
 
-def integrity_report(issues: Sequence[DataFrame]) -> DataFrame:
+def integrity_report(found: Sequence[DataFrame]) -> DataFrame:
     """Breaching rows by severity, code and construct, and whether the vault passes: no errors."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), issues).where("n_rows > 0")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).where("n_rows > 0")
     out = rows.groupBy("severity", "code", "construct").agg(F.sum("n_rows").alias("n_rows"))
     return out.withColumn("passed", ~F.max(F.col("severity") == "error").over(Window.partitionBy()))  # one row a breach kind

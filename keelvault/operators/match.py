@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelvault.functions.names import normalize_identifier, tokens
@@ -15,23 +16,50 @@ STOP_TOKENS = ("THE", "A", "AN", "OF", "ID", "NR", "NO", "DOC")
 
 
 def match_labels(a: DataFrame, b: DataFrame, a_id: str, a_label: str, b_id: str, b_label: str) -> DataFrame:
-    """(a_id, b_id, label): records whose normalised labels are equal; empty labels match nothing."""
-    left = a.select(F.col(a_id).alias("a_id"), normalize_identifier(a_label).alias("label")).where("label <> ''")
-    right = b.select(F.col(b_id).alias("b_id"), normalize_identifier(b_label).alias("label")).where("label <> ''")
-    return left.join(right, "label").select("a_id", "b_id", "label")
+    """(side, id, label, n_partners): every record of ``a`` and ``b`` that has partners, records of the other
+    table with the same normalised label, and how many. Empty labels match nothing.
 
+    Records meet through their label's class, so a frequent label makes as many rows as it has
+    records, not pairs; ``label_pairs`` writes the pairs out."""
+    both = [df.select(F.lit(side).alias("side"), F.col(i).alias("id"), normalize_identifier(c).alias("label")).where("label <> ''") for side, df, i, c in (("a", a, a_id, a_label), ("b", b, b_id, b_label))]
+    rows = both[0].unionByName(both[1])
+    classes = rows.groupBy(F.col("label").alias("_kv_label")).agg(F.count_if(F.col("side") == "a").alias("_kv_a"), F.count_if(F.col("side") == "b").alias("_kv_b")).where("_kv_a > 0 AND _kv_b > 0")
+    return rows.join(classes, F.col("label") == F.col("_kv_label")).select("side", "id", "label", F.when(F.col("side") == "a", F.col("_kv_b")).otherwise(F.col("_kv_a")).alias("n_partners"))
+
+
+def label_pairs(matches: DataFrame) -> DataFrame:
+    """(a_id, b_id, label): the pairs of records of labels chosen from what ``match_labels`` gives."""
+    one, other = (matches.where(F.col("side") == side).select(F.col("id").alias(f"{side}_id"), "label") for side in "ab")
+    return one.join(other, "label").select("a_id", "b_id", "label")
 
-def match_tokens(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str, b_text: str, least: int = 1, stop: Sequence[str] = STOP_TOKENS, most_documents: int | None = None) -> DataFrame:
-    """(a_id, b_id, n_shared): records that share at least ``least`` tokens.
 
-    A token joins all records that have it; with ``most_documents`` tokens that more records of
-    ``b`` have are left out as saying nothing (a frequency rule, like the stop tokens)."""
-    left = a.select(F.col(a_id).alias("a_id"), F.explode(tokens(a_text, 2, tuple(stop))).alias("token"))
-    right = b.select(F.col(b_id).alias("b_id"), F.explode(tokens(b_text, 2, tuple(stop))).alias("token"))
+def match_tokens(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str, b_text: str, least: int = 1, stop: Sequence[str] = STOP_TOKENS, most_documents: int | None = None) -> DataFrame:
+    """(a_id, b_id, n_shared): records that share at least ``least`` tokens. Ids are unique.
+
+    A pair with ``least`` shared tokens shares one of the rarest tokens of both: all of a record's
+    tokens that the other table has but the ``least`` - 1 most frequent. So records meet by their
+    rare tokens only, and what they share is counted on their whole sets. With ``most_documents``
+    tokens that more records of ``b`` have are left out as saying nothing (a frequency rule)."""
+    left = a.select(F.col(a_id).alias("id"), F.explode(tokens(a_text, 2, tuple(stop))).alias("token"))
+    right = b.select(F.col(b_id).alias("id"), F.explode(tokens(b_text, 2, tuple(stop))).alias("token"))
+    counts = [df.groupBy("token").agg(F.count("*").alias(n)) for df, n in ((left, "k"), (right, "n"))]
+    common = counts[0].join(counts[1], "token")
     if most_documents is not None:
-        common = right.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most_documents).select("token")
-        left, right = left.join(common, "token", "left_anti"), right.join(common, "token", "left_anti")
-    return left.join(right, "token").groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
+        common = common.where(F.col("n") <= most_documents)
+    common = common.select(F.col("token").alias("_kv_token"), F.struct((F.col("k") * F.col("n")).alias("n"), F.xxhash64("token").alias("t")).alias("x"))
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        sets = df.join(common, F.col("token") == F.col("_kv_token")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # a record's tokens
+        return sets.where(F.size("x") >= least).select(F.col("id").alias(f"{name}_id"), F.transform("x", lambda x: x["t"]).alias(f"{name}_set"))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        of = F.col(f"{name}_set")
+        return df.select("*", F.explode(F.slice(of, F.lit(1), F.size(of) - (least - 1))).alias("t"))
+
+    one, other = ranked(left, "a"), ranked(right, "b")
+    met = rare(one, "a").select("a_id", "t").join(rare(other, "b").select("b_id", "t"), "t").select("a_id", "b_id").distinct()
+    full = met.join(other, "b_id").join(one, "a_id").select("a_id", "b_id", F.size(F.array_intersect("a_set", "b_set")).cast("long").alias("n_shared"))
+    return full.where(F.col("n_shared") >= least)
 
 
 def tier(candidates: DataFrame, profile: DataFrame) -> DataFrame:
@@ -46,14 +74,17 @@ def tier(candidates: DataFrame, profile: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in candidates.columns], chosen.alias("tier"))
 
 
-def triage(items: DataFrame, candidates: DataFrame, targets: DataFrame, item: str = "item", target: str = "target") -> DataFrame:
+def triage(items: DataFrame, candidates: DataFrame, targets: DataFrame, item: str | Sequence[str] = "item", target: str = "target") -> DataFrame:
     """(item, outcome, target): mapped with one candidate, gap with none, unresolved with several or
-    with one that is not among ``targets`` (nothing is invented)."""
+    with one that is not among ``targets`` (nothing is invented). What identifies an item may be
+    several columns, such as a concept's label and its entity; nulls in them are equal."""
+    keys = [item] if isinstance(item, str) else list(item)
     known = candidates.join(targets.select(F.col(target).alias("_kv_target")).distinct(), F.col(target) == F.col("_kv_target"), "left")
-    by_item = known.groupBy(item).agg(F.count_distinct(target).alias("n"), F.min(target).alias("_kv_only"), F.count("_kv_target").alias("_kv_known"))
-    out = items.select(item).distinct().join(by_item, item, "left")
+    by_item = known.groupBy(*[F.col(k).alias(f"_kv_i_{k}") for k in keys]).agg(F.count_distinct(target).alias("n"), F.min(target).alias("_kv_only"), F.count("_kv_target").alias("_kv_known"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_kv_i_{k}")) for k in keys])
+    out = items.select(*keys).distinct().join(by_item, same, "left")
     outcome = F.when(F.col("n").isNull() | (F.col("n") == 0), "gap").when((F.col("n") == 1) & (F.col("_kv_known") > 0), "mapped").otherwise("unresolved")
-    return out.select(item, outcome.alias("outcome"), F.when(outcome == "mapped", F.col("_kv_only")).alias(target))
+    return out.select(*keys, outcome.alias("outcome"), F.when(outcome == "mapped", F.col("_kv_only")).alias(target))
 
 
 def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -176,9 +207,3 @@ def overlay_decisions(proposals: DataFrame, decisions: DataFrame, key: str, refe
     used = F.coalesce(F.col("_kv_decided"), F.lit(False)) & (F.col("_kv_n") == 1)
     status = F.when(used, "overridden").when(F.coalesce(F.col("_kv_decided"), F.lit(False)), "ambiguous").otherwise("accepted")
     return out.select(key, reference, F.when(used, F.col("_kv_value")).otherwise(F.col(value)).alias(value), status.alias("status"))
-
-
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_kv_n", F.row_number().over(w)).where("_kv_n = 1").drop("_kv_n")

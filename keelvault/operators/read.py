@@ -19,19 +19,19 @@ def current_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def relationship_history(eff: DataFrame, hubs: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Effectivity with the business keys of its hubs ({foreign key: (hub, hub key, business key)}),
-    in order of driving key and start."""
+    """Effectivity with the business keys of its hubs ({foreign key: (hub, hub key, business key)}). The
+    order (by driving key and start, say) is the caller's."""
     out = eff
     for fk, (hub, pk, nk) in hubs.items():
         out = out.join(hub.select(F.col(pk).alias(fk), nk), fk)
     names = [nk for _, _, nk in hubs.values()]
-    return out.select(*names, "START_DATE", "END_DATE", LDTS).orderBy(names[0], "START_DATE", "END_DATE", LDTS)
+    return out.select(*names, "START_DATE", "END_DATE", LDTS)
 
 
 def vault_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows of each vault table, by name."""
+    """Rows of each vault table."""
     counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b), counts).orderBy("table_name")
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 def hub_feed_membership(hub: DataFrame, sats: Mapping[str, DataFrame], pk: str) -> DataFrame:
