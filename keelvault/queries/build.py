@@ -363,6 +363,28 @@ def l15(spark, d):
     return read.vault_counts({n: spark.read.parquet(p) for n, p in paths.items()})
 
 
+TRADES = VaultSpec(links=[Link("link_trade", "trades", "TRADE_HK", ["NATION_CUSTOMER_HK", "NATION_SUPPLIER_HK"], event_time="l_shipdate", payload=["QUANTITY"], degenerate_key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], roles=[("nation", "customer", "c_nationkey"), ("nation", "supplier", "s_nationkey")])])
+
+
+@query(
+    "l15_load_vault_events",
+    f"""WITH x AS (SELECT c_nationkey, s_nationkey, l_shipdate, CAST(l_quantity AS DECIMAL(18,2)) AS Q, l_orderkey, l_partkey, l_suppkey, l_linenumber, {hashed('c_nationkey', 's_nationkey')} AS PAIR
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+    SELECT {hashed('PAIR', 'l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')} AS TRADE_HK, {hashed('c_nationkey')} AS NATION_CUSTOMER_HK, {hashed('s_nationkey')} AS NATION_SUPPLIER_HK, l_shipdate, CAST(Q AS DOUBLE) AS QUANTITY, l_shipdate AS LOAD_DATETIME, 'trade' AS RECORD_SOURCE FROM x
+    QUALIFY row_number() OVER (PARTITION BY TRADE_HK ORDER BY l_shipdate, Q) = 1""",
+)
+def l15_events(spark, d):
+    """Events between the same two hubs, in roles, told apart by a degenerate key, loaded by a plan."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", money("l_quantity").alias("QUANTITY"))
+    joined = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = stage.stage(joined, stage.StageSpec(keys={"TRADE_HK": ["c_nationkey", "s_nationkey"]}, ldts="l_shipdate", source="trade"))
+    path = feeds.shared_folder(spark)
+    for batch in (rows.where("l_shipdate < '1998-01-01'"), rows, rows):
+        paths = load_vault(spark, TRADES, {"trades": batch}, path)
+    out = spark.read.parquet(paths["link_trade"])
+    return out.withColumn("QUANTITY", F.col("QUANTITY").cast("double"))
+
+
 # Reads
 
 
@@ -397,7 +419,12 @@ def q4(spark, d):
     return read.hub_feed_membership(hub, {"rich": rich, "late": late}, "CUSTOMER_HK")
 
 
-@query("flagship_orphans", "SELECT 'error' AS severity, 'E_LINK_UNKNOWN_HUB' AS code, 'link_order_customer.' || fk AS construct, CAST(0 AS BIGINT) AS n_rows FROM (VALUES ('ORDER_HK'), ('CUSTOMER_HK')) v(fk)")
+@query(
+    "flagship_orphans",
+    f"""WITH {ORDERS}, {CUSTOMERS}, link AS (SELECT DISTINCT ORDER_HK, CUSTOMER_HK FROM o), hub AS (SELECT CUSTOMER_HK FROM o UNION SELECT CUSTOMER_HK FROM c)
+    SELECT 'error' AS severity, 'E_LINK_UNKNOWN_HUB' AS code, 'link_order_customer.ORDER_HK' AS construct, count(*) AS n_rows FROM link WHERE ORDER_HK NOT IN (SELECT ORDER_HK FROM o)
+    UNION ALL SELECT 'error', 'E_LINK_UNKNOWN_HUB', 'link_order_customer.CUSTOMER_HK', count(*) FROM link WHERE CUSTOMER_HK NOT IN (SELECT CUSTOMER_HK FROM hub)""",
+)
 def flagship(spark, d):
     """Stage, load a hub from two feeds and a link, and count the link's orphans."""
     from keelvault.operators.integrity import link_orphans

@@ -3,7 +3,7 @@
 from conftest import SF
 
 from keelvault.functions.hashing import hash_key
-from keelvault.operators import contract, extend, integrity, load, profile, read, stage
+from keelvault.operators import contract, extend, integrity, load, match, profile, read, score, stage
 from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_vault, run_batches
 from keelvault.queries import build
 from keelvault.sources import feeds
@@ -103,6 +103,16 @@ def test_rejected_effectivity(spark):
     assert load.rejected_effectivity(early, target, "LINK_HK", ["A"], ["B"]).count() == 1
 
 
+def test_sound_successor_closes_beside_a_rejected_one(spark):
+    columns = "LINK_HK string, A string, B string, START_DATE string, LOAD_DATETIME string"
+    target = load.load_eff_sat(frame(spark, columns, [("1", "a", "x", DAY2, DAY2), ("9", None, "x", DAY1, DAY2)], "s"), None, "LINK_HK", ["A"], ["B"])
+    later = "2026-05-01 00:00:00"
+    batch = frame(spark, columns, [("2", "a", "y", DAY1, later), ("3", "a", "z", "2026-04-15 00:00:00", later), ("8", None, "y", later, later)], "s")
+    got = {(r.LINK_HK, str(r.END_DATE)[:10]) for r in load.load_eff_sat(batch, target, "LINK_HK", ["A"], ["B"]).selectExpr("LINK_HK", "CAST(END_DATE AS string) AS END_DATE").collect()}
+    assert got == {("3", "9999-12-31"), ("1", "2026-04-15"), ("8", "9999-12-31"), ("9", "2026-05-01")}
+    assert [r.LINK_HK for r in load.rejected_effectivity(batch, target, "LINK_HK", ["A"], ["B"]).collect()] == ["2"]
+
+
 def test_degenerate_key_tells_events_apart(spark):
     columns = "LINK_HK string, A string, B string, REF string, AT string, LOAD_DATETIME string"
     rows = frame(spark, columns, [("1", "a", "b", "t1", DAY1, DAY1), ("1", "a", "b", "t2", DAY1, DAY1), ("1", "a", "b", "t3", None, DAY1)], "s")
@@ -142,3 +152,84 @@ def test_stream_loads_a_vault(spark, tmp_path):
     stream_vault(stream, lambda b: {"events": stage.stage(b, made)}, spec, str(tmp_path / "vault"), str(tmp_path / "check")).awaitTermination(120)
     hub = spark.read.parquet(str(tmp_path / "vault" / "hub_user"))
     assert hub.count() == hub.select("user_id").distinct().count() == spark.read.parquet(source).select("user_id").distinct().count()
+
+
+def test_content_hash_keeps_nulls_in_place(spark):
+    rows = [[(None, "x")], [("x", None)], [("", "x")], [("^", "x")], [("a|=b", "c")], [("a", "b|=c")]]
+    prints = {extend.content_hash(spark.createDataFrame(r, "a string, b string")).first().fingerprint for r in rows}
+    assert len(prints) == len(rows)
+
+
+def test_group_scores(spark):
+    """Groups are matched by members; names only break ties, and ties without a name stay open."""
+
+    def frames(found, golden):
+        return [spark.createDataFrame([(n, m) for n, ms in g.items() for m in ms], "name string, member string") for g in (found, golden)]
+
+    def matched(found, golden):
+        return {(r.found_name, r.golden_name) for r in score.match_groups(*frames(found, golden)).collect()}
+
+    assert matched({"link_b_a": ["hub a", "HUB_B"]}, {"link_a_b": ["hub_b", "hub_a"]}) == {("link_b_a", "link_a_b")}
+    assert matched({"l": ["a", "a"]}, {"l": ["a"]}) == set()
+    assert matched({"A": ["x", "y"], "B": ["x", "y"]}, {"b": ["y", "x"], "C": ["x", "y"]}) == {("B", "b")}
+    matches = spark.createDataFrame([("f1", "g1")], "found_name string, golden_name string")
+    keys = [spark.createDataFrame(r, "name string, element string") for r in ([("f1", "hub a")], [("g1", "HUB_A"), ("g2", "hub b")])]
+    assert tuple(score.group_set_accuracy(matches, *keys).first()) == (2, 1, 0.5)
+
+
+def test_mapping_scores(spark):
+    golden = spark.createDataFrame([("amb", "t", "a"), ("amb", "t", "b"), ("city", "t", "c")], "concept string, table string, column string")
+    gaps = spark.createDataFrame([("iban",)], "concept string")
+
+    def proposed(*rows):
+        return spark.createDataFrame([(*r, 0.9)[:4] if len(r) == 3 else r for r in rows], "concept string, table string, column string, confidence double")
+
+    both = proposed(("amb", "T", "A"), ("amb", "t", "b"), ("city", "t", "c"))
+    assert score.mapping_accuracy(both, golden, gaps).first().f1 == 1.0
+    forced = proposed(("amb", "t", "a"), ("city", "t", "c"), ("iban", "t", "x"), ("other", "t", "y"))
+    assert abs(score.mapping_accuracy(forced, golden, gaps).first().f1 - 2 * (2 / 3) * 1 / (2 / 3 + 1)) < 1e-12
+    assert score.mapping_coverage(proposed(("z", "t", "a")), golden).first().coverage == 0.5
+    assert tuple(score.gap_recall(gaps, proposed(("iban", "t", "x")), gaps).first()) == (1, 1, 1, 1.0)
+    margin = score.calibration(proposed(("amb", "t", "a", 0.9), ("iban", "t", "x", 0.3)), golden, gaps).first()
+    assert (margin.n_right, margin.n_wrong) == (1, 1) and abs(margin.margin - 0.6) < 1e-12
+    empty = golden.limit(0)
+    assert score.mapping_accuracy(proposed(("x", "t", "a")), empty).first().f1 == 1.0 and score.mapping_coverage(both, empty).first().coverage == 1.0
+    # Equal labels of two entities are two concepts, where both sides have entities.
+    own = spark.createDataFrame([("name", "person", "t", "a"), ("name", "firm", "t", "b")], "concept string, entity string, table string, column string")
+    crossed = spark.createDataFrame([("name", "person", "t", "b", 0.5), ("name", "firm", "t", "b", 0.5)], "concept string, entity string, table string, column string, confidence double")
+    assert score.mapping_accuracy(crossed, own).first().n_right == 1
+
+
+def test_resolution_scores(spark):
+    golden = spark.createDataFrame([("partner", "hub_customer", None), ("contact", "NEW", None), ("kunde", "same_as_candidate", "hub_customer")], "key string, resolution string, same_as string")
+
+    def answers(*rows):
+        return spark.createDataFrame([(*r, None)[:3] for r in rows], "key string, resolution string, same_as string")
+
+    right = answers(("partner", "hub_customer"), ("contact", "NEW"), ("kunde", "same_as_candidate", "hub_customer"))
+    assert score.false_merge_rate(right, golden).first().score == score.resolution_accuracy(right, golden).first().accuracy == 1.0
+    assert score.false_merge_rate(answers(("kunde", "hub_customer")), golden).first().score == 0.0
+    assert score.false_merge_rate(answers(("partner", "same_as_candidate", "x"), ("contact", "unresolved"), ("alien", "hub_z")), golden).first().score == 1.0
+    assert score.resolution_accuracy(answers(("kunde", "same_as_candidate", "hub_account")), golden).first().n_right == 0
+    assert score.resolution_accuracy(answers(("partner", "hub_customer"), ("partner", "NEW")), golden).first().n_right == 0
+    assert score.non_merge_recall(answers(("contact", "NEW"), ("kunde", "same_as_candidate", "other")), golden).first().recall == 1.0
+    assert score.non_merge_recall(answers(*((k, "unresolved") for k in ("partner", "contact", "kunde"))), golden).first().recall == 0.0
+
+
+def test_token_matches_are_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + ("" if rng.random() < 0.7 else str(rng.randint(0, 4))) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    sets = {i: {w.upper() for w in t.split()} for i, t in texts}
+    for least in (1, 2, 4):
+        got = {(r.a_id, r.b_id, r.n_shared) for r in match.match_tokens(df, df.where("id < 30"), "id", "text", "id", "text", least).collect()}
+        assert got == {(i, j, len(sets[i] & sets[j])) for i in sets for j in range(30) if len(sets[i] & sets[j]) >= least}
+
+
+def test_label_pairs(spark):
+    a = spark.createDataFrame([(1, "x y"), (2, "X-Y"), (3, ""), (4, None), (5, "z")], "id long, label string")
+    found = match.match_labels(a, a.where("id <> 2"), "id", "label", "id", "label")
+    assert {(r.side, r.id, r.n_partners) for r in found.collect()} == {("a", 1, 1), ("a", 2, 1), ("b", 1, 2), ("a", 5, 1), ("b", 5, 1)}
+    assert {(r.a_id, r.b_id) for r in match.label_pairs(found).collect()} == {(1, 1), (2, 1), (5, 5)}
