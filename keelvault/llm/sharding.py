@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from keelvault.llm.common import documents, stored
 
 #: Rows of a logical partition, and the bounds on the number of partitions (one count each on the driver).
-PARTITION_ROWS, LEAST_PARTITIONS, MOST_PARTITIONS = 20_000, 64, 65_536
+PARTITION_ROWS, LEAST_PARTITIONS, MOST_PARTITIONS = 10_000, 512, 65_536
 #: Copies of a row that one task makes.
 COPIES = 10_000
 #: Keys of up to so many groups of equal rows are broadcast; beyond, they are joined by shuffle.
@@ -96,7 +96,9 @@ def told_apart(df: DataFrame, keys: list, equal: DataFrame) -> DataFrame:
     alone = met.where("_kv_n IS NULL").select(*names, F.lit(0).cast("long").alias("_kv_copy"))
     one = met.where("_kv_n IS NOT NULL").dropDuplicates(["_kv_h1", "_kv_h2", "_kv_h3"])
     last = F.floor((F.col("_kv_n") - 1) / COPIES).cast("long")
-    chunks = one.withColumn("_kv_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("_kv_h1", "_kv_chunk")
+    chunks = one.withColumn("_kv_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if (equal.agg(F.max("count")).first()[0] or 0) > COPIES:
+        chunks = chunks.repartition("_kv_h1", "_kv_chunk")
     first = F.col("_kv_chunk") * COPIES
     copies = chunks.withColumn("_kv_copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("_kv_n")) - 1)))
     return alone.unionByName(copies.select(*names, "_kv_copy"))
@@ -108,7 +110,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 20, partitions
     Shard sizes differ by at most one row and the result is a function of the rows, ``seed`` and
     ``partitions`` alone, not of settings or of how the rows come. Columns named shard or slot are
     replaced. Nulls are values like any other; equal rows are separate rows, spread like any others;
-    an empty table gives an empty table. ``partitions`` (by default one for 20,000 rows, 64 to
+    an empty table gives an empty table. ``partitions`` (by default one for 10,000 rows, 512 to
     65,536 of them) bounds the matrix that the driver draws: one count a partition."""
     spark = df.sparkSession
     df = df.drop("shard", "slot")
