@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -> dict:
     rows = docs.where(~held_out(F.col("doc_id")) & labels.isNotNull() & F.col("text").isNotNull())
     keys = rows.select(labels.alias("lang"), own.alias("h")).distinct()
     # A language's smallest hashes: each slice of them keeps its own, then the language keeps its own.
-    few = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(64))).orderBy("h"))).where(F.col("k") <= texts)
+    few = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(8))).orderBy("h"))).where(F.col("k") <= texts)
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts)
     chosen = F.broadcast(few.select(F.col("lang").alias("_kv_lang"), F.col("h").alias("_kv_h")))  # at most ``texts`` a language
     sample = rows.select(labels.alias("lang"), own.alias("h"), "text").join(chosen, (F.col("lang") == F.col("_kv_lang")) & (F.col("h") == F.col("_kv_h")), "left_semi")
