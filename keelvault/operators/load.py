@@ -60,6 +60,12 @@ def _of_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataF
     return target.join(wanted, same, "left_semi")
 
 
+def _of_keys(target: DataFrame, batch: DataFrame, pk: str) -> DataFrame:
+    """The rows of a target whose hash key is in a batch, by plain equality, so that a table bucketed
+    by its hash key is not shuffled. A null key is in no table."""
+    return target.join(batch.select(pk).distinct(), pk, "left_semi").select(*target.columns)
+
+
 def _latest(target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
     return target.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by(hashdiff, LDTS).alias("_kv_diff"))
 
@@ -75,14 +81,14 @@ def load_sat(stage: DataFrame, target: DataFrame | None, pk: str, hashdiff: str,
     before = F.lag(hashdiff).over(Window.partitionBy(pk).orderBy(LDTS))
     if target is None:
         return once.withColumn("_kv_before", before).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before"))).select(*columns)
-    met = once.join(_latest(_of_batch(target, stage, [pk]), pk, hashdiff), F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
+    met = once.join(_latest(_of_keys(target, stage, pk), pk, hashdiff), F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
     changed = met.withColumn("_kv_before", F.coalesce(before, "_kv_diff")).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before")))
     return changed.select(*columns)
 
 
 def late_rows(stage: DataFrame, target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
     """Staged rows that are older than the target's latest row of their key: for quarantine."""
-    return stage.join(_latest(_of_batch(target, stage, [pk]), pk, hashdiff).drop("_kv_diff"), F.col(pk) == F.col("_kv_pk")).where(F.col(LDTS) < F.col("_kv_ldts")).drop("_kv_pk", "_kv_ldts")
+    return stage.join(_latest(_of_keys(target, stage, pk), pk, hashdiff).drop("_kv_diff"), F.col(pk) == F.col("_kv_pk")).where(F.col(LDTS) < F.col("_kv_ldts")).drop("_kv_pk", "_kv_ldts")
 
 
 def load_sat_per_feed(stages: dict[str, DataFrame], targets: dict[str, DataFrame], pk: str, hashdiff: str, payload: Sequence[str]) -> dict[str, DataFrame]:
@@ -113,7 +119,7 @@ def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequen
     sets = _sets(rows.select(*member).distinct(), pk, cdk, hashdiff)
     before = F.lag("_kv_set").over(Window.partitionBy(pk).orderBy(LDTS))
     if target is not None:
-        held = _sets(_of_batch(target, rows, [pk]).select(*member).distinct(), pk, cdk, hashdiff)
+        held = _sets(_of_keys(target, rows, pk).select(*member).distinct(), pk, cdk, hashdiff)
         known = held.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by("_kv_set", LDTS).alias("_kv_known"))
         sets = sets.join(known, F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
         before = F.coalesce(before, "_kv_known")

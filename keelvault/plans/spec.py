@@ -85,24 +85,53 @@ def load_vault(spark: SparkSession, spec: VaultSpec, stages: Mapping[str, DataFr
 
     A stage that several tables read is written to the shared folder first, so it is made once and a
     lost executor costs a re-read only."""
-    users: dict[str, int] = {}
-    for part in (*spec.hubs, *spec.links, *spec.satellites):
-        for s in part.stages if isinstance(part, Hub) else [part.stage]:
-            users[s] = users.get(s, 0) + 1
-    shared = {n: _written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
-    paths = {}
-    for part in (*spec.hubs, *spec.links, *spec.satellites):
-        paths[part.name] = f"{path}/{part.name}"
+    paths = {part.name: f"{path}/{part.name}" for part in _parts(spec)}
+
+    def held(part) -> DataFrame | None:
         try:
-            target = spark.read.parquet(paths[part.name])
+            return spark.read.parquet(paths[part.name])
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            target = None
-        new_rows(part, shared, target).write.mode("append").parquet(paths[part.name])
+            return None
+
+    _load(spec, stages, held, lambda part, rows: rows.write.mode("append").parquet(paths[part.name]))
     return paths
 
 
+def load_bucketed_vault(spark: SparkSession, spec: VaultSpec, stages: Mapping[str, DataFrame], database: str, buckets: int) -> dict[str, str]:
+    """As ``load_vault``, into tables of the catalog that are bucketed by their hash keys.
+
+    A batch then meets a table without an exchange of the table: only the batch is shuffled, however
+    much is loaded already. Each load adds a file a bucket. ``buckets`` stays as it is over the life
+    of a table, so choose it for the size that the table will have."""
+    names = {part.name: f"{database}.{part.name}" for part in _parts(spec)}
+
+    def held(part) -> DataFrame | None:
+        return spark.table(names[part.name]) if spark.catalog.tableExists(names[part.name]) else None
+
+    def add(part, rows: DataFrame) -> None:
+        rows.repartition(buckets, part.pk).write.mode("append").format("parquet").bucketBy(buckets, part.pk).sortBy(part.pk).saveAsTable(names[part.name])
+
+    _load(spec, stages, held, add)
+    return names
+
+
+def _parts(spec: VaultSpec) -> tuple:
+    return (*spec.hubs, *spec.links, *spec.satellites)
+
+
+def _load(spec: VaultSpec, stages: Mapping[str, DataFrame], held: Callable, add: Callable) -> None:
+    """Load one batch: ``held`` gives what a table has, or None, and ``add`` appends to it."""
+    users: dict[str, int] = {}
+    for part in _parts(spec):
+        for s in part.stages if isinstance(part, Hub) else [part.stage]:
+            users[s] = users.get(s, 0) + 1
+    shared = {n: _written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
+    for part in _parts(spec):
+        add(part, new_rows(part, shared, held(part)))
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

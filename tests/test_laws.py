@@ -4,7 +4,7 @@ from conftest import SF
 
 from keelvault.functions.hashing import hash_key
 from keelvault.operators import contract, extend, integrity, load, match, profile, read, score, stage
-from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_vault, run_batches
+from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_bucketed_vault, load_vault, run_batches
 from keelvault.queries import build
 from keelvault.sources import feeds
 
@@ -63,6 +63,34 @@ def test_bank_vault(spark):
     assert [r.n_rows for r in report.collect()] == [0, 0]
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bucketed_vault(spark):
+    """Bucketed tables hold what plain ones do, and a batch meets them without an exchange of theirs."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
+    plain, stages = feeds.shared_folder(spark), bank(spark)
+    for day in (DAY1, DAY1, DAY2):
+        batch = stages | {"owner": stages["owner"].where(f"LOAD_DATETIME = '{day}'")}
+        paths = load_vault(spark, SPEC, batch, plain)
+        names = load_bucketed_vault(spark, SPEC, batch, "bucketed", 8)
+    assert set(names) == set(paths)
+    for part, name in names.items():
+        one, other = spark.read.parquet(paths[part]), spark.table(name)
+        assert one.count() == other.count() > 0 and one.exceptAll(other.select(*one.columns)).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part, made in (
+            ("hub_customer", lambda t: load.load_hub(stages["customer"], t, "CUSTOMER_HK", "CUSTOMER_ID")),
+            ("sat_customer", lambda t: load.load_sat(stages["customer"], t, "CUSTOMER_HK", "HASHDIFF", ["NAME"])),
+        ):
+            assert exchanges(made(spark.table(names[part]))) == exchanges(made(spark.read.parquet(paths[part]))) - 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_two_feeds_give_equal_hashes(spark):
     crm = spark.createDataFrame([("c001 ", DAY1), ("C002", DAY1), (None, DAY1), (" ", DAY1)], "cust_id string, LOAD_DATETIME string")
     victor = spark.createDataFrame([("C001", DAY2), ("C003", DAY2)], "partn_id string, LOAD_DATETIME string")
