@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelvault.llm import decontaminate, language, lines, mixing, neardup, secrets, sharding, tokens, toxicity, warc
+from keelvault.llm import collocations, decontaminate, filteraudit, language, lines, mixing, neardup, prefixjoin, secrets, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_frequency": lines.op1_line_frequency,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc_chain": warc.op8_warc_chain,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_prefix_join": prefixjoin.op11_prefix_join,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_filter_audit": filteraudit.op13_filter_audit,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -24,4 +27,7 @@ ORACLES = {
     "op8_warc_chain": warc.ORACLE_OP8,
     "op9_decontaminate": decontaminate.ORACLE_OP9,
     "op10_mix_sources": mixing.ORACLE_OP10,
+    "op11_prefix_join": prefixjoin.ORACLE_OP11,
+    "op12_collocations": collocations.ORACLE_OP12,
+    "op13_filter_audit": filteraudit.ORACLE_OP13,
 }
