@@ -311,13 +311,13 @@ def run_merger(words: int, least: int):
 
 
 def bloom_of(frequent: DataFrame) -> np.ndarray:
-    """The filter of the phrases (lang, ids): bits are set in tasks, and their bytes, of fixed number, come
+    """The filter of the phrases (lang, ids), of all lengths: bits are set in tasks, and their bytes, of fixed number, come
     to the driver."""
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for lang, some in batch.groupby("lang"):
+            for (lang, _), some in batch.groupby(["lang", batch["ids"].map(len)]):
                 ids = np.stack(some["ids"].to_list()).astype(np.int64).view(np.uint64)
                 h = phrase_hash(lang_number(lang), list(ids.T))
                 found += [bloom_place(h, i) for i in range(BLOOM_HASHES)]
@@ -357,7 +357,7 @@ def phrase_counts(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame
     out = level
     sent_hot = spark.sparkContext.broadcast(hot)
     for k in range(2, longest + 1):
-        sent = spark.sparkContext.broadcast(bloom_of(level))
+        sent = spark.sparkContext.broadcast(bloom_of(out))
         runs = texts.mapInArrow(phrase_counter(k, seed, sent, sent_hot, parts), "lang string, part int, heads binary, sizes binary, rest binary, counts binary")
         level = stored(runs.groupBy("lang", "part").applyInPandas(run_merger(k, least), "lang string, ids array<long>, f long"), f"phrases_{k}")
         out = out.unionByName(level)
