@@ -45,13 +45,14 @@ class Contract:
 
 
 def castable(c: Column, types: Sequence[str]) -> Column:
-    """Whether a value fits one of the types; null, unknown and nested types fit always."""
+    """Whether a value, as text, fits one of the types, as a drafted contract reads it: 1.5 is no integer.
+    Null, unknown and nested types fit always."""
     known = [t for t in types if t in PHYSICAL]
     if not known or "string" in types or any(t not in PHYSICAL and t != "null" for t in types):
         return F.lit(True)
     fits = F.lit(False)
     for t in known:
-        fits = fits | read_as(c, t).isNotNull()
+        fits = fits | read_as(c.cast("string"), t).isNotNull()
     return c.isNull() | fits
 
 

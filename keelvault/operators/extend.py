@@ -28,16 +28,27 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.md5(row_text(columns).cast("binary"))
 
 
-def diff_tables(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key columns, status): unchanged, extended (other values), new or removed, by a hash of the
-    columns of ``before``. Keys may be null; they are unique in either table."""
+def diff_tables(before: DataFrame, after: DataFrame, key: Sequence[str], gained: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(key columns, status): unchanged, changed (other values), new or removed, by a hash of the
+    columns of ``before``. Keys may be null; they are unique in either table.
+
+    ``gained`` names the feeds and satellites that an extension has added, with their rows: a key
+    that is otherwise unchanged and occurs in one of them is extended. ``gained`` is then a column as
+    well, the names of those that have the key, in order."""
     hashed = row_hash([c for c in before.columns if c not in key])
     a = before.select(*[F.col(k).alias(f"_kv_{k}") for k in key], hashed.alias("_kv_ha"))
     b = after.select(*key, hashed.alias("_kv_hb"))
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_kv_{k}")) for k in key])
-    status = F.when(F.col("_kv_ha").isNull(), "new").when(F.col("_kv_hb").isNull(), "removed").when(F.col("_kv_ha") == F.col("_kv_hb"), "unchanged").otherwise("extended")
+    status = F.when(F.col("_kv_ha").isNull(), "new").when(F.col("_kv_hb").isNull(), "removed").when(F.col("_kv_ha") == F.col("_kv_hb"), "unchanged").otherwise("changed")
     names = [F.coalesce(k, f"_kv_{k}").alias(k) for k in key]
-    return a.join(b, same, "full_outer").select(*names, status.alias("status"))
+    out = a.join(b, same, "full_outer").select(*names, status.alias("status"))
+    if gained is None:
+        return out
+    held = [df.select(*[F.col(k).alias(f"_kv_{k}") for k in key]).distinct().withColumn("_kv_name", F.lit(n)) for n, df in gained.items()]
+    by_key = reduce(lambda x, y: x.unionByName(y), held).groupBy(*[f"_kv_{k}" for k in key]).agg(F.array_join(F.sort_array(F.collect_list("_kv_name")), ",").alias("gained"))  # a name a table
+    met = out.join(by_key, same, "left").withColumn("gained", F.coalesce("gained", F.lit("")))
+    grown = (F.col("status") == "unchanged") & (F.col("gained") != "")
+    return met.select(*key, F.when(grown, "extended").otherwise(F.col("status")).alias("status"), "gained")
 
 
 def content_hash(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import hash_key, is_blank
 from keelvault.operators.stage import LDTS, SOURCE, alias_fk
-from keelvault.sources.feeds import union_feeds
+from keelvault.sources.feeds import shared_folder, union_feeds
 
 HIGH_DATE = "9999-12-31 00:00:00"
 
@@ -47,10 +47,20 @@ def load_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequence
 def load_t_link(stage: DataFrame, target: DataFrame | None, pk: str, fks: Sequence[str], payload: Sequence[str], eff: str, degenerate_key: Sequence[str] = ()) -> DataFrame:
     """Insert-once events with payload and event time. Where ``pk`` comes from the participations
     alone, equal pairs of them are one event, unless ``degenerate_key`` names what tells events
-    apart: its columns are then hashed into the key."""
+    apart: its columns are then hashed into the key. Rows with a null participation or without a
+    time load nothing: see ``rejected_events``."""
     if degenerate_key:
         stage = stage.withColumn(pk, hash_key([pk, *degenerate_key]))
-    return _absent(_first(stage.where(F.col(eff).isNotNull()), pk, [*fks, eff, *payload]), target, pk)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*fks, eff)])
+    return _absent(_first(stage.where(whole), pk, [*fks, eff, *payload]), target, pk)
+
+
+def rejected_events(stage: DataFrame, fks: Sequence[str], eff: str) -> DataFrame:
+    """Staged events that a transactional link doesn't take, with ``reason``: no_participation, or
+    no_event_time where only the time is missing. For quarantine."""
+    none = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in fks])
+    reason = F.when(none, "no_participation").when(F.col(eff).isNull(), "no_event_time")
+    return stage.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
 def _of_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,8 +97,11 @@ def load_sat(stage: DataFrame, target: DataFrame | None, pk: str, hashdiff: str,
 
 
 def late_rows(stage: DataFrame, target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
-    """Staged rows that are older than the target's latest row of their key: for quarantine."""
-    return stage.join(_latest(_of_keys(target, stage, pk), pk, hashdiff).drop("_kv_diff"), F.col(pk) == F.col("_kv_pk")).where(F.col(LDTS) < F.col("_kv_ldts")).drop("_kv_pk", "_kv_ldts")
+    """Staged rows that are older than the target's latest row of their key, or as old and of another
+    hashdiff: what ``load_sat`` keeps out, for quarantine."""
+    met = stage.join(_latest(_of_keys(target, stage, pk), pk, hashdiff), F.col(pk) == F.col("_kv_pk"))
+    late = (F.col(LDTS) < F.col("_kv_ldts")) | ((F.col(LDTS) == F.col("_kv_ldts")) & ~F.col(hashdiff).eqNullSafe(F.col("_kv_diff")))
+    return met.where(late).drop("_kv_pk", "_kv_ldts", "_kv_diff")
 
 
 def load_sat_per_feed(stages: dict[str, DataFrame], targets: dict[str, DataFrame], pk: str, hashdiff: str, payload: Sequence[str]) -> dict[str, DataFrame]:
@@ -119,14 +132,28 @@ def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequen
     sets = _sets(rows.select(*member).distinct(), pk, cdk, hashdiff)
     before = F.lag("_kv_set").over(Window.partitionBy(pk).orderBy(LDTS))
     if target is not None:
-        held = _sets(_of_keys(target, rows, pk).select(*member).distinct(), pk, cdk, hashdiff)
-        known = held.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by("_kv_set", LDTS).alias("_kv_known"))
+        known = _latest_sets(_of_keys(target, rows, pk), pk, cdk, hashdiff)
         sets = sets.join(known, F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
         before = F.coalesce(before, "_kv_known")
     changed = sets.withColumn("_kv_before", before).where(~F.col("_kv_set").eqNullSafe(F.col("_kv_before"))).select(pk, LDTS)
     return once.join(changed, [pk, LDTS], "left_semi").select(*columns)
 
 
+def _latest_sets(target: DataFrame, pk: str, cdk: Sequence[str], hashdiff: str) -> DataFrame:
+    held = _sets(target.select(pk, *cdk, hashdiff, LDTS).distinct(), pk, cdk, hashdiff)
+    return held.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by("_kv_set", LDTS).alias("_kv_known"))
+
+
+def late_sets(stage: DataFrame, target: DataFrame, pk: str, cdk: Sequence[str], hashdiff: str) -> DataFrame:
+    """Staged rows of sets that ``load_ma_sat`` keeps out: older than the target's latest set of their
+    parent, or as old and not the same set. For quarantine."""
+    rows = stage.where(F.col(pk).isNotNull())
+    sets = _sets(rows.select(pk, *cdk, hashdiff, LDTS).distinct(), pk, cdk, hashdiff)
+    met = sets.join(_latest_sets(_of_keys(target, rows, pk), pk, cdk, hashdiff), F.col(pk) == F.col("_kv_pk"))
+    late = (F.col(LDTS) < F.col("_kv_ldts")) | ((F.col(LDTS) == F.col("_kv_ldts")) & (F.col("_kv_set") != F.col("_kv_known")))
+    return rows.join(met.where(late).select(pk, LDTS), [pk, LDTS], "left_semi").select(*stage.columns)
+
+
 def high_date(df: DataFrame) -> Column:
     """The end of an open relationship, with the type of the start dates (with or without time zone)."""
     return F.lit(HIGH_DATE).cast(df.schema["START_DATE"].dataType)
@@ -183,18 +210,71 @@ def rejected_effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequ
 
 
 def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
-    """Effectivity from ordered snapshots with one relationship for each driving key and snapshot, in
-    one pass: what ``load_eff_sat`` gives when it takes the snapshots one after another."""
-    w = Window.partitionBy(*dfk).orderBy(LDTS)
-    heads = history.withColumn("_kv_prev", F.lag(pk).over(w)).where(~F.col(pk).eqNullSafe(F.col("_kv_prev")))
-    before = F.lag(F.struct(pk, *sfk, "START_DATE")).over(w)
-    marked = heads.withColumn("_kv_old", before)
+    """Effectivity from all snapshots of a history at once: what ``load_eff_sat`` gives when it takes the
+    snapshots (rows of one load time) one after another. A driving key may have any number of
+    relationships in a snapshot, which may end, return and leave gaps.
+
+    A snapshot changes a driving key's open relationships only if it holds one that is not open; all
+    that it lacks are then closed. So after a change the open ones are those of that snapshot, and the
+    next change is the first later snapshot that holds one it lacked. That one begins a run of
+    snapshots after its last run had ended before the change: of each snapshot the earliest such end
+    is all that the search needs, so a driving key brings one small row a snapshot, however many
+    relationships it has. What lies between changes is left out, and runs over the changes are the
+    records.
+
+    Driving keys for which a relationship starts before one that it would close, or without a date,
+    are loaded snapshot by snapshot, since such rows are left out there and this decides what
+    later ones meet."""
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
-    opened = marked.withColumn("END_DATE", high_date(history)).select(*columns)
-    closed = marked.where(F.col("_kv_old").isNotNull()).select(
-        F.col(f"_kv_old.{pk}").alias(pk), *dfk, *[F.col(f"_kv_old.{c}").alias(c) for c in sfk], F.col("_kv_old.START_DATE").alias("START_DATE"), F.col("START_DATE").alias("END_DATE"), LDTS, SOURCE
-    )
-    return opened.unionByName(closed)
+    values = [SOURCE, *dfk, *sfk, "START_DATE"]
+    rows = history.groupBy(pk, LDTS).agg(F.min(F.struct(*values)).alias("x")).select(pk, LDTS, *[F.col(f"x.{c}").alias(c) for c in values])
+    rows = _written(rows.withColumn("_kv_key", F.struct(*dfk)), "history")
+    snapshots = rows.select("_kv_key", LDTS).distinct()
+    numbered = snapshots.withColumn("_kv_t", F.row_number().over(Window.partitionBy("_kv_key").orderBy(LDTS)))  # a row a snapshot
+    own = Window.partitionBy(pk)
+    last = F.coalesce(F.lag("_kv_t").over(own.orderBy("_kv_t")), F.lit(0))
+    begun = rows.select(pk, "_kv_key", LDTS).join(numbered, ["_kv_key", LDTS]).withColumn("_kv_last", last).where("_kv_last < _kv_t - 1 OR _kv_last = 0")
+    begun = begun.groupBy("_kv_key", "_kv_t", LDTS).agg(F.min("_kv_last").alias("_kv_last"))
+    steps = begun.groupBy("_kv_key").agg(F.sort_array(F.collect_list(F.struct("_kv_t", "_kv_last", LDTS))).alias("s"))
+    none = F.array().cast(rows.select(F.array(LDTS)).schema[0].dataType)
+    zero = F.struct(F.lit(0).alias("t"), none.alias("at"))
+    changed = F.aggregate("s", zero, lambda z, x: F.when((z["t"] == 0) | (x["_kv_last"] < z["t"]), F.struct(x["_kv_t"].alias("t"), F.array_append(z["at"], x[LDTS]).alias("at"))).otherwise(z))
+    changes = steps.select("_kv_key", F.posexplode(changed["at"]).alias("_kv_k", LDTS))
+    at = rows.join(changes, ["_kv_key", LDTS])
+    first = F.coalesce(F.col("_kv_k") - F.lag("_kv_k").over(own.orderBy("_kv_k")), F.lit(2)) > 1
+    runs = at.withColumn("_kv_first", first).withColumn("_kv_run", F.sum(F.col("_kv_first").cast("int")).over(own.orderBy("_kv_k")))
+    runs = runs.groupBy("_kv_key", pk, "_kv_run").agg(F.min(F.struct("_kv_k", LDTS, *values)).alias("x"), F.max("_kv_k").alias("_kv_end"))
+    runs = _written(runs.select("_kv_key", pk, "_kv_end", "x.*"), "runs")
+    begins = runs.where("_kv_k > 0")
+    ends = begins.groupBy("_kv_key", (F.col("_kv_k") - 1).alias("_kv_end")).agg(F.min("START_DATE").alias("_kv_start"), F.max(LDTS).alias("_kv_ldts"), F.min(SOURCE).alias("_kv_source"))
+    opened = runs.withColumn("END_DATE", high_date(history)).select("_kv_key", *columns)
+    closed = runs.join(ends, ["_kv_key", "_kv_end"]).select("_kv_key", pk, *dfk, *sfk, "START_DATE", F.col("_kv_start").alias("END_DATE"), F.col("_kv_ldts").alias(LDTS), F.col("_kv_source").alias(SOURCE))
+    out = opened.unionByName(closed)
+
+    gone = runs.groupBy("_kv_key", (F.col("_kv_end") + 1).alias("_kv_k")).agg(F.max("START_DATE").alias("_kv_gone"))
+    early = begins.join(gone, ["_kv_key", "_kv_k"]).where(F.col("START_DATE") < F.col("_kv_gone")).select("_kv_key")
+    apart = _written(early.unionByName(rows.where("START_DATE IS NULL").select("_kv_key")).distinct(), "apart")
+    if apart.isEmpty():
+        return out.drop("_kv_key")
+    single = _written(rows.join(apart, "_kv_key", "left_semi").drop("_kv_key"), "single")
+    path = _write(out.join(apart, "_kv_key", "left_anti").drop("_kv_key"), "records")
+    path_single, target = f"{path}_single", None
+    for (ldts,) in single.select(LDTS).distinct().orderBy(LDTS).collect():  # one round a snapshot
+        new = load_eff_sat(single.where(F.col(LDTS) == F.lit(ldts)), target, pk, dfk, sfk)
+        new.write.mode("append").parquet(path_single)
+        target = history.sparkSession.read.schema(new.schema).parquet(path_single)
+    return history.sparkSession.read.schema(out.drop("_kv_key").schema).parquet(path).unionByName(target)
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return path
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that it is made once."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
 
 
 def load_fk_link(stage: DataFrame, target: DataFrame | None, pk: str, own_hk: str, own_key: str, hub_key: str, fk_column: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelvault.functions.names import normalize_identifier, tokens
@@ -121,22 +121,42 @@ def anchor_column(keys_long: DataFrame) -> DataFrame:
     return alone.where("m = 1").select("source", "column")
 
 
+# Prefixes of a construct's kind, and that of a raw source table.
+KIND_PREFIX, RAW_PREFIX = "^(hub_|link_|sat_)", "RAW"
+
+
+def _joined_name(c) -> Column:
+    """A name without separators: SalesOrder, sales_order and SALES-ORDER are one."""
+    return F.replace(normalize_identifier(c), F.lit("_"), F.lit(""))
+
+
+def names_table(hub: str, table: str) -> Column:
+    """Whether a hub, without its prefix, has the name of a source table, or of its raw form."""
+    base, name = _joined_name(F.regexp_replace(hub, KIND_PREFIX, "")), _joined_name(table)
+    return (name == base) | (name == F.concat(F.lit(RAW_PREFIX), base))
+
+
 def propose_links(fks: DataFrame, hubs: DataFrame, keys_long: DataFrame) -> DataFrame:
     """One outcome for each foreign key (fk, table, columns, ref_table, ref_columns): the hub that it
-    meets (hubs: hub, table, key), same_name or renamed, with the containment of its values, or the
-    reason why not: composite_key, no_hub_for_key, ambiguous_hub.
+    meets, same_name or renamed, with the containment of its values, or the reason why not:
+    composite_key, no_hub_for_key, ambiguous_hub.
 
-    ``keys_long`` holds the values (source = table, column, value) of keys and foreign keys."""
+    A hub (hubs: hub, key) is met by its canonical key column. The referenced table only decides
+    between several hubs with this key, by the hub's name. ``keys_long`` holds the values (source =
+    table, column, value) of keys and foreign keys."""
     single = fks.withColumns({"col": F.get("columns", F.lit(0)), "ref": F.get("ref_columns", F.lit(0)), "composite": F.size("columns") != 1})
-    h = hubs.select("hub", normalize_identifier("table").alias("_kv_t"), normalize_identifier("key").alias("_kv_k"))
-    met = single.join(h, (normalize_identifier("ref_table") == F.col("_kv_t")) & (normalize_identifier("ref") == F.col("_kv_k")), "left")
-    met = met.groupBy("fk", "table", "col", "ref_table", "ref", "composite").agg(F.count_distinct("hub").alias("n"), F.min("hub").alias("hub"))
-    reason = F.when(F.col("composite"), "composite_key").when(F.col("n") == 0, "no_hub_for_key").when(F.col("n") > 1, "ambiguous_hub")
-    kind = F.when(normalize_identifier("col") == normalize_identifier("ref"), "same_name").otherwise("renamed")
+    h = hubs.select("hub", F.col("key").alias("_kv_key"), normalize_identifier("key").alias("_kv_k")).distinct()
+    met = single.join(h, normalize_identifier("ref") == F.col("_kv_k"), "left").withColumn("_kv_named", F.coalesce(names_table("hub", "ref_table"), F.lit(False)))
+    one = F.struct("hub", "_kv_key")
+    met = met.groupBy("fk", "table", "col", "ref_table", "ref", "composite").agg(F.count_distinct("hub").alias("n"), F.min(one).alias("only"), F.count_distinct(F.when(F.col("_kv_named"), F.col("hub"))).alias("m"), F.min(F.when(F.col("_kv_named"), one)).alias("named"))
+    chosen = F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("named"))
+    met = met.withColumn("chosen", chosen)
+    reason = F.when(F.col("composite"), "composite_key").when(F.col("n") == 0, "no_hub_for_key").when(F.col("chosen").isNull(), "ambiguous_hub")
+    kind = F.when(normalize_identifier("col") == normalize_identifier("chosen._kv_key"), "same_name").otherwise("renamed")
     held = column_containment(keys_long).select(F.col("child_source").alias("table"), F.col("child_column").alias("col"), F.col("parent_source").alias("ref_table"), F.col("parent_column").alias("ref"), (F.col("n_shared") / F.col("n_child")).alias("share"))
     out = met.join(held, ["table", "col", "ref_table", "ref"], "left")
     good = reason.isNull()
-    return out.select("fk", F.when(good, F.col("hub")).alias("hub"), F.when(good, kind).otherwise(reason).alias("outcome"), F.when(good, F.coalesce("share", F.lit(0.0))).alias("containment"))
+    return out.select("fk", F.when(good, F.col("chosen.hub")).alias("hub"), F.when(good, kind).otherwise(reason).alias("outcome"), F.when(good, F.coalesce("share", F.lit(0.0))).alias("containment"))
 
 
 def key_value_overlap(new: DataFrame, column: str, hub: DataFrame, key: str) -> DataFrame:
@@ -155,16 +175,17 @@ def resolve_entities(keys_long: DataFrame, hub_keys: DataFrame, comments: DataFr
     """(source, column, resolution, hub, overlap) for each new key column of ``keys_long`` (source,
     column, value) against ``hub_keys`` (hub, value).
 
-    exact_key when at least ``enough`` of its values are keys of one hub; key_overlap when another
-    column of its source is (a cross-reference: asserted equal, never merged); comment_grounded when
-    its comment (source, column, comment) names a hub; NEW when at most ``some`` of its values are
-    known; else unresolved."""
+    exact_key when at least ``enough`` of its values are keys of one hub, more than of any other;
+    unresolved when several hubs have as many; key_overlap when another column of its source is an
+    exact key (a cross-reference: asserted equal, never merged); comment_grounded when its comment
+    (source, column, comment) names a hub; NEW when at most ``some`` of its values are known; else
+    unresolved."""
     values = keys_long.where("value IS NOT NULL").select("source", "column", F.col("value").cast("string").alias("value")).distinct()
     sizes = values.groupBy("source", "column").agg(F.count("*").alias("n"))
     met = values.join(hub_keys.select("hub", F.col("value").cast("string").alias("value")).distinct(), "value").groupBy("source", "column", "hub").agg(F.count("*").alias("k"))
-    best = met.groupBy("source", "column").agg(F.max(F.struct("k", "hub")).alias("x"))
-    shares = sizes.join(best, ["source", "column"], "left").select("source", "column", F.coalesce(F.col("x.k") / F.col("n"), F.lit(0.0)).alias("overlap"), F.col("x.hub").alias("hub"))
-    exact = shares.where(F.col("overlap") >= enough).groupBy("source").agg(F.min(F.struct("column", "hub")).alias("e"))
+    best = met.groupBy("source", "column", "k").agg(F.count("*").alias("hubs"), F.min("hub").alias("hub")).groupBy("source", "column").agg(F.max(F.struct("k", "hubs", "hub")).alias("x"))
+    shares = sizes.join(best, ["source", "column"], "left").select("source", "column", F.coalesce(F.col("x.k") / F.col("n"), F.lit(0.0)).alias("overlap"), F.col("x.hub").alias("hub"), (F.coalesce("x.hubs", F.lit(0)) > 1).alias("tied"))
+    exact = shares.where((F.col("overlap") >= enough) & ~F.col("tied")).groupBy("source").agg(F.min(F.struct("column", "hub")).alias("e"))
     out = shares.join(exact, "source", "left")
     if comments is not None:
         words = comments.select("source", "column", F.explode(tokens("comment", 2, STOP_TOKENS)).alias("w"))
@@ -174,7 +195,7 @@ def resolve_entities(keys_long: DataFrame, hub_keys: DataFrame, comments: DataFr
     else:
         out = out.withColumn("said", F.lit(None).cast("string"))
     kind = (
-        F.when(F.col("overlap") >= enough, "exact_key")
+        F.when(F.col("overlap") >= enough, F.when(F.col("tied"), "unresolved").otherwise("exact_key"))
         .when(F.col("e").isNotNull() & (F.col("e.column") != F.col("column")), "key_overlap")
         .when(F.col("said").isNotNull(), "comment_grounded")
         .when(F.col("overlap") <= some, "NEW")

@@ -127,7 +127,10 @@ def false_friend_hits(proposals: DataFrame, forbidden: DataFrame) -> DataFrame:
 def calibration(proposals: DataFrame, golden: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """(n_right, n_wrong, margin): mean confidence of right proposals less that of wrong ones, those on
     gaps included, within 0 and 1; 1.0 when nothing is wrong."""
-    p = _scored(proposals, golden, gaps)
+    return _margin(_scored(proposals, golden, gaps))
+
+
+def _margin(p: DataFrame) -> DataFrame:
     one = p.agg(F.count_if("right").alias("n_right"), F.count_if(~F.col("right")).alias("n_wrong"), F.avg(F.when(F.col("right"), F.col("confidence"))).alias("r"), F.avg(F.when(~F.col("right"), F.col("confidence"))).alias("w"))
     margin = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)) - F.col("w")))
     return one.select("n_right", "n_wrong", F.when(F.col("n_wrong") == 0, 1.0).otherwise(margin).alias("margin"))
@@ -137,11 +140,29 @@ def calibration(proposals: DataFrame, golden: DataFrame, gaps: DataFrame | None
 NEW, SAME_AS, UNRESOLVED = "NEW", "same_as_candidate", "unresolved"
 
 
+def key_ref(c: Column | str) -> Column:
+    """The normalised key column of an answer's key: of ``entity::column (gloss)`` the column. A composite
+    key stays whole, so it meets no golden key of a single column."""
+    c = F.col(c) if isinstance(c, str) else c
+    column = F.when(F.contains(c, F.lit("::")), F.substring(c, F.locate("::", c) + 2, F.length(c))).otherwise(c)
+    return normalize_identifier(F.trim(F.regexp_replace(column, r"\s*\([^()]*\)\s*$", "")))
+
+
+def _answers(resolutions: DataFrame) -> DataFrame:
+    return resolutions.withColumn("key", key_ref("key"))
+
+
+def _expected(golden: DataFrame) -> DataFrame:
+    """Golden answers by normalised key; keys are then to be unique."""
+    return golden.withColumn("key", normalize_identifier("key"))
+
+
 def false_merge_rate(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
     """(n_merges, n_false, score): merges on golden keys that differ from the golden answer; one is
-    enough for a score of 0. New, same-as and unresolved answers merge nothing."""
-    g = golden.select("key", F.col("resolution").alias("expected"))
-    met = resolutions.join(g, "key").where(~F.col("resolution").isin(NEW, SAME_AS, UNRESOLVED))
+    enough for a score of 0. New, same-as and unresolved answers merge nothing; merges on other keys
+    aren't judged. Keys are compared by ``key_ref``."""
+    g = _expected(golden).select("key", F.col("resolution").alias("expected"))
+    met = _answers(resolutions).join(g, "key").where(~F.col("resolution").isin(NEW, SAME_AS, UNRESOLVED))
     one = met.agg(F.count("*").alias("n_merges"), F.count_if(F.col("resolution") != F.col("expected")).alias("n_false"))
     return one.withColumn("score", F.when(F.col("n_false") > 0, 0.0).otherwise(1.0))
 
@@ -149,22 +170,30 @@ def false_merge_rate(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
 def resolution_accuracy(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
     """(n_golden, n_right, accuracy): keys whose answers are all the golden one, for same-as answers with
     the golden target; no answer and answers that differ are wrong."""
-    g = golden.select("key", F.col("resolution").alias("want"), F.col("same_as").alias("want_as"))
+    g = _expected(golden).select("key", F.col("resolution").alias("want"), F.col("same_as").alias("want_as"))
     same = F.col("resolution") == F.col("want")
     ok = same & ((F.col("want") != SAME_AS) | F.col("same_as").eqNullSafe(F.col("want_as")))
-    met = g.join(resolutions, "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
+    met = g.join(_answers(resolutions), "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
     return met.agg(F.count("*").alias("n_golden"), F.count_if("ok").alias("n_right")).withColumn("accuracy", _ratio(F.col("n_right"), F.col("n_golden"), 1.0))
 
 
 def non_merge_recall(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
     """(n_golden, n_found, recall) of golden keys that must not be merged (new or same-as): found when
     every answer on them is the golden one."""
-    g = golden.where(F.col("resolution").isin(NEW, SAME_AS)).select("key", F.col("resolution").alias("want"))
+    g = _expected(golden).where(F.col("resolution").isin(NEW, SAME_AS)).select("key", F.col("resolution").alias("want"))
     ok = F.col("resolution") == F.col("want")
-    met = g.join(resolutions, "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
+    met = g.join(_answers(resolutions), "key", "left").groupBy("key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
     return met.agg(F.count("*").alias("n_golden"), F.count_if("ok").alias("n_found")).withColumn("recall", _ratio(F.col("n_found"), F.col("n_golden"), 1.0))
 
 
+def resolution_calibration(resolutions: DataFrame, golden: DataFrame) -> DataFrame:
+    """(n_right, n_wrong, margin): mean confidence of right answers (key, resolution, confidence) on golden
+    keys less that of wrong ones, within 0 and 1; 1.0 when nothing is wrong, 0.0 when nothing is right."""
+    g = _expected(golden).select("key", F.col("resolution").alias("want"))
+    p = _answers(resolutions).join(g, "key").withColumn("right", F.col("resolution").eqNullSafe(F.col("want")))
+    return _margin(p)
+
+
 def score_stats(scores: DataFrame) -> DataFrame:
     """(scorer, n, mean, min, max) over repeats (scorer, score)."""
     return scores.groupBy("scorer").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"))
@@ -189,13 +218,19 @@ def rollup_issues(issues: DataFrame, threshold: int = 3) -> DataFrame:
     return counts.join(items, "kind").select("kind", "n", F.array_join(shown, ", ").alias("items"), (F.col("n") > threshold).alias("collapsed"), F.col("kind").isin(*BLOCKING).alias("signoff"))
 
 
+#: Kinds of tokens that a call is billed for.
+TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+
+
 def usage_rollup(calls: DataFrame) -> DataFrame:
-    """(model, calls, input_tokens, output_tokens) from trace rows (model, input_tokens, output_tokens);
-    rows without a model count as ``unknown``."""
+    """(model, calls, and the sums of TOKENS) from trace rows with these columns, which count disjoint
+    tokens. Older rows have no counts of a kind, or ``calls`` lacks its column: these add 0. Rows
+    without a model count as ``unknown``."""
     model = F.coalesce("model", F.lit("unknown")).alias("model")
-    return calls.groupBy(model).agg(F.count("*").alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+    held = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in calls.columns else F.lit(0).cast("long").alias(c) for c in TOKENS]
+    return calls.groupBy(model).agg(F.count("*").alias("calls"), *held)
 
 
 def read_usage(spark, path: str) -> DataFrame:
     """Trace rows from JSON-lines files, with a fixed schema."""
-    return spark.read.schema("model string, input_tokens long, output_tokens long").json(path)
+    return spark.read.schema(", ".join(["model string", *(f"{c} long" for c in TOKENS)])).json(path)

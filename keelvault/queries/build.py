@@ -217,6 +217,16 @@ def l5(spark, d):
     return out.withColumns({"QUANTITY": F.col("QUANTITY").cast("double"), "PRICE": F.col("PRICE").cast("double")})
 
 
+@query(
+    "l5_rejected_events",
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'no_participation' ELSE 'no_event_time' END AS reason FROM lineitem WHERE l_partkey % 7 = 0 OR l_linenumber = 3""",
+)
+def l5_rejected(spark, d):
+    """Events that name no part, or have no date, load nothing and are told."""
+    rows = line_stage(spark, d).withColumns({"PART_HK": F.when(F.col("l_partkey") % 7 != 0, F.col("PART_HK")), "SHIPPED": F.when(F.col("l_linenumber") != 3, F.col("SHIPPED"))})
+    return load.rejected_events(rows, ["ORDER_HK", "PART_HK", "SUPPLIER_HK"], "SHIPPED").select("l_orderkey", "l_linenumber", "reason")
+
+
 EVENT_CUTS = ["2024-01-10", "2024-01-20"]
 SAT = "HASHDIFF IS DISTINCT FROM lag(HASHDIFF) OVER (PARTITION BY {pk} ORDER BY LOAD_DATETIME)"
 
@@ -226,6 +236,21 @@ def l6(spark, d):
     return run_batches(events_stage(spark, d), EVENT_CUTS, lambda b, t: load.load_sat(b, t, "USER_HK", "HASHDIFF", ["event_type"]))
 
 
+@query(
+    "l6_late_rows",
+    f"""WITH {EVENTS}, b AS (SELECT * FROM e WHERE LOAD_DATETIME < TIMESTAMP '2024-01-16 00:00:00'), t AS (SELECT USER_HK, HASHDIFF, LOAD_DATETIME FROM b QUALIFY {SAT.format(pk='USER_HK')}),
+    m AS (SELECT USER_HK, max(LOAD_DATETIME) AS latest, arg_max(HASHDIFF, LOAD_DATETIME) AS diff FROM t GROUP BY USER_HK), x AS (SELECT USER_HK, event_id, HASHDIFF, LOAD_DATETIME FROM e UNION ALL SELECT USER_HK, -m_id, md5(HASHDIFF), LOAD_DATETIME FROM (SELECT t.*, user_id AS m_id FROM t JOIN (SELECT DISTINCT USER_HK, user_id FROM e) USING (USER_HK)))
+    SELECT USER_HK, event_id, HASHDIFF, LOAD_DATETIME FROM x JOIN m USING (USER_HK) WHERE LOAD_DATETIME < latest OR (LOAD_DATETIME = latest AND HASHDIFF <> diff)""",
+)
+def l6_late(spark, d):
+    """Rows of a batch that are older than what is loaded, or as old and different."""
+    e = events_stage(spark, d)
+    sat = load.load_sat(e.where("LOAD_DATETIME < '2024-01-16'"), None, "USER_HK", "HASHDIFF", ["event_type"])
+    ids = e.select("USER_HK", "user_id").distinct()
+    other = sat.join(ids, "USER_HK").select("USER_HK", (-F.col("user_id")).alias("event_id"), F.md5("HASHDIFF").alias("HASHDIFF"), "LOAD_DATETIME")
+    return load.late_rows(e.select("USER_HK", "event_id", "HASHDIFF", "LOAD_DATETIME").unionByName(other), sat, "USER_HK", "HASHDIFF")
+
+
 def priority_stage(spark, d):
     spec = stage.StageSpec(derived={"VALUE": "o_orderpriority"}, keys={"CUSTOMER_HK": ["o_custkey"]}, diffs={"HASHDIFF": ["o_orderpriority"]}, ldts="o_orderdate", source="orders")
     return stage.stage(table(spark, d, "orders"), spec)
@@ -280,6 +305,20 @@ def l10(spark, d):
     return out.withColumn("QUANTITY", F.col("QUANTITY").cast("double"))
 
 
+@query(
+    "l10_late_sets",
+    f"""SELECT {hashed('l_orderkey')} AS ORDER_HK, l_orderkey, l_linenumber, l_partkey, l_suppkey, TIMESTAMP '2002-01-01 00:00:00' AS LOAD_DATETIME FROM lineitem WHERE l_orderkey % 10 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)
+    UNION ALL SELECT {hashed('l_orderkey')}, l_orderkey, l_linenumber, l_partkey, l_suppkey, TIMESTAMP '2002-02-01 00:00:00' FROM lineitem WHERE l_orderkey % 30 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""",
+)
+def l10_late(spark, d):
+    """Sets that are older than what is loaded, and sets as old with other members."""
+    rows = multi_active(spark, d)
+    key = ["l_linenumber", "l_partkey", "l_suppkey"]
+    held = load.load_ma_sat(rows, None, "ORDER_HK", key, "HASHDIFF", ["QUANTITY"])
+    other = rows.withColumn("HASHDIFF", F.when((F.col("l_orderkey") % 30 == 0) & (F.col("LOAD_DATETIME") > "2002-01-15"), F.md5("HASHDIFF")).otherwise(F.col("HASHDIFF")))
+    return load.late_sets(other, held, "ORDER_HK", key, "HASHDIFF").select("ORDER_HK", "l_orderkey", *key, "LOAD_DATETIME")
+
+
 SNAPSHOTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
 
 
@@ -336,6 +375,30 @@ def l13(spark, d):
     return dated(load.eff_sat_from_history(daily_states(spark, d), "EFF_HK", ["user_id"], ["event_type"]))
 
 
+def daily_sets(spark, d):
+    """All event types of a user on a day: several relationships of one driving key in a snapshot."""
+    day = F.date_trunc("day", "ts").alias("LOAD_DATETIME")
+    rows = table(spark, d, "events").groupBy("user_id", "event_type", day).agg(F.min("ts").alias("START_DATE")).withColumn("RECORD_SOURCE", F.lit("events"))
+    return rows.withColumn("EFF_HK", hash_key(["user_id", "event_type"]))
+
+
+@query(
+    "l13_eff_sat_sets",
+    f"""WITH RECURSIVE h AS (SELECT user_id, event_type, date_trunc('day', ts)::TIMESTAMP AS day, min(ts) AS start FROM events GROUP BY ALL),
+    c AS (SELECT user_id, min(day) AS day, 1 AS k FROM h GROUP BY user_id
+      UNION ALL SELECT c.user_id, min(x.day), any_value(c.k) + 1 FROM c JOIN h x ON x.user_id = c.user_id AND x.day > c.day LEFT JOIN h y ON y.user_id = c.user_id AND y.day = c.day AND y.event_type = x.event_type WHERE y.user_id IS NULL GROUP BY c.user_id),
+    s AS (SELECT c.user_id, k, c.day, event_type, start FROM c JOIN h ON h.user_id = c.user_id AND h.day = c.day),
+    o AS (SELECT a.* FROM s a LEFT JOIN s b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.k = a.k - 1 WHERE b.user_id IS NULL),
+    g AS (SELECT user_id, k, any_value(day) AS day, min(start) AS ends FROM o GROUP BY user_id, k),
+    z AS (SELECT a.user_id, a.event_type, g.day, g.ends, (SELECT max(o.start) FROM o WHERE o.user_id = a.user_id AND o.event_type = a.event_type AND o.k <= a.k) AS start
+      FROM s a JOIN g ON g.user_id = a.user_id AND g.k = a.k + 1 LEFT JOIN s b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.k = a.k + 1 WHERE b.user_id IS NULL)
+    SELECT {hashed('user_id', 'event_type')} AS EFF_HK, user_id, event_type, start AS START_DATE, CAST({HIGH} AS VARCHAR) AS END_DATE, day AS LOAD_DATETIME, 'events' AS RECORD_SOURCE FROM o
+    UNION ALL SELECT {hashed('user_id', 'event_type')}, user_id, event_type, start, CAST(ends AS VARCHAR), day, 'events' FROM z""",
+)
+def l13_sets(spark, d):
+    return dated(load.eff_sat_from_history(daily_sets(spark, d), "EFF_HK", ["user_id"], ["event_type"]))
+
+
 @query("l14_load_fk_link", f"SELECT {hashed('o_orderkey', 'o_custkey')} AS FK_HK, {hashed('o_orderkey')} AS ORDER_HK, {hashed('o_custkey')} AS C_CUSTKEY_HK, min(o_orderdate) AS LOAD_DATETIME, 'orders' AS RECORD_SOURCE FROM orders GROUP BY 1, 2, 3")
 def l14(spark, d):
     rows = stage.with_load_metadata(table(spark, d, "orders"), "o_orderdate", "orders")

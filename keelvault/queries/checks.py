@@ -444,21 +444,22 @@ NORM_NAME = "upper(trim(regexp_replace({c}, '[^0-9a-zA-Z]+', '_', 'g'), '_'))"
 
 @query(
     "m7_propose_links",
-    f"""WITH fk AS (SELECT * FROM (VALUES ('fk1', ['o_custkey'], 'customer', ['c_custkey']), ('fk2', ['l_orderkey'], 'orders', ['o_orderkey']), ('fk3', ['l_partkey', 'l_suppkey'], 'partsupp', ['ps_partkey', 'ps_suppkey']), ('fk4', ['c_nationkey'], 'nation', ['n_nationkey']), ('fk5', ['l_suppkey'], 'supplier', ['s_suppkey'])) v(fk, cols, ref_table, refs)),
-    hub AS (SELECT * FROM (VALUES ('hub_customer', 'customer', 'c_custkey'), ('hub_order', 'orders', 'o_orderkey'), ('hub_a', 'supplier', 's_suppkey'), ('hub_b', 'supplier', 'S-SUPPKEY')) v(hub, t, k)),
+    f"""WITH fk AS (SELECT * FROM (VALUES ('fk1', ['o_custkey'], 'customer', ['c_custkey']), ('fk2', ['l_orderkey'], 'orders', ['o_orderkey']), ('fk3', ['l_partkey', 'l_suppkey'], 'partsupp', ['ps_partkey', 'ps_suppkey']), ('fk4', ['c_nationkey'], 'nation', ['n_nationkey']), ('fk5', ['l_suppkey'], 'supplier', ['s_suppkey']), ('fk6', ['l_partkey'], 'part', ['p_partkey'])) v(fk, cols, ref_table, refs)),
+    hub AS (SELECT * FROM (VALUES ('hub_buyer', 'c_custkey'), ('hub_order', 'o_orderkey'), ('hub_supplier', 's_suppkey'), ('hub_vendor', 'S-SUPPKEY'), ('hub_x', 'P-PARTKEY'), ('hub_y', 'p_partkey')) v(hub, k)),
     c AS (SELECT 'fk1' AS fk, count(DISTINCT o_custkey) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer)) / count(DISTINCT o_custkey) AS share FROM orders
-      UNION ALL SELECT 'fk2', count(DISTINCT l_orderkey) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) / count(DISTINCT l_orderkey) FROM lineitem),
-    n AS (SELECT fk.*, count(DISTINCT hub) AS n, min(hub) AS hub FROM fk LEFT JOIN hub ON {NORM_NAME.format(c='ref_table')} = {NORM_NAME.format(c='t')} AND {NORM_NAME.format(c='refs[1]')} = {NORM_NAME.format(c='k')} GROUP BY ALL),
-    r AS (SELECT *, CASE WHEN len(cols) <> 1 THEN 'composite_key' WHEN n = 0 THEN 'no_hub_for_key' WHEN n > 1 THEN 'ambiguous_hub' END AS reason FROM n)
+      UNION ALL SELECT 'fk2', count(DISTINCT l_orderkey) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) / count(DISTINCT l_orderkey) FROM lineitem
+      UNION ALL SELECT 'fk5', count(DISTINCT l_suppkey) FILTER (WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) / count(DISTINCT l_suppkey) FROM lineitem),
+    n AS (SELECT fk.*, count(hub) AS n, min(hub) AS only_hub, min(hub) FILTER (WHERE 'hub_' || ref_table = hub) AS named, count(hub) FILTER (WHERE 'hub_' || ref_table = hub) AS m FROM fk LEFT JOIN hub ON {NORM_NAME.format(c='refs[1]')} = {NORM_NAME.format(c='k')} GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN len(cols) <> 1 THEN 'composite_key' WHEN n = 0 THEN 'no_hub_for_key' WHEN n > 1 AND m <> 1 THEN 'ambiguous_hub' END AS reason, CASE WHEN n = 1 THEN only_hub ELSE named END AS hub FROM n)
     SELECT r.fk, CASE WHEN reason IS NULL THEN hub END AS hub, coalesce(reason, CASE WHEN {NORM_NAME.format(c='cols[1]')} = {NORM_NAME.format(c='refs[1]')} THEN 'same_name' ELSE 'renamed' END) AS outcome, CASE WHEN reason IS NULL THEN coalesce(share, 0) END AS containment
     FROM r LEFT JOIN c ON r.fk = c.fk""",
 )
 def m7(spark, d):
     fks = spark.createDataFrame(
-        [("fk1", "orders", ["o_custkey"], "customer", ["c_custkey"]), ("fk2", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("fk3", "lineitem", ["l_partkey", "l_suppkey"], "partsupp", ["ps_partkey", "ps_suppkey"]), ("fk4", "customer", ["c_nationkey"], "nation", ["n_nationkey"]), ("fk5", "lineitem", ["l_suppkey"], "supplier", ["s_suppkey"])],
+        [("fk1", "orders", ["o_custkey"], "customer", ["c_custkey"]), ("fk2", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("fk3", "lineitem", ["l_partkey", "l_suppkey"], "partsupp", ["ps_partkey", "ps_suppkey"]), ("fk4", "customer", ["c_nationkey"], "nation", ["n_nationkey"]), ("fk5", "lineitem", ["l_suppkey"], "supplier", ["s_suppkey"]), ("fk6", "lineitem", ["l_partkey"], "part", ["p_partkey"])],
         "fk string, table string, columns array<string>, ref_table string, ref_columns array<string>",
     )
-    hubs = spark.createDataFrame([("hub_customer", "customer", "c_custkey"), ("hub_order", "orders", "o_orderkey"), ("hub_a", "supplier", "s_suppkey"), ("hub_b", "supplier", "S-SUPPKEY")], "hub string, table string, key string")
+    hubs = spark.createDataFrame([("hub_buyer", "c_custkey"), ("hub_order", "o_orderkey"), ("hub_supplier", "s_suppkey"), ("hub_vendor", "S-SUPPKEY"), ("hub_x", "P-PARTKEY"), ("hub_y", "p_partkey")], "hub string, key string")
     return match.propose_links(fks, hubs, keys_long(spark, d))
 
 
@@ -523,13 +524,29 @@ def x1(spark, d):
     return extend.add_feed(live, customer_stage(spark, d), "CUSTOMER_HK", "CUSTOMER_ID")
 
 
-@query("x2_diff_tables", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 1 THEN 'extended' WHEN c_custkey % 10 = 2 THEN 'new' ELSE 'unchanged' END AS status FROM customer")
+@query("x2_diff_tables", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 1 THEN 'changed' WHEN c_custkey % 10 = 2 THEN 'new' ELSE 'unchanged' END AS status FROM customer")
 def x2(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     after = c.where("c_custkey % 10 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 1, F.lit(None)).otherwise(F.col("c_mktsegment")))
     return extend.diff_tables(c.where("c_custkey % 10 <> 2"), after, ["c_custkey"])
 
 
+@query(
+    "x2_diff_extended",
+    """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 1 THEN 'changed' WHEN c_custkey % 10 = 2 THEN 'new' WHEN rich OR late THEN 'extended' ELSE 'unchanged' END AS status,
+      CASE WHEN rich AND late THEN 'feed_rich,sat_late' WHEN rich THEN 'feed_rich' WHEN late THEN 'sat_late' ELSE '' END AS gained
+    FROM (SELECT c_custkey, c_acctbal > 5000 AS rich, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00') AS late FROM customer)""",
+)
+def x2_extended(spark, d):
+    """Keys that an extension has only added a feed or a satellite to are extended."""
+    c = table(spark, d, "customer")
+    rows = c.select("c_custkey", "c_name", "c_mktsegment")
+    after = rows.where("c_custkey % 10 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 1, F.lit(None)).otherwise(F.col("c_mktsegment")))
+    late = table(spark, d, "orders").where("o_orderdate >= '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    late = late.join(c, "c_custkey", "left_semi")
+    return extend.diff_tables(rows.where("c_custkey % 10 <> 2"), after, ["c_custkey"], {"feed_rich": c.where("c_acctbal > 5000"), "sat_late": late})
+
+
 MARKED = "coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '^')"
 ORDER_TEXT = " || ".join(MARKED.format(c=c) for c in ("o_orderkey", "o_custkey", "nullif(o_orderstatus, 'F')", "CAST(o_totalprice AS DECIMAL(18,2))", "o_orderdate"))
 
@@ -692,9 +709,10 @@ def resolutions(spark, d):
     are wrong, unresolved, of another same-as target, missing, or given twice."""
     k = F.col("c_custkey")
     kind = F.when(k % 4 == 0, "NEW").when(k % 10 == 1, "same_as_candidate").otherwise(F.col("c_mktsegment"))
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("k"), k).alias("key"), kind.alias("resolution"), F.when(k % 10 == 1, F.lit("hub_x")).alias("same_as"))
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("K-"), k).alias("key"), kind.alias("resolution"), F.when(k % 10 == 1, F.lit("hub_x")).alias("same_as"))
     got = F.when(k % 9 == 0, "WRONG").when(k % 13 == 0, "unresolved").otherwise(F.col("resolution"))
-    found = c.withColumns({"resolution": got, "same_as": F.when(k % 3 == 0, F.lit("hub_y")).otherwise(F.col("same_as"))}).where("c_custkey % 8 <> 5")
+    spelled = F.when(k % 2 == 0, F.concat(F.lit("partner::k_"), k, F.lit(" (national number)"))).otherwise(F.concat(F.lit("k "), k))
+    found = c.withColumns({"key": spelled, "resolution": got, "same_as": F.when(k % 3 == 0, F.lit("hub_y")).otherwise(F.col("same_as"))}).where("c_custkey % 8 <> 5")
     twice = found.where("c_custkey % 22 = 0").withColumn("resolution", F.lit("unresolved"))
     return found.unionByName(twice), c.where("c_custkey % 2 = 0 OR c_custkey % 10 = 1")
 
@@ -720,6 +738,17 @@ def e11(spark, d):
     return score.non_merge_recall(*resolutions(spark, d))
 
 
+@query(
+    "e8_resolution_calibration",
+    RES + """, p AS (SELECT got IS NOT DISTINCT FROM want AS r, 0.5 + k % 50 / 100.0 AS confidence FROM g JOIN r USING (k))
+    SELECT count(*) FILTER (WHERE r) AS n_right, count(*) FILTER (WHERE NOT r) AS n_wrong, round(greatest(0.0, least(1.0, avg(confidence) FILTER (WHERE r) - avg(confidence) FILTER (WHERE NOT r))), 9) AS margin FROM p""",
+)
+def e8_resolutions(spark, d):
+    found, golden = resolutions(spark, d)
+    found = found.withColumn("confidence", F.lit(0.5) + F.col("c_custkey") % 50 / 100.0)
+    return score.resolution_calibration(found, golden).withColumn("margin", F.round("margin", 9))
+
+
 @query("e12_score_stats", "SELECT event_type AS scorer, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
 def e12(spark, d):
     return score.score_stats(table(spark, d, "events").select(F.col("event_type").alias("scorer"), F.col("value").alias("score"))).withColumn("mean", F.round("mean", 6))
@@ -737,8 +766,8 @@ def e13(spark, d):
     return score.rollup_issues(c.unionByName(n))
 
 
-@query("e14_usage_rollup", "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens FROM events GROUP BY 1")
+@query("e14_usage_rollup", "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS BIGINT) AS cache_read_tokens, CAST(sum(CASE WHEN event_id % 5 = 0 THEN user_id ELSE 0 END) AS BIGINT) AS cache_write_tokens FROM events GROUP BY 1")
 def e14(spark, d):
     path = shared_folder(spark)
-    table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")).write.json(path)
+    table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("cache_read_tokens"), F.when(F.col("event_id") % 5 == 0, F.col("user_id")).alias("cache_write_tokens")).write.json(path)
     return score.usage_rollup(score.read_usage(spark, path))

@@ -1,5 +1,8 @@
 """Golden bank vault, idempotence, and laws between loaders."""
 
+import random
+
+import pytest
 from conftest import SF
 
 from keelvault.functions.hashing import hash_key
@@ -110,6 +113,44 @@ def test_batches_equal_history(spark):
     assert once.exceptAll(stepped.select(*once.columns)).count() == 0 and once.count() == stepped.count()
 
 
+def random_history(seed, keys=5, partners=4, days=9, fixed=0.0):
+    """Snapshots of driving keys with sets of partners that come, go and return. A relationship starts on
+    the day it appears, or (a share of ``fixed``) on a day of its own, which may be long past."""
+    rng = random.Random(seed)
+    rows = []
+    for a in [None, *(f"a{i}" for i in range(keys - 1))]:
+        held, since = set(), {}
+        for day in range(1, days + 1):
+            if rng.random() < 0.2:
+                continue  # no snapshot of this key
+            now = {b for b in range(partners) if rng.random() < (0.8 if b in held else 0.25)}
+            for b in now:
+                if b not in held or b not in since:
+                    since[b] = 1 if rng.random() < fixed else day
+                rows.append((f"{a}-{b}", a, f"b{b}", f"2026-01-{since[b]:02} 00:00:00", f"2026-01-{day:02} 00:00:00"))
+            held = now
+    return rows
+
+
+@pytest.mark.parametrize("seed,fixed", [(1, 0.0), (2, 0.0), (3, 0.5)])
+def test_history_of_sets_equals_snapshots(spark, seed, fixed):
+    """Several relationships of a driving key that end, return and leave gaps; null driving keys; starts
+    that lie before what they would close."""
+    history = frame(spark, "LINK_HK string, A string, B string, START_DATE string, LOAD_DATETIME string", random_history(seed, fixed=fixed), "s")
+    args = ("LINK_HK", ["A"], ["B"])
+    once = load.eff_sat_from_history(history.unionByName(history.limit(7)), *args)
+    stepped = run_batches(history, [f"2026-01-{i:02}" for i in range(2, 10)], lambda b, t: load.load_eff_sat(b, t, *args)).select(*once.columns)
+    assert once.exceptAll(stepped).count() == 0 and stepped.exceptAll(once).count() == 0
+    assert once.count() > 20 and history.select("A", "LOAD_DATETIME").distinct().count() < history.count()
+
+
+def test_lasting_relationships_make_no_records(spark):
+    """Two relationships that last over two snapshots open once each; an ended one is closed by what follows."""
+    rows = [("1", "a", "x", DAY1, DAY1), ("2", "a", "y", DAY1, DAY1), ("1", "a", "x", DAY1, DAY2), ("2", "a", "y", DAY1, DAY2)]
+    got = load.eff_sat_from_history(frame(spark, "LINK_HK string, A string, B string, START_DATE string, LOAD_DATETIME string", rows, "s"), "LINK_HK", ["A"], ["B"])
+    assert sorted(r.LINK_HK for r in got.select("LINK_HK").collect()) == ["1", "2"]
+
+
 def test_reload_adds_nothing(spark):
     events = build.events_stage(spark, SF)
     sat = load.load_sat(events, None, "USER_HK", "HASHDIFF", ["event_type"])
@@ -261,3 +302,77 @@ def test_label_pairs(spark):
     found = match.match_labels(a, a.where("id <> 2"), "id", "label", "id", "label")
     assert {(r.side, r.id, r.n_partners) for r in found.collect()} == {("a", 1, 1), ("a", 2, 1), ("b", 1, 2), ("a", 5, 1), ("b", 5, 1)}
     assert {(r.a_id, r.b_id) for r in match.label_pairs(found).collect()} == {(1, 1), (2, 1), (5, 5)}
+
+
+def proposed(spark, hubs, fk=("Customer", ["PersonID"], "Person", ["BusinessEntityID"])):
+    fks = spark.createDataFrame([("fk", *fk)], "fk string, table string, columns array<string>, ref_table string, ref_columns array<string>")
+    keys = spark.createDataFrame([("Customer", "PersonID", "1"), ("Customer", "PersonID", "9"), ("Person", "BusinessEntityID", "1")], "source string, column string, value string")
+    return match.propose_links(fks, spark.createDataFrame(hubs, "hub string, key string"), keys).first()
+
+
+def test_links_are_proposed_by_key(spark):
+    """The hub's key column is what counts; the referenced table only decides between several hubs."""
+    got = proposed(spark, [("hub_person", "BUSINESSENTITYID")])
+    assert (got.hub, got.outcome, got.containment) == ("hub_person", "renamed", 0.5)
+    assert proposed(spark, [("hub_individual", "BusinessEntityID")]).hub == "hub_individual"
+    assert proposed(spark, [("hub_person", "BusinessEntityID")], ("Customer", ["business-entity id"], "Person", ["BusinessEntityID"])).outcome == "renamed"
+    assert proposed(spark, [("hub_person", "BUSINESS_ENTITY")], ("Customer", ["business entity"], "Person", ["Business-Entity"])).outcome == "same_name"
+    assert proposed(spark, [("hub_person", "OTHER")]).outcome == "no_hub_for_key"
+    two = [("hub_person", "BusinessEntityID"), ("hub_store", "BusinessEntityID")]
+    assert proposed(spark, two).hub == "hub_person"
+    assert proposed(spark, two, ("Customer", ["x"], "Vendor", ["BusinessEntityID"])).outcome == "ambiguous_hub"
+    camel = [("hub_sales_order_header", "SalesOrderID"), ("hub_order", "SalesOrderID")]
+    assert proposed(spark, camel, ("Detail", ["SalesOrderID"], "SalesOrderHeader", ["SalesOrderID"])).hub == "hub_sales_order_header"
+    assert proposed(spark, camel, ("Detail", ["SalesOrderID"], "raw_order", ["SalesOrderID"])).hub == "hub_order"
+    assert proposed(spark, two, ("Customer", ["a", "b"], "Person", ["c", "d"])).outcome == "composite_key"
+
+
+def test_resolution_keys_are_normalised(spark):
+    """Answers name keys as entity::column, perhaps with a gloss; golden keys are spelled in their own way."""
+    golden = spark.createDataFrame([("CUST_ID", "hub_customer", None), ("partn_nr", "NEW", None)], "key string, resolution string, same_as string")
+
+    def answers(*rows):
+        return spark.createDataFrame([(*r, None, 0.9)[:4] if len(r) == 2 else (*r[:2], None, r[2]) for r in rows], "key string, resolution string, same_as string, confidence double")
+
+    assert score.false_merge_rate(answers(("customer::cust id", "hub_account")), golden).first().score == 0.0
+    assert score.false_merge_rate(answers(("cust-id", "hub_customer")), golden).first().n_merges == 1
+    right = answers(("cust id", "hub_customer"), ("partner::partn_nr (national customer number)", "NEW"))
+    assert score.resolution_accuracy(right, golden).first().accuracy == 1.0 and score.non_merge_recall(right, golden).first().recall == 1.0
+    assert score.resolution_accuracy(answers(("crm_guid + partn_nr", "NEW")), golden).first().n_right == 0
+    margin = score.resolution_calibration(answers(("a::cust_id", "hub_customer", 0.9), ("partn_nr", "hub_customer", 0.4), ("other", "NEW", 0.1)), golden).first()
+    assert (margin.n_right, margin.n_wrong, round(margin.margin, 6)) == (1, 1, 0.5)
+    assert score.resolution_calibration(answers(("partn_nr", "x", 0.4)), golden).first().margin == 0.0
+    assert score.resolution_calibration(answers(("partn_nr", "NEW", 0.4)), golden).first().margin == 1.0
+
+
+def test_usage_of_older_traces(spark):
+    calls = spark.createDataFrame([("m", 3, None), (None, 1, 2)], "model string, input_tokens long, output_tokens long")
+    got = {r.model: tuple(r)[1:] for r in score.usage_rollup(calls).collect()}
+    assert got == {"m": (1, 3, 0, 0, 0), "unknown": (1, 1, 2, 0, 0)}
+
+
+def test_fractions_are_no_integers(spark):
+    df = spark.createDataFrame([(1.5, "7"), (None, "x")], "a double, b string")
+    got = {r.column_name: r.n_rows for r in contract.check_types(df, {"a": ["integer"], "b": ["integer"]}).collect()}
+    assert got == {"a": 1, "b": 1} and contract.check_types(df, {"a": ["number"]}).first().n_rows == 0
+
+
+def test_several_hubs_with_all_values_are_unresolved(spark):
+    keys = spark.createDataFrame([("s", "k", str(i)) for i in range(9)], "source string, column string, value string")
+    hubs = spark.createDataFrame([(h, str(i)) for h in ("hub_x", "hub_y") for i in range(9)], "hub string, value string")
+    got = match.resolve_entities(keys, hubs).first()
+    assert (got.resolution, got.hub) == ("unresolved", None)
+    assert match.resolve_entities(keys, hubs.where("hub = 'hub_x' OR value < '5'")).first().hub == "hub_x"
+
+
+def test_kept_out_rows_are_told(spark):
+    """A row with the target's load time and another hashdiff is not loaded, but late; events without a
+    participation load nothing."""
+    columns = "HK string, HASHDIFF string, V string, LOAD_DATETIME string"
+    sat = load.load_sat(frame(spark, columns, [("1", "a", "x", DAY1)], "s"), None, "HK", "HASHDIFF", ["V"])
+    batch = frame(spark, columns, [("1", "b", "y", DAY1), ("1", "a", "x", DAY1), ("2", "c", "z", DAY1)], "s")
+    assert [r.HK for r in load.load_sat(batch, sat, "HK", "HASHDIFF", ["V"]).collect()] == ["2"]
+    assert [r.HASHDIFF for r in load.late_rows(batch, sat, "HK", "HASHDIFF").collect()] == ["b"]
+    events = frame(spark, "LINK_HK string, A string, B string, EFF string, LOAD_DATETIME string", [("1", "a", None, DAY1, DAY1), ("2", "a", "b", None, DAY1), ("3", "a", "b", DAY1, DAY1)], "s")
+    assert [r.LINK_HK for r in load.load_t_link(events, None, "LINK_HK", ["A", "B"], [], "EFF").collect()] == ["3"]
+    assert sorted((r.LINK_HK, r.reason) for r in load.rejected_events(events, ["A", "B"], "EFF").collect()) == [("1", "no_participation"), ("2", "no_event_time")]
