@@ -80,66 +80,84 @@ def bloom_place(h: np.ndarray, i: int) -> np.ndarray:
 
 
 class Trie:
-    """Counts of packed phrases. A node is a hash container (packed phrase: count) or, once it has
-    burst, a node for each next word; the words down to ``depth`` can make nodes."""
+    """Counts of packed phrases: a hash container (packed phrase: count) beside nodes for the next words
+    that have burst out of it. A container that has outgrown its limit bursts: each next word with
+    a fair share of it becomes a node, the many rare ones stay together."""
 
     def __init__(self, words: int, depth: int = 0):
         self.words, self.depth = words, depth
-        self.table: dict[int, int] | None = {}
+        self.table: dict[int, int] = {}
         self.nodes: dict[int, Trie] = {}
+        self.limit, self.burst = BURST, np.empty(0, np.int64)
 
     def next_word(self, packed: np.ndarray) -> np.ndarray:
         return (packed >> (BITS * (self.words - 1 - self.depth))) & ((1 << BITS) - 1)
 
     def add(self, packed: np.ndarray, counts: np.ndarray) -> int:
         """Add sorted phrases; returns how many are new."""
-        if self.table is None:
+        new = 0
+        if self.nodes:
             word = self.next_word(packed)
+            apart = self.burst[np.minimum(np.searchsorted(self.burst, word), len(self.burst) - 1)] == word
+            some, word, held = packed[apart], word[apart], counts[apart]
             cuts = np.flatnonzero(np.diff(word)) + 1
-            new = 0
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(packed)], strict=True):
-                w = int(word[a])
-                if w not in self.nodes:
-                    self.nodes[w] = Trie(self.words, self.depth + 1)
-                new += self.nodes[w].add(packed[a:b], counts[a:b])
-            return new
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(some)], strict=True):
+                if a < b:
+                    new += self.nodes[int(word[a])].add(some[a:b], held[a:b])
+            packed, counts = packed[~apart], counts[~apart]
         table, before = self.table, len(self.table)
         get = table.get
         for k, n in zip(packed.tolist(), counts.tolist(), strict=True):
             table[k] = get(k, 0) + n
-        new = len(table) - before
-        if len(table) > BURST and self.depth < self.words - 1:
-            held = self.sorted()
-            self.table = None
-            self.add(*held)
+        new += len(table) - before
+        if len(table) > self.limit and self.depth < self.words - 1:
+            self.split()
         return new
 
+    def split(self) -> None:
+        keys, counts = self._table()
+        word = self.next_word(keys)
+        found, sizes = np.unique(word, return_counts=True)
+        large = found[sizes >= BURST // 8]
+        for w in large.tolist():
+            own = self.nodes[w] = Trie(self.words, self.depth + 1)
+            own.add(keys[word == w], counts[word == w])
+        self.burst = np.array(sorted(self.nodes), np.int64)
+        kept = ~np.isin(word, large)
+        self.table = dict(zip(keys[kept].tolist(), counts[kept].tolist(), strict=True))
+        self.limit = max(BURST, 2 * len(self.table))
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.fromiter(self.table.keys(), np.int64, len(self.table))
+        counts = np.fromiter(self.table.values(), np.int64, len(self.table))
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
     def size(self) -> int:
-        return len(self.table) if self.table is not None else sum(n.size() for n in self.nodes.values())
+        return len(self.table) + sum(n.size() for n in self.nodes.values())
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """All phrases in order, with their counts."""
-        if self.table is not None:
-            keys = np.fromiter(self.table.keys(), np.int64, len(self.table))
-            counts = np.fromiter(self.table.values(), np.int64, len(self.table))
-            order = np.argsort(keys)
-            return keys[order], counts[order]
-        parts = [self.nodes[w].sorted() for w in sorted(self.nodes)]
-        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.empty(0, np.int64),) * 2
-
-    def spill(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the largest first, until ``least`` phrases are gone."""
-        if self.table is not None or least >= self.size():
-            held = self.sorted()
-            self.table, self.nodes = {}, {}
-            yield held
-            return
-        for w, _ in sorted(((w, n.size()) for w, n in self.nodes.items()), key=lambda x: (-x[1], x[0])):
+        parts = [self._table(), *(n.sorted() for n in self.nodes.values())]
+        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")  # runs are merged
+        return keys[order], counts[order]
+
+    def spill(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Take out whole subtrees, the largest first, until ``least`` phrases are gone; the container with
+        the rare words is one of them. Gives one sorted run."""
+        out = Trie(self.words, self.depth)
+        trees = sorted([(len(self.table), -1), *((n.size(), w) for w, n in self.nodes.items())], reverse=True)
+        for size, w in trees:
             if least <= 0:
                 break
-            held = self.nodes.pop(w).sorted()
-            least -= len(held[0])
-            yield held
+            least -= size
+            if w < 0:
+                out.table, self.table, self.limit = self.table, {}, BURST
+            else:
+                out.nodes[w] = self.nodes.pop(w)
+        self.burst = np.array(sorted(self.nodes), np.int64)
+        return out.sorted()
 
 
 def lang_number(lang: str) -> int:
@@ -148,8 +166,9 @@ def lang_number(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 12)
 
 
-def word_counter(seed: int):
-    """Batches of (lang, text) -> (lang, word, h, n): each task's words with their hashes and counts."""
+def word_counter(seed: int, parts: int):
+    """Batches of (lang, text) -> (lang, part, hashes, checks, counts, words): each task's words by prefix
+    partition, in order of their hash, with a second hash, their counts, and themselves by line."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -158,14 +177,21 @@ def word_counter(seed: int):
         held: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in held.items():
-                words.pop(b"", None)
-                words.pop(b"\n", None)
-                order = sorted(words)
-                for i in range(0, len(order), 50_000):
-                    some = order[i : i + 50_000]
-                    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in some), np.uint64, len(some)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([w.decode("utf-8", "surrogatepass") for w in some], pa.string()), pa.array(h, pa.int64()), pa.array([words[w] for w in some], pa.int64())], ["lang", "word", "h", "n"])
+            for lang, found in held.items():
+                found.pop(b"", None)
+                found.pop(b"\n", None)
+                words, counts = list(found.keys()), np.fromiter(found.values(), np.int64, len(found))
+                h, check = (np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words)) for s in (seed, seed + 1000))
+                part = (phrase_hash(1, [h]) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((h, part))
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                rows = []
+                for some in np.split(order, cuts):
+                    if len(some):
+                        rows.append((int(part[some[0]]), h[some].tobytes(), check[some].tobytes(), counts[some].tobytes(), b"\n".join([words[i] for i in some.tolist()])))
+                for i in range(0, len(rows), 256):
+                    columns = list(zip(*rows[i : i + 256], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["lang", "part", "hashes", "checks", "counts", "words"])
             held.clear()
 
         for batch in batches:
@@ -178,6 +204,34 @@ def word_counter(seed: int):
     return count
 
 
+def word_merger(least: int):
+    """One prefix partition of a language: the words that occur ``least`` times or more, and a row without
+    a word that has the number of all and says whether a hash stands for two words."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        h, check = (np.concatenate([np.frombuffer(x, np.uint64) for x in group[c]]) for c in ("hashes", "checks"))
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"]])
+        order = np.argsort(h, kind="stable")  # runs are merged
+        h, check = h[order], check[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        clash = bool((np.maximum.reduceat(check, first) != np.minimum.reduceat(check, first)).any())
+        sums = np.add.reduceat(counts[order], first)
+        kept = np.flatnonzero(sums >= least)
+        ends = np.cumsum([len(x) // 8 for x in group["hashes"]])
+        lines: dict[int, list[bytes]] = {}
+        words = []
+        for at in order[first[kept]].tolist():  # where each of them stands
+            run = int(np.searchsorted(ends, at, side="right"))
+            if run not in lines:
+                lines[run] = group["words"].iloc[run].split(b"\n")
+            words.append(lines[run][at - int(ends[run])].decode("utf-8", "surrogatepass"))
+        lang = group["lang"].iloc[0]
+        own = h[first[kept]].view(np.int64).tolist()
+        return pd.DataFrame({"lang": [lang] * (len(kept) + 1), "h": pd.array([*own, None], "Int64"), "word": [*words, None], "n": [*sums[kept].tolist(), int(counts.sum())], "clash": [False] * len(kept) + [clash]})
+
+    return merge
+
+
 def phrase_counter(words: int, seed: int, sent, hot, parts: int):
     """Batches of (lang, text) -> (lang, part, heads, sizes, rest, counts): sorted runs of phrases of
     ``words`` words. A run has its first words once each (heads), with the number of phrases of each
@@ -189,57 +243,63 @@ def phrase_counter(words: int, seed: int, sent, hot, parts: int):
         bloom, frequent = Bloom(sent.value), hot.value
 
         class Numbers(dict):
-            """Word -> its number; 0 for the end of a piece and for words that aren't frequent, -1 for none."""
+            """Word -> its number; 0 is no word, 1 the end of a piece."""
 
-            def __init__(self, lang: str):
-                super().__init__({b"": -1, b"\n": 0})
-                self.lang, self.hashes, self.rare = lang_number(lang), [0], 0
+            def __init__(self):
+                super().__init__({b"": 0, b"\n": 1})
+                self.new: list[bytes] = []
 
             def __missing__(self, word: bytes) -> int:
-                h = xxhash.xxh64_intdigest(word, seed)
-                if bloom.has(phrase_hash(self.lang, [np.array([h], np.uint64)]))[0]:
-                    value = self[word] = len(self.hashes)
-                    self.hashes.append(h)
-                else:
-                    value = 0
-                    self.rare += 1
-                    if self.rare <= NUMBERED:
-                        self[word] = 0
+                self.new.append(word)
+                value = self[word] = len(self)
                 return value
 
         class Language:
+            """The numbers of words, by number their hashes and whether they are frequent, the trie, and
+            tokens that wait."""
+
             def __init__(self, lang: str):
-                self.lang, self.numbers, self.trie = lang, Numbers(lang), Trie(words)
-                self.buffer: list[np.ndarray] = []
-                self.waiting = self.size = 0
+                self.lang, self.key, self.trie = lang, lang_number(lang), Trie(words)
+                self.waiting: list[bytes] = []
+                self.size = 0
+                self.anew()
+
+            def anew(self) -> None:
+                self.numbers, self.hashes, self.frequent = Numbers(), np.zeros(2, np.uint64), np.zeros(2, bool)
+
+            def number(self) -> np.ndarray:
+                """The waiting tokens by number."""
+                tokens, self.waiting = self.waiting, []
+                ids = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+                new, self.numbers.new = self.numbers.new, []
+                h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in new), np.uint64, len(new))
+                self.hashes = np.concatenate([self.hashes, h])
+                self.frequent = np.concatenate([self.frequent, bloom.has(phrase_hash(self.key, [h]))])
+                return ids[ids > 0]
 
         held: dict[str, Language] = {}
 
         def count_waiting(x: Language) -> None:
-            if not x.buffer:
-                return
-            ids = np.concatenate(x.buffer)
-            x.buffer, x.waiting = [], 0
-            ids = ids[ids >= 0]
+            ids = x.number()
             n = len(ids) - words + 1
             if n <= 0:
                 return
-            whole = ids[:n] > 0
+            frequent = x.frequent[ids]
+            whole = frequent[:n].copy()
             packed = ids[:n].copy()
             for i in range(1, words):
-                whole &= ids[i : i + n] > 0
+                whole &= frequent[i : i + n]
                 packed = (packed << BITS) | ids[i : i + n]
             packed, counts = np.unique(packed[whole], return_counts=True)
             if words > 2 and len(packed):
                 own = hashes_of(x, packed)
-                good = bloom.has(phrase_hash(x.numbers.lang, own[:-1])) & bloom.has(phrase_hash(x.numbers.lang, own[1:]))
+                good = bloom.has(phrase_hash(x.key, own[:-1])) & bloom.has(phrase_hash(x.key, own[1:]))
                 packed, counts = packed[good], counts[good]
             if len(packed):
                 x.size += x.trie.add(packed, counts)
 
         def hashes_of(x: Language, packed: np.ndarray) -> list[np.ndarray]:
-            of = np.array(x.numbers.hashes, np.uint64)
-            return [of[(packed >> (BITS * (words - 1 - i))) & ((1 << BITS) - 1)] for i in range(words)]
+            return [x.hashes[(packed >> (BITS * (words - 1 - i))) & ((1 << BITS) - 1)] for i in range(words)]
 
         def run(x: Language, packed: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """A sorted run, cut by prefix partition."""
@@ -260,23 +320,21 @@ def phrase_counter(words: int, seed: int, sent, hot, parts: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x.lang] * len(some[0]), pa.string()), pa.array(some[0], pa.int32()), *[pa.array(c, pa.binary()) for c in some[1:]]], ["lang", "part", "heads", "sizes", "rest", "counts"])
 
         def spill(x: Language, least: int) -> Iterator[pa.RecordBatch]:
-            for packed, counts in x.trie.spill(least):
-                x.size -= len(packed)
-                if len(packed):
-                    yield from run(x, packed, counts)
+            packed, counts = x.trie.spill(least)
+            x.size -= len(packed)
+            if len(packed):
+                yield from run(x, packed, counts)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = held.get(lang) or held.setdefault(lang, Language(lang))
-                tokens = pieces(text.as_py())
-                x.buffer.append(np.fromiter(map(x.numbers.__getitem__, tokens), np.int64, len(tokens)))
-                x.buffer.append(np.zeros(1, np.int64))
-                x.waiting += len(tokens)
-                if x.waiting >= CHUNK or len(x.numbers.hashes) > NUMBERED:
+                x.waiting += pieces(text.as_py())
+                x.waiting.append(b"\n")
+                if len(x.waiting) >= CHUNK:
                     count_waiting(x)
-                    if len(x.numbers.hashes) > NUMBERED:  # numbers start anew
+                    if len(x.numbers) > NUMBERED:  # numbers start anew
                         yield from spill(x, x.size)
-                        x.numbers = Numbers(lang)
+                        x.anew()
                     while sum(y.size for y in held.values()) > HELD:
                         yield from spill(largest := max(held.values(), key=lambda y: y.size), largest.size // 2 + 1)
         for x in held.values():
@@ -331,13 +389,15 @@ def bloom_of(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def word_counts(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(lang, h, word, n) of all words, and the seed under which no hash stands for two words of a language."""
+def word_counts(texts: DataFrame, least: int, parts: int) -> tuple[DataFrame, DataFrame, int]:
+    """Frequent words (lang, h, word, n), numbers of all words (lang, n), and the seed under which no hash
+    stands for two words of a language."""
     for seed in range(42, 52):
-        made = texts.mapInArrow(word_counter(seed), "lang string, word string, h long, n long")
-        words = stored(made.groupBy("lang", "h").agg(F.min("word").alias("word"), F.max("word").alias("other"), F.sum("n").alias("n")), "words")
-        if words.where("word <> other").isEmpty():
-            return words.drop("other"), seed
+        made = texts.mapInArrow(word_counter(seed, parts), "lang string, part int, hashes binary, checks binary, counts binary, words binary")
+        words = stored(made.groupBy("lang", "part").applyInPandas(word_merger(least), "lang string, h long, word string, n long, clash boolean"), "words")
+        if words.where("clash").isEmpty():
+            totals = words.where("h IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+            return words.where("h IS NOT NULL").drop("clash"), stored(totals, "totals"), seed
     raise ValueError("no seed tells all words apart")
 
 
@@ -346,13 +406,11 @@ def phrase_counts(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame
 
     ``texts`` is (lang, text) without null languages."""
     spark = texts.sparkSession
-    words, seed = word_counts(texts)
-    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = words.join(totals.withColumnRenamed("n", "_kv_all"), "lang").where(F.col("n") * HOT * parts > F.col("_kv_all"))
+    level, totals, seed = word_counts(texts, least, parts)
+    shares = level.join(totals.withColumnRenamed("n", "_kv_all"), "lang").where(F.col("n") * HOT * parts > F.col("_kv_all"))
     hot = np.unique(np.array([r["h"] for r in shares.select("h").collect()], np.int64).view(np.uint64))  # at most HOT * parts a language
-    level = words.where(F.col("n") >= least)
-    named = stored(level.select("lang", "h", "word"), "named")
+    named = level.select("lang", "h", "word")
     level = level.select("lang", F.array("h").alias("ids"), F.col("n").alias("f"))
     out = level
     sent_hot = spark.sparkContext.broadcast(hot)
