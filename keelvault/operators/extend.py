@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keelvault.operators.load import load_hub
 from keelvault.operators.stage import LDTS, SOURCE
+from keelvault.sources.feeds import written
 
 
 def add_feed(hub: DataFrame, new_stage: DataFrame, pk: str, nk: str) -> DataFrame:
@@ -68,6 +69,91 @@ def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.select("n_before", kept.alias("n_kept"), F.coalesce(kept / F.nullif("n_before", F.lit(0)), F.lit(1.0)).alias("score"))
 
 
+#: Buckets of a hashed table, and how many nodes of its hash tree have one parent.
+BUCKETS, FAN = 256, 16
+BUCKET = "_kv_bucket"
+
+
+def _digests(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(level, node, n, digest): the leaves of a hash tree, one a bucket. Digests are sums over rows, so
+    those of parts of a table add up."""
+    h = F.conv(F.substring(row_hash(columns), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(F.lit(0).alias("level"), F.col(BUCKET).alias("node")).agg(F.count("*").alias("n"), F.sum(h).cast("decimal(38,0)").alias("digest"))
+
+
+def _tree(leaves: DataFrame, buckets: int) -> DataFrame:
+    """Leaves, and above them one node for each FAN below, up to the root."""
+    out, level, width = leaves, 0, buckets
+    while width > 1:
+        width, level = -(-width // FAN), level + 1
+        up = leaves.groupBy(F.lit(level).alias("level"), F.floor(F.col("node") / FAN**level).cast("int").alias("node")).agg(F.sum("n").alias("n"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
+        out = out.unionByName(up)
+    return out
+
+
+def append_hashed(rows: DataFrame, path: str, key: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Append rows to a table that is laid out by buckets of its key, and their digests to its hash tree.
+
+    The number of buckets stays as it is over the life of a table; rows may have gained columns, which
+    the digests then leave out."""
+    spark = rows.sparkSession
+    try:
+        held = spark.read.parquet(f"{path}/rows").columns
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        held = rows.columns
+    columns = sorted(c for c in held if c != BUCKET)
+    placed = written(rows.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "placed")
+    placed.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(f"{path}/rows")
+    leaves = _digests(placed, columns).withColumns({"buckets": F.lit(buckets), "columns": F.lit(",".join(columns))})
+    leaves.coalesce(1).write.mode("append").parquet(f"{path}/digests")
+
+
+def read_hashed(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop(BUCKET)
+
+
+def differing_buckets(spark, before: str, after: str) -> list[int]:
+    """The buckets in which two hashed tables differ, found from the root of their hash trees down: only
+    digests are read, and below a node only if the node differs."""
+    leaves = [spark.read.parquet(f"{p}/digests") for p in (before, after)]
+    marks = {tuple(r) for x in leaves for r in x.select("buckets", "columns").distinct().collect()}
+    if len(marks) != 1:
+        raise ValueError("the tables have other numbers of buckets or other columns: compare them with diff_tables")
+    ((buckets, _),) = marks
+    trees = [written(_tree(x.groupBy("level", "node").agg(F.sum("n").alias("n"), F.sum("digest").cast("decimal(38,0)").alias("digest")), buckets), "tree") for x in leaves]
+    level = max(r["level"] for r in trees[0].select("level").distinct().collect()) if not trees[0].isEmpty() else 0
+    found = None
+    while level >= 0:
+        a, b = (t.where(F.col("level") == level).select("node", F.struct("n", "digest").alias(n)) for t, n in zip(trees, "ab", strict=True))
+        if found is not None:
+            a, b = (x.where(F.floor(F.col("node") / FAN).isin(found)) for x in (a, b))
+        found = sorted(r["node"] for r in a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("node").collect())  # at most all buckets
+        if not found:
+            return []
+        level -= 1
+    return found
+
+
+def diff_hashed(spark, before: str, after: str, key: Sequence[str]) -> DataFrame:
+    """(key columns, status): the keys of two hashed tables that are changed, new or removed, as
+    ``diff_tables`` gives them. Only buckets whose digests differ are read and joined."""
+    found = differing_buckets(spark, before, after)
+    a, b = (spark.read.parquet(f"{p}/rows").where(F.col(BUCKET).isin(found)).drop(BUCKET) for p in (before, after))
+    return diff_tables(a, b, key).where("status <> 'unchanged'")
+
+
+def preserved_hashed(spark, before: str, after: str) -> DataFrame:
+    """What ``preserved`` gives for two hashed tables; of buckets with equal digests nothing is read."""
+    found = differing_buckets(spark, before, after)
+    a, b = (spark.read.parquet(f"{p}/rows").where(F.col(BUCKET).isin(found)).drop(BUCKET) for p in (before, after))
+    gone = a.exceptAll(b.select(*a.columns)).agg(F.count("*").alias("n_gone"))
+    total = spark.read.parquet(f"{before}/digests").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"))
+    kept = F.col("n_before") - F.col("n_gone")
+    return total.crossJoin(gone).select("n_before", kept.alias("n_kept"), F.coalesce(kept / F.nullif("n_before", F.lit(0)), F.lit(1.0)).alias("score"))  # two single rows
+
+
 #: What a change of the values that a stored key stands for is called, by kind of table.
 CHANGED = {"hub": "E_EXISTING_BK_CHANGED", "link": "E_EXISTING_GRAIN_CHANGED", "satellite": "E_EXISTING_SAT_RESHAPED"}
 

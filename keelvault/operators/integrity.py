@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import is_blank
-from keelvault.functions.names import normalize_identifier
 from keelvault.operators.load import current_effectivity, high_date
 from keelvault.operators.stage import LDTS, SOURCE
 
@@ -101,15 +100,48 @@ def hub_without_sat(hub: DataFrame, construct: str, pk: str, sats: Sequence[Data
     return issue(out, "warning", "W_HUB_NO_SAT", construct)
 
 
+def plain_name(name: str) -> str:
+    """A name in the form that ``normalize_identifier`` gives."""
+    return re.sub("[^0-9a-zA-Z]+", "_", name).strip("_").upper()
+
+
+def column_prints(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """A fingerprint of each column that depends on which row has which value: the sum of hashes of the
+    row and the value. Equal columns of one type have equal fingerprints. One pass, whatever the number
+    of columns; what comes to the driver is a number a column."""
+    rows = df.select(F.xxhash64(*columns).alias("_kv_row"), *columns)
+    sums = [F.sum(F.xxhash64("_kv_row", F.col(c), F.col(c).isNull()).cast("decimal(20,0)")).cast("string").alias(f"f{i}") for i, c in enumerate(columns)]
+    one = rows.agg(*sums).first()
+    return {c: one[i] for i, c in enumerate(columns)}
+
+
 def duplicate_columns(sat: DataFrame, construct: str, payload: Sequence[str]) -> DataFrame:
-    """Pairs of columns of one type that are equal in every row, or whose names are the same when normalised."""
+    """Pairs of columns of one type that are equal in every row, or whose names are the same when normalised.
+
+    Columns with equal fingerprints are compared with the first of them only, so the work is linear in
+    the number of columns, and pairs are made of what is confirmed. Pairs with the same name are
+    counted one by one."""
     types = dict(sat.dtypes)
-    pairs = [(a, b) for a, b in combinations(payload, 2) if types[a] == types[b]]
-    if not pairs:
-        pairs = [(payload[0], payload[0])]
-    one = sat.agg(F.count("*").alias("n"), *[F.count_if(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(f"{construct}.{a}={b}").alias("construct"), F.col(f"p{i}").alias("n_rows"), (normalize_identifier(F.lit(a)) == normalize_identifier(F.lit(b))).alias("same"), F.lit(a != b).alias("two")) for i, (a, b) in enumerate(pairs)]))
-    out = one.select("n", rows.alias("x")).select("n", "x.*").where("two AND ((n > 0 AND n_rows = n) OR same)")
+    prints = column_prints(sat, payload)
+    classes: dict[tuple, list[str]] = {}
+    named: dict[tuple, list[str]] = {}
+    for c in payload:
+        classes.setdefault((types[c], prints[c]), []).append(c)
+        named.setdefault((types[c], plain_name(c)), []).append(c)
+    place = {c: i for i, c in enumerate(payload)}
+    several = [c for c in classes.values() if len(c) > 1]
+    same = [pair for c in named.values() for pair in combinations(c, 2)]
+    first = {c: own[0] for own in several for c in own}
+    one = sat.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).eqNullSafe(F.col(a))).alias(f"e{place[c]}") for c, a in first.items()], *[F.count_if(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(same)])
+    member = "struct<at:int,name:string,k:bigint>"
+    groups = [F.array(*[F.struct(F.lit(place[c]).alias("at"), F.lit(c).alias("name"), F.col(f"e{place[c]}").alias("k")) for c in own]) for own in several]
+    groups = one.select("n", F.explode(F.array(*groups) if groups else F.array().cast(f"array<array<{member}>>")).alias("c"))
+    whole = groups.where("n > 0").select("n", F.filter("c", lambda x: x["k"] == F.col("n")).alias("c"))
+    pairs = whole.select("n", F.explode("c").alias("a"), "c").select("n", "a", F.explode("c").alias("b")).where("a.at < b.at")
+    equal = pairs.select(F.concat(F.lit(f"{construct}."), "a.name", F.lit("="), "b.name").alias("construct"), F.col("n").alias("n_rows"))
+    told = [F.struct(F.lit(f"{construct}.{a}={b}").alias("construct"), F.col(f"p{i}").alias("n_rows")) for i, (a, b) in enumerate(same)]
+    alike = one.select(F.explode(F.array(*told) if told else F.array().cast("array<struct<construct:string,n_rows:bigint>>")).alias("x")).select("x.*")
+    out = equal.unionByName(alike).distinct()
     return out.select(F.lit("error").alias("severity"), F.lit("E_SAT_DUP_ATTR").alias("code"), "construct", "n_rows")
 
 

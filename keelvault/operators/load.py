@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import hash_key, is_blank
 from keelvault.operators.stage import LDTS, SOURCE, alias_fk
-from keelvault.sources.feeds import shared_folder, union_feeds
+from keelvault.sources.feeds import shared_folder, union_feeds, written
 
 HIGH_DATE = "9999-12-31 00:00:00"
 
@@ -228,7 +228,7 @@ def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: S
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
     values = [SOURCE, *dfk, *sfk, "START_DATE"]
     rows = history.groupBy(pk, LDTS).agg(F.min(F.struct(*values)).alias("x")).select(pk, LDTS, *[F.col(f"x.{c}").alias(c) for c in values])
-    rows = _written(rows.withColumn("_kv_key", F.struct(*dfk)), "history")
+    rows = written(rows.withColumn("_kv_key", F.struct(*dfk)), "history")
     snapshots = rows.select("_kv_key", LDTS).distinct()
     numbered = snapshots.withColumn("_kv_t", F.row_number().over(Window.partitionBy("_kv_key").orderBy(LDTS)))  # a row a snapshot
     own = Window.partitionBy(pk)
@@ -244,7 +244,7 @@ def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: S
     first = F.coalesce(F.col("_kv_k") - F.lag("_kv_k").over(own.orderBy("_kv_k")), F.lit(2)) > 1
     runs = at.withColumn("_kv_first", first).withColumn("_kv_run", F.sum(F.col("_kv_first").cast("int")).over(own.orderBy("_kv_k")))
     runs = runs.groupBy("_kv_key", pk, "_kv_run").agg(F.min(F.struct("_kv_k", LDTS, *values)).alias("x"), F.max("_kv_k").alias("_kv_end"))
-    runs = _written(runs.select("_kv_key", pk, "_kv_end", "x.*"), "runs")
+    runs = written(runs.select("_kv_key", pk, "_kv_end", "x.*"), "runs")
     begins = runs.where("_kv_k > 0")
     ends = begins.groupBy("_kv_key", (F.col("_kv_k") - 1).alias("_kv_end")).agg(F.min("START_DATE").alias("_kv_start"), F.max(LDTS).alias("_kv_ldts"), F.min(SOURCE).alias("_kv_source"))
     opened = runs.withColumn("END_DATE", high_date(history)).select("_kv_key", *columns)
@@ -253,28 +253,17 @@ def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: S
 
     gone = runs.groupBy("_kv_key", (F.col("_kv_end") + 1).alias("_kv_k")).agg(F.max("START_DATE").alias("_kv_gone"))
     early = begins.join(gone, ["_kv_key", "_kv_k"]).where(F.col("START_DATE") < F.col("_kv_gone")).select("_kv_key")
-    apart = _written(early.unionByName(rows.where("START_DATE IS NULL").select("_kv_key")).distinct(), "apart")
+    apart = written(early.unionByName(rows.where("START_DATE IS NULL").select("_kv_key")).distinct(), "apart")
     if apart.isEmpty():
         return out.drop("_kv_key")
-    single = _written(rows.join(apart, "_kv_key", "left_semi").drop("_kv_key"), "single")
-    path = _write(out.join(apart, "_kv_key", "left_anti").drop("_kv_key"), "records")
-    path_single, target = f"{path}_single", None
+    single = written(rows.join(apart, "_kv_key", "left_semi").drop("_kv_key"), "single")
+    records = written(out.join(apart, "_kv_key", "left_anti").drop("_kv_key"), "records")
+    path, target = f"{shared_folder(history.sparkSession)}/records", None
     for (ldts,) in single.select(LDTS).distinct().orderBy(LDTS).collect():  # one round a snapshot
         new = load_eff_sat(single.where(F.col(LDTS) == F.lit(ldts)), target, pk, dfk, sfk)
-        new.write.mode("append").parquet(path_single)
-        target = history.sparkSession.read.schema(new.schema).parquet(path_single)
-    return history.sparkSession.read.schema(out.drop("_kv_key").schema).parquet(path).unionByName(target)
-
-
-def _write(df: DataFrame, name: str) -> str:
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return path
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that it is made once."""
-    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+        new.write.mode("append").parquet(path)
+        target = history.sparkSession.read.schema(new.schema).parquet(path)
+    return records.unionByName(target)
 
 
 def load_fk_link(stage: DataFrame, target: DataFrame | None, pk: str, own_hk: str, own_key: str, hub_key: str, fk_column: str) -> DataFrame:

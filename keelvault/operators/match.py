@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelvault.functions.names import normalize_identifier, tokens
 from keelvault.operators.profile import NULLS_ALLOWED, UNIQUE_ENOUGH
+from keelvault.sources.feeds import written
 
 # Tokens that say nothing about a column.
 STOP_TOKENS = ("THE", "A", "AN", "OF", "ID", "NR", "NO", "DOC")
@@ -110,12 +111,63 @@ def column_containment(keys_long: DataFrame) -> DataFrame:
     return out.join(sizes.select(F.col("source").alias("child_source"), F.col("column").alias("child_column"), "n_child"), ["child_source", "child_column"])
 
 
+#: Values of a column that are looked up first, those with the smallest hashes, and slices that find them.
+LOOKED_UP, SLICES = 64, 16
+
+
+def propose_containment(keys_long: DataFrame, least: float = 0.9, looked_up: int = LOOKED_UP) -> DataFrame:
+    """(child_source, child_column, parent_source, parent_column): pairs of columns of which the parent
+    probably holds ``least`` of the child's values.
+
+    Of each column the ``looked_up`` values with the smallest hashes are an even sample; they are looked
+    up among the values of all columns, so a value that all columns share makes pairs for at most so many
+    values of a column. A pair is proposed if its share of the sample is at most four standard deviations
+    below ``least``; columns of fewer values are looked up as a whole."""
+    values = keys_long.where("value IS NOT NULL").select("source", "column", "value").distinct()
+    hashed = values.withColumn("h", F.xxhash64("value", F.lit(6)))
+    # Slices of a column keep their own first values, so that no task orders a whole column.
+    own = Window.partitionBy("source", "column", F.pmod("h", F.lit(SLICES))).orderBy("h", "value")
+    few = hashed.withColumn("k", F.row_number().over(own)).where(F.col("k") <= looked_up)
+    sample = few.withColumn("k", F.row_number().over(Window.partitionBy("source", "column").orderBy("h", "value"))).where(F.col("k") <= looked_up)
+    child = sample.select(F.col("source").alias("child_source"), F.col("column").alias("child_column"), "value")
+    sizes = child.groupBy("child_source", "child_column").agg(F.count("*").alias("n"))
+    parent = values.select(F.col("source").alias("parent_source"), F.col("column").alias("parent_column"), "value")
+    other = (F.col("child_source") != F.col("parent_source")) | (F.col("child_column") != F.col("parent_column"))
+    pair = ["child_source", "child_column", "parent_source", "parent_column"]
+    found = child.join(parent, "value").where(other).groupBy(*pair).agg(F.count("*").alias("k"))
+    lowest = F.col("n") * least - 4 * F.sqrt(F.col("n") * F.lit(least * (1 - least)))
+    return found.join(sizes, ["child_source", "child_column"]).where(F.col("k") >= lowest).select(*pair)
+
+
+def contained_columns(keys_long: DataFrame, least: float = 0.9, looked_up: int = LOOKED_UP) -> DataFrame:
+    """(child_source, child_column, parent_source, parent_column, n_shared, n_child, containment): pairs of
+    columns of which the parent holds ``least`` of the child's distinct values, counted exactly for the
+    proposed pairs. A pair at the limit is missed with a chance below 1e-4 by the sample; columns of
+    at most ``looked_up`` values never."""
+    out = shared_values(keys_long, written(propose_containment(keys_long, least, looked_up), "proposed"))
+    return out.where(F.col("containment") >= least)
+
+
+def shared_values(keys_long: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` of columns (child_source, child_column, parent_source, parent_column) that share a value,
+    with n_shared and n_child, distinct values of both and of the child, and their ratio containment."""
+    pairs = pairs.select("child_source", "child_column", "parent_source", "parent_column").distinct()
+    values = written(keys_long.where("value IS NOT NULL").select("source", "column", "value").distinct(), "values")
+    child = values.select(F.col("source").alias("child_source"), F.col("column").alias("child_column"), "value")
+    parent = values.select(F.col("source").alias("parent_source"), F.col("column").alias("parent_column"), "value")
+    sizes = child.groupBy("child_source", "child_column").agg(F.count("*").alias("n_child"))
+    both = child.join(pairs, ["child_source", "child_column"]).join(parent, ["parent_source", "parent_column", "value"])
+    shared = both.groupBy("child_source", "child_column", "parent_source", "parent_column").agg(F.count("*").alias("n_shared"))
+    out = shared.join(sizes, ["child_source", "child_column"]).withColumn("containment", F.col("n_shared") / F.col("n_child"))
+    return out.select("child_source", "child_column", "parent_source", "parent_column", "n_shared", "n_child", "containment")
+
+
 def anchor_column(keys_long: DataFrame) -> DataFrame:
     """(source, column): the one column that has the values of all the others; none if several do or none does."""
     values = keys_long.where("value IS NOT NULL").select("source", "column", "value").distinct()
     columns = values.select("source", "column").distinct()
     n = columns.agg(F.count("*").alias("n"))
-    full = column_containment(keys_long).where("n_shared = n_child").groupBy(F.col("parent_source").alias("source"), F.col("parent_column").alias("column")).agg(F.count("*").alias("k"))
+    full = contained_columns(keys_long, 1.0).groupBy(F.col("parent_source").alias("source"), F.col("parent_column").alias("column")).agg(F.count("*").alias("k"))
     anchors = full.crossJoin(F.broadcast(n)).where("k = n - 1").select("source", "column")  # n is a single row
     alone = anchors.agg(F.count("*").alias("m"), F.first("source").alias("source"), F.first("column").alias("column"))
     return alone.where("m = 1").select("source", "column")
@@ -153,7 +205,8 @@ def propose_links(fks: DataFrame, hubs: DataFrame, keys_long: DataFrame) -> Data
     met = met.withColumn("chosen", chosen)
     reason = F.when(F.col("composite"), "composite_key").when(F.col("n") == 0, "no_hub_for_key").when(F.col("chosen").isNull(), "ambiguous_hub")
     kind = F.when(normalize_identifier("col") == normalize_identifier("chosen._kv_key"), "same_name").otherwise("renamed")
-    held = column_containment(keys_long).select(F.col("child_source").alias("table"), F.col("child_column").alias("col"), F.col("parent_source").alias("ref_table"), F.col("parent_column").alias("ref"), (F.col("n_shared") / F.col("n_child")).alias("share"))
+    declared = single.select(F.col("table").alias("child_source"), F.col("col").alias("child_column"), F.col("ref_table").alias("parent_source"), F.col("ref").alias("parent_column"))
+    held = shared_values(keys_long, declared).select(F.col("child_source").alias("table"), F.col("child_column").alias("col"), F.col("parent_source").alias("ref_table"), F.col("parent_column").alias("ref"), F.col("containment").alias("share"))
     out = met.join(held, ["table", "col", "ref_table", "ref"], "left")
     good = reason.isNull()
     return out.select("fk", F.when(good, F.col("chosen.hub")).alias("hub"), F.when(good, kind).otherwise(reason).alias("outcome"), F.when(good, F.coalesce("share", F.lit(0.0))).alias("containment"))

@@ -36,6 +36,56 @@ def profile_columns(df: DataFrame, approx: bool = False, error: float = 0.02) ->
     return long.select("column_name", "row_count", (1 - F.col("v") / F.col("row_count")).alias("null_ratio"), F.col("d").alias("distinct_count"), filled.alias("uniqueness_ratio"))
 
 
+#: log2 of the registers of a column's sketch (a standard error of about 1.6 %), and the size of its quantile sketch.
+REGISTERS, QUANTILES = 12, 400
+
+
+def profile_sketches(df: DataFrame) -> DataFrame:
+    """One row a column with mergeable state: (column_name, row_count, filled, hll, kll). ``hll`` sketches the
+    distinct values as text, ``kll`` the quantiles of numeric columns (null for others).
+
+    States of parts of a table add up to the state of the whole: see ``united_sketches``."""
+    aggs = [F.count("*").alias("n")]
+    for i, (c, kind) in enumerate(df.dtypes):
+        numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+        quantiles = F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(QUANTILES)) if numeric else F.lit(None).cast("binary")
+        aggs += [F.count(c).alias(f"v{i}"), F.hll_sketch_agg(F.col(c).cast("string"), F.lit(REGISTERS)).alias(f"h{i}"), quantiles.alias(f"q{i}")]
+    one = df.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), F.col(f"v{i}").alias("filled"), F.col(f"h{i}").alias("hll"), F.col(f"q{i}").alias("kll")) for i, c in enumerate(df.columns)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def united_sketches(sketches: DataFrame) -> DataFrame:
+    """The state of a whole table from the states of its batches: a row a column."""
+    return sketches.groupBy("column_name").agg(F.sum("row_count").alias("row_count"), F.sum("filled").alias("filled"), F.hll_union_agg("hll").alias("hll"), F.when(F.count("kll") > 0, F.kll_merge_agg_double("kll")).alias("kll"))
+
+
+def profile_of(sketches: DataFrame) -> DataFrame:
+    """The profile that states give, with the columns of ``profile_columns`` and ``low``, ``median`` and
+    ``high`` (quantiles 0.05, 0.5, 0.95) of numeric columns.
+
+    A sketch is united with itself before it is read, which changes none of its registers: one-pass and
+    united sketches have the same registers, and are then read in the same way."""
+    distinct = F.hll_sketch_estimate(F.hll_union("hll", "hll"))
+    ratio = F.coalesce(F.least(F.lit(1.0), F.col("distinct_count") / F.nullif("filled", F.lit(0))), F.lit(0.0))
+    out = sketches.withColumn("distinct_count", F.when(F.col("filled") > 0, distinct).otherwise(0))
+    nulls = F.coalesce(1 - F.col("filled") / F.nullif("row_count", F.lit(0)), F.lit(0.0))
+    marks = [F.when(F.col("kll").isNotNull() & (F.col("filled") > 0), F.kll_sketch_get_quantile_double("kll", F.lit(q))).alias(n) for n, q in (("low", 0.05), ("median", 0.5), ("high", 0.95))]
+    return out.select("column_name", "row_count", nulls.alias("null_ratio"), "distinct_count", ratio.alias("uniqueness_ratio"), *marks)
+
+
+def add_to_profile(batch: DataFrame, path: str, batch_id: str) -> None:
+    """Keep the state of a batch in the table at ``path``: a few rows a batch, whatever its size. The same
+    batch again replaces its own state, so a repeated run changes nothing."""
+    made = profile_sketches(batch).withColumn("batch_id", F.lit(batch_id))
+    made.coalesce(1).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_profile(spark, path: str) -> DataFrame:
+    """The profile of all batches at ``path``: only states are read, no batch."""
+    return profile_of(united_sketches(spark.read.parquet(path)))
+
+
 def example_values(df: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` first distinct values of each column, as text in order of code points."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keelvault.operators import load as loads
 from keelvault.operators.stage import LDTS, role_hash
-from keelvault.sources.feeds import shared_folder
+from keelvault.sources.feeds import shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -127,18 +127,11 @@ def _load(spec: VaultSpec, stages: Mapping[str, DataFrame], held: Callable, add:
     for part in _parts(spec):
         for s in part.stages if isinstance(part, Hub) else [part.stage]:
             users[s] = users.get(s, 0) + 1
-    shared = {n: _written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
+    shared = {n: written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
     for part in _parts(spec):
         add(part, new_rows(part, shared, held(part)))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_batches(stage: DataFrame, cuts: Sequence[str], load: Callable[[DataFrame, DataFrame | None], DataFrame], ldts: str = LDTS) -> DataFrame:
     """The table after loading the parts of a stage between load times ``cuts``, one after another.
 

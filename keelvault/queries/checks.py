@@ -39,6 +39,20 @@ def p2(spark, d):
     return profile.profile_columns(table(spark, d, "lineitem"), approx=True)
 
 
+@query("p2_profile_by_batch", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, 1 - count({c}) / count(*) AS null_ratio, true AS near, true AS as_one_pass FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "rare") ).replace("count(rare)", "count(nullif(l_linenumber, 7))"))
+def p2_by_batch(spark, d):
+    """A profile kept by batch: equal to the sketch of the whole table, and near the exact numbers."""
+    path = shared_folder(spark)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", F.nullif("l_linenumber", F.lit(7)).alias("rare"))
+    for year, batch in (("a", rows.where("l_shipdate < '1998-01-01'")), ("b", rows.where("l_shipdate >= '1998-01-01'")), ("b", rows.where("l_shipdate >= '1998-01-01'"))):
+        profile.add_to_profile(batch, path, year)
+    whole = profile.profile_of(profile.profile_sketches(rows)).select("column_name", F.col("distinct_count").alias("whole"))
+    exact = profile.profile_columns(rows).select("column_name", F.col("distinct_count").alias("exact"))
+    met = profile.read_profile(spark, path).join(whole, "column_name").join(exact, "column_name")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.08 * F.col("exact")
+    return met.select("column_name", "row_count", "null_ratio", near.alias("near"), (F.col("distinct_count") == F.col("whole")).alias("as_one_pass"))
+
+
 @query("p3_example_values", " UNION ALL ".join(f"SELECT '{c}' AS column_name, array_to_string(list_sort(list(DISTINCT CAST({c} AS VARCHAR)))[1:3], '|') AS example_values FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")))
 def p3(spark, d):
     return profile.example_values(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), 3).withColumn("example_values", F.array_join("example_values", "|"))
@@ -273,6 +287,18 @@ def v13(spark, d):
     return integrity.duplicate_columns(table(spark, d, "customer").withColumn("other", F.col("c_name")), "sat", ["c_name", "c_mktsegment", "other", "c_custkey"])
 
 
+@query(
+    "v13_duplicate_columns_wide",
+    """WITH n AS (SELECT count(*) AS n FROM customer), c AS (SELECT unnest(range(300)) AS i)
+    SELECT 'error' AS severity, 'E_SAT_DUP_ATTR' AS code, 'sat.c' || a.i || '=c' || b.i AS construct, n AS n_rows FROM c a, c b, n WHERE a.i < b.i AND a.i % 100 = b.i % 100 AND a.i % 100 < 7""",
+)
+def v13_wide(spark, d):
+    """300 columns, of which seven groups of three are equal."""
+    c = table(spark, d, "customer")
+    wide = c.select(*[(F.col("c_custkey") * (i % 100 + 1) + (0 if i % 100 < 7 else i)).alias(f"c{i}") for i in range(300)])
+    return integrity.duplicate_columns(wide, "sat", wide.columns)
+
+
 @query("v14_attribute_overlap", "SELECT 'warning' AS severity, 'W_SAT_ATTR_OVERLAP_CROSS_SOURCE' AS code, 'a~b.c_name' AS construct, count(*) AS n_rows FROM customer")
 def v14(spark, d):
     a = customer_stage(spark, d)
@@ -439,6 +465,35 @@ def m6(spark, d):
     return match.containment(table(spark, d, "lineitem"), "l_suppkey", table(spark, d, "supplier").where("s_suppkey % 3 > 0"), "s_suppkey")
 
 
+STAR = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"],
+    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"],
+}
+
+
+def star_values() -> str:
+    return " UNION ".join(f"SELECT '{t}' AS source, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, columns in STAR.items() for c in columns)
+
+
+@query(
+    "m6_contained_columns",
+    f"""WITH v AS ({star_values()}), n AS (SELECT source, col, count(*) AS n_child FROM v GROUP BY ALL)
+    SELECT a.source AS child_source, a.col AS child_column, b.source AS parent_source, b.col AS parent_column, count(*) AS n_shared, any_value(n_child) AS n_child, count(*) / any_value(n_child) AS containment
+    FROM v a JOIN v b ON a.v = b.v AND (a.source <> b.source OR a.col <> b.col) JOIN n ON n.source = a.source AND n.col = a.col GROUP BY 1, 2, 3, 4 HAVING count(*) >= 0.9 * any_value(n_child)""",
+)
+def m6_columns(spark, d):
+    """Of all key columns of the star schema, those whose values another column holds."""
+    def cells(name, columns):
+        cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+        return table(spark, d, name).select(F.lit(name).alias("source"), cell.alias("x")).select("source", "x.*")
+
+    parts = [cells(t, c) for t, c in STAR.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return match.contained_columns(out, 0.9)
+
+
 NORM_NAME = "upper(trim(regexp_replace({c}, '[^0-9a-zA-Z]+', '_', 'g'), '_'))"
 
 
@@ -547,6 +602,27 @@ def x2_extended(spark, d):
     return extend.diff_tables(rows.where("c_custkey % 10 <> 2"), after, ["c_custkey"], {"feed_rich": c.where("c_acctbal > 5000"), "sat_late": late})
 
 
+def hashed_customers(spark, d):
+    """A table of customers kept by hash buckets, before and after some of its keys change."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    paths = [shared_folder(spark), shared_folder(spark)]
+    extend.append_hashed(c.where("c_custkey % 97 <> 2"), paths[0], ["c_custkey"], 64)
+    after = c.where("c_custkey % 97 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 97 == 1, F.lit(None)).otherwise(F.col("c_mktsegment")))
+    for half in (0, 1):  # in two loads
+        extend.append_hashed(after.where(F.col("c_custkey") % 2 == half), paths[1], ["c_custkey"], 64)
+    return paths
+
+
+@query("x2_diff_hashed", "SELECT c_custkey, CASE c_custkey % 97 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'new' END AS status FROM customer WHERE c_custkey % 97 <= 2")
+def x2_hashed(spark, d):
+    return extend.diff_hashed(spark, *hashed_customers(spark, d), ["c_custkey"])
+
+
+@query("x4_preserved_hashed", "SELECT count(*) AS n_before, count(*) FILTER (WHERE c_custkey % 97 > 1) AS n_kept, n_kept / n_before AS score FROM customer WHERE c_custkey % 97 <> 2")
+def x4_hashed(spark, d):
+    return extend.preserved_hashed(spark, *hashed_customers(spark, d))
+
+
 MARKED = "coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '^')"
 ORDER_TEXT = " || ".join(MARKED.format(c=c) for c in ("o_orderkey", "o_custkey", "nullif(o_orderstatus, 'F')", "CAST(o_totalprice AS DECIMAL(18,2))", "o_orderdate"))
 

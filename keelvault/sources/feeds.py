@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/vault-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in a shared folder: made once, and a lost executor costs a re-read only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_source(spark: SparkSession, path: str, types: Mapping[str, str], fmt: str = "parquet") -> tuple[DataFrame, list[str]]:
     """A raw relation with pinned column types, and the columns whose type is unknown (left as text).
 
