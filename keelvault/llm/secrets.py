@@ -13,14 +13,15 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelvault.llm.common import documents, stored
+from keelvault.llm.neardup import near
 
 KINDS = ("assign", "access", "hex", "value")
 #: Well-known weak words, most guessed first; ``corpus_words`` adds those of a corpus.
@@ -37,9 +38,8 @@ KEY_ROWS = (("`1234567890-=", "~!@#$%^&*()_+"), (" qwertyuiop[]\\", ' QWERTYUIOP
 WALK_START, WALK_TURN, WALK_ON, WALK_SHIFT, JOIN = math.log10(47), math.log10(6), 0.05, math.log10(2), 0.3
 #: log10 of guesses from which a value in a credential context is a secret.
 THRESHOLD = 8.0
-#: Words of a corpus: so many at most, the most frequent first (about 1 MB where it is broadcast),
-#: each in so many documents at least, so that a secret of a few documents is no word.
-CORPUS_WORDS, LEAST_DOCUMENTS = 50_000, 5
+#: Share of the distinct texts that hold a word of the corpus.
+WORD_SHARE = 0.001
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("cost", T.DoubleType())]))
 FOUND = T.StructType(
@@ -65,33 +65,47 @@ CONTEXT = re.compile(
     r"""(?:(["'`])((?:(?!\1)[^\r\n]){6,}+)\1|(?!(["'`])(?:(?!\3)[^\r\n])*+\3)["'`]?+(\S{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
+#: A credential's name with its separator and the rest of the line, which holds every value of ASSIGN and CONTEXT.
+CONTEXT_LINE = r"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|auth(?:orization)?)["']?[\x20\t]*(?::=|=>|[:=])[^\r\n]*"""
 YEAR = re.compile(r"(?:19|20)\d\d")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d)", re.ASCII)
 LEET = str.maketrans("4@301!$5+7", "aaeoilsstt")
 
 
-def word_ranks(words) -> dict[str, int]:
-    ranks: dict[str, int] = {}
-    for i, w in enumerate(words):
-        ranks.setdefault(w.lower(), i + 1)
+def word_ranks(words) -> dict[str, float]:
+    """Guesses that find each word: its place in a list, or what a mapping says."""
+    ranks: dict[str, float] = {}
+    for w, rank in words.items() if isinstance(words, Mapping) else ((w, i + 1) for i, w in enumerate(words)):
+        ranks[w.lower()] = min(rank, ranks.get(w.lower(), math.inf))
     return ranks
 
 
-def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_DOCUMENTS) -> tuple[str, ...]:
-    """The weak words, then the words of ``docs`` by the number of documents that hold them (ties by
-    the word): 2 to 32 letters between white space or the punctuation of prose, in lower case. At
-    most ``most`` words of at least ``least`` documents are taken to the driver; words of equally
-    many documents that don't all fit are left out together."""
+def outside_contexts(text: Column) -> Column:
+    """A text without what follows a credential's name on its line, whatever it is."""
+    return F.regexp_replace(text, CONTEXT_LINE, " ")
+
+
+def corpus_words(docs: DataFrame, share: float = WORD_SHARE) -> dict[str, float]:
+    """{word: guesses}: the weak words by place, and the words of ``docs`` by frequency.
+
+    Words of a corpus are 2 to 32 letters between white space or the punctuation of prose, in lower
+    case. They are counted over distinct texts, so copies of a text count once, and outside of
+    credential contexts, so no value is priced by itself. Those in at least ``share`` of the distinct
+    texts are taken to the driver: as many as distinct words of a text on average, divided by the
+    share, at most, whatever the number of documents. A word is guessed after as many tries as the
+    reciprocal of its share of all that are taken. Null texts have no words."""
     pattern = r"(?<![^\s\"'(\[])\p{L}{2,32}+(?![^\s.,;:!?\"')\]])"
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))).alias("word"))
-    counts = stored(each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least), "words")
-    room, lowest = most, None
-    for n, words in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
-        if words > room:
-            break
-        room, lowest = room - words, n
-    kept = counts.where(F.lit(False) if lowest is None else F.col("n") >= lowest).collect()
-    return (*WEAK_WORDS, *(r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))))
+    texts = docs.where("text IS NOT NULL").select(F.sha2("text", 256).alias("d"), "text")
+    digests = stored(texts.groupBy("d").agg(F.count("*").alias("k")), "digests")
+    repeated = near(stored(digests.where("k > 1").select(F.col("d").alias("_kv_d")), "repeated"))
+    same = F.col("d") == F.col("_kv_d")
+    once = texts.join(repeated, same, "left_anti").unionByName(texts.join(repeated, same, "left_semi").dropDuplicates(["d"]))
+    each = once.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(outside_contexts(F.col("text"))), F.lit(pattern), F.lit(0)))).alias("word"))
+    least = share * digests.count()
+    kept = {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    total = sum(kept.values())
+    ranks = word_ranks(WEAK_WORDS)
+    return {**{w: total / n for w, n in kept.items()}, **{w: min(rank, total / kept[w]) if w in kept else rank for w, rank in ranks.items()}}
 
 
 def character_cost(c: str) -> float:
@@ -316,10 +330,10 @@ def scan_secrets(docs: DataFrame, words=tuple(WEAK_WORDS), threshold: float = TH
     Base spans are always reported, with the guess cost of the value; the cost decides which values
     in a wider credential context are added. A null text is empty and has no spans; texts and values
     of any length are read whole. Rows are independent, so equal rows have equal results; a column
-    secrets is replaced; an empty table gives an empty table. ``words`` (at most some 50,000) are
-    broadcast."""
-    words = tuple(words)
-    key = hashlib.sha256("\n".join(words).encode()).hexdigest()
+    secrets is replaced; an empty table gives an empty table. ``words``, the most
+    guessed first or with their guesses, are broadcast."""
+    words = word_ranks(words)
+    key = hashlib.sha256(repr(sorted(words.items())).encode()).hexdigest()
     return docs.withColumn("secrets", scanner(key, docs.sparkSession.sparkContext.broadcast(words), threshold)("text"))
 
 

@@ -259,7 +259,7 @@ def test_value_spans_against_plain_patterns(spark):
         want = []
         for m in secrets.CONTEXT.finditer(r.text or ""):
             group = 2 if m[1] else 4
-            if plain_cost(m[group][:80], words) >= secrets.THRESHOLD:
+            if plain_cost(m[group], words) >= secrets.THRESHOLD:
                 want.append(f"value:{m.start(group)}:{m.end(group)}")
         assert [x for x in r.secrets.spans.split(",") if x.startswith("value")] == want
 
@@ -282,15 +282,30 @@ def test_secrets_aligned_and_punctuated():
 
 
 def test_secrets_ordinary_words(spark, tmp_path):
-    """Words of the corpus are no secrets as values; random letters of one document are."""
-    texts = ["The password: required, everything else is (optional). My auth: everything and pwd: required here"] * 6 + ["pwd: zqvkxwjhgb"]
+    """Words of the corpus are no secrets as values; random letters are."""
+    texts = [f"It is required here, everything else is (optional), {i}.\nThe password: required, my auth: everything and pwd: required here" for i in range(6)] + ["pwd: zqvkxwjhgb"]
     frame(spark, texts).drop("scan").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.spans for r in secrets.op3_guess_cost_secrets(spark, str(tmp_path)).collect()}
     assert all("value" not in got[i] and got[i].startswith("assign") for i in range(6)) and got[6] == "value:5:15"
     words = secrets.corpus_words(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     assert {"required", "everything", "optional"} <= set(words) and "zqvkxwjhgb" not in words
-    few = spark.createDataFrame([(t,) for t in ["alpha beta"] * 6 + ["alpha"]], "text string")
-    assert [secrets.corpus_words(few, most=n)[len(secrets.WEAK_WORDS) :] for n in (0, 1, 2)] == [(), ("alpha",), ("alpha", "beta")]
+    few = spark.createDataFrame([(t,) for t in ["alpha beta"] * 6 + ["alpha", None, "pwd = gamma delta\nalpha beta x"]], "text string")
+    new = [{w: r for w, r in secrets.corpus_words(few, share).items() if w not in secrets.WEAK_WORDS} for share in (0.7, 0.5)]
+    assert new == [{"alpha": 1.0}, {"alpha": 5 / 3, "beta": 5 / 2}]
+
+
+@pytest.mark.parametrize("copies", [1, 5, 1000])
+def test_copies_do_not_hide_secrets(spark, copies):
+    """A value is found whatever the number of documents that leak it, with equal texts or different ones."""
+    values = ["correcthorsebatterystaple", "kjhqwezxcmnb", "k8w2qTz9LmP4"]
+    prose = [f"The battery of the horse is correct here {i}" for i in range(20)]
+    texts = [f"pwd = {v}" for v in values for _ in range(copies)] + [f"note {i}\nauth: {v}" for v in values for i in range(copies)]
+    docs = frame(spark, texts + prose)
+    got = secrets.scan_secrets(docs, secrets.corpus_words(docs)).select("text", "secrets.spans").collect()
+    for r in got[: len(texts)]:
+        start = max(r.text.find("= "), r.text.find(": ")) + 2
+        assert r.spans == f"value:{start}:{len(r.text)}"
+    assert all(r.spans == "" for r in got[len(texts) :])
 
 
 # Near-duplicates
