@@ -103,9 +103,10 @@ def trace(rows: DataFrame, tables: Mapping[str, DataFrame], order: Sequence[str]
 def cells(rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """(part, cell, n, good, toxic): documents by the set of filters that they fail (a bit each, in the
     order of ``tables``), with the numbers of those labelled good and toxic."""
-    rows = rows.withColumn("cell", F.lit(0))
-    for i, ids in enumerate(tables.values()):
-        rows = survivors(rows, ids).unionByName(removed(rows, ids).withColumn("cell", F.col("cell") + 2**i))
+    rows = rows.select(*KEY, "n", "good", "toxic", F.lit(0).alias("cell"))
+    for i, (k, ids) in enumerate(tables.items()):
+        split = survivors(rows, ids).unionByName(removed(rows, ids).withColumn("cell", F.col("cell") + 2**i))
+        rows = stored(split, f"after_{k}")  # both sides of the next filter read it
     marks = [F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c) for c in ("good", "toxic")]
     return stored(rows.groupBy("part", "cell").agg(F.sum("n").alias("n"), *marks), "cells")
 
