@@ -1,19 +1,20 @@
 """N-gram Jaccard join by grouped prefixes, exact: documents linked by the similarity of their shingle sets.
 
 1. Shingles are put into one order for all documents: by how full their cell is, then by hash. A
-   cell holds the shingles of one range of hashes; all occurrences of the corpus are counted, in an
-   array of fixed size. So what many documents share comes last.
+   cell holds the shingles of one range of hashes; the documents of each are counted over the whole
+   corpus, in an array of fixed size. So what many documents share comes last.
 2. The prefix of a set of n shingles is its first n - ceil(limit * n) + 1: sets that are linked
    share a shingle of their prefixes. Equal sets are one class; classes with the same prefix and
    size are one group, known by its smallest member. Only groups meet in buckets, one a shingle.
-3. In each bucket every group is paired with the smallest one, so pairs are linear in the bucket; a
-   second time with the member that lies in the largest buckets. Pairs pass the filters of size and
-   of parity bits and are then verified on the whole sets; connected components follow.
+3. In each bucket every group is paired with the smallest one, so pairs are linear in the bucket; in
+   large buckets once more with the member that lies in the largest ones. Pairs pass the filters of
+   size and of parity bits and are then verified on the whole sets; connected components follow.
 4. Groups are expanded where a bucket still holds several components: members outside the largest
-   one are held against those of other components and of a fitting size, under the same filters.
-   So no pair of a bucket stays unseen unless its ends are connected already.
+   one are held against those of other components and of a fitting size and place, under the same
+   filters. So no pair of a bucket stays unseen unless its ends are connected already.
 
-The filters lose nothing. Sizes of linked sets differ by the limit at most. Parity bits are one bit
+The filters lose nothing. Sizes of linked sets differ by the limit at most. The first shingle that two
+linked sets share has as many shingles behind it, in both, as the link needs. Parity bits are one bit
 a cell of hashes, the parity of the set's shingles there; each bit in which two sets differ needs a
 shingle of only one of them. Sets are held as 64-bit hashes: a link is wrong only where two shingles
 of one pair collide, with a chance below 1e-10 for texts of 10,000 words."""
@@ -36,8 +37,9 @@ from keelvault.llm.neardup import components, near
 CELL_BITS, RANGE_BITS = 22, 10
 #: Parity bits of a set, in longs.
 PARITY_LONGS = 16
-#: Members of one bucket and size that a stray meets in one place.
-BLOCK = 512
+#: Buckets of more members are large: their groups are paired a second time, and pairs pass the parity bits
+#: in the join itself, where a stray meets so many members of one size in one place.
+LARGE, BLOCK = 64, 512
 
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("grp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
@@ -48,18 +50,9 @@ def shingler(width: int):
 
     mix = np.random.default_rng(11).integers(0, 2**64, width, dtype=np.uint64) | np.uint64(1)
 
-    class Hashes(dict):
-        def __missing__(self, word):
-            if len(self) > 300_000:
-                self.clear()
-            value = self[word] = xxhash.xxh64_intdigest(word)
-            return value
-
-    of = Hashes().__getitem__
-
     def shingles(text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(of, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         if not len(h):
             return h
         n = max(1, len(h) - width + 1)
@@ -74,16 +67,17 @@ def shingler(width: int):
 
 
 def cell_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """Occurrences in each cell, over all texts: each task counts its own, ranges of cells are added up
-    as they stream by, and the sums, of fixed size, come to the driver."""
+    """Documents with a shingle in each cell, over all texts: each task counts its own, ranges of cells are
+    added up as they stream by, and the sums, of fixed size, come to the driver."""
     cells, ranges = 2**CELL_BITS, 2**RANGE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shingler(width), np.zeros(cells, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(total, (own(text.as_py()) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        held = [(i, part) for i, part in enumerate(total.reshape(ranges, -1)) if part.any()]
+                total[(own(text.as_py()) >> np.uint64(64 - CELL_BITS)).astype(np.int64)] += 1
+        narrow = np.min_scalar_type(total.max())
+        held = [(i, part.astype(narrow)) for i, part in enumerate(total.reshape(ranges, -1)) if part.any()]
         for i in range(0, len(held), 64):
             some = held[i : i + 64]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x.tobytes() for _, x in some], pa.binary())], ["cells", "counts"])
@@ -92,7 +86,7 @@ def cell_counts(texts: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(x.as_py(), np.uint32)
+                part = np.frombuffer(x.as_py(), f"u{len(x.as_py()) * ranges // cells}")
                 sums[k] = sums[k] + part if k in sums else part.astype(np.int64)
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["cells", "counts"])
@@ -184,11 +178,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return stored(both.where((F.col("k") > 0) & (100 * F.col("k") >= percent * (F.col("n") + F.col("m") - F.col("k")))).select("a", "b").distinct(), "links")
 
 
-def star_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the pairs (a, b) of class ids, by the filters and then by the sets."""
+def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids that the filters leave."""
     own = classes.select("node", F.struct("n", "bits").alias("x"))
     met = pairs.select("a", "b").distinct().join(own.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(own.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
-    return verified(met.where(may_link("xa", "xb", percent)), docs, width, percent)
+    return met.where(may_link("xa", "xb", percent)).select("a", "b")
+
+
+def star_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the pairs (a, b) of class ids, by the filters and then by the sets."""
+    return verified(likely_pairs(pairs, classes, percent), docs, width, percent)
 
 
 def size_class(percent: int) -> Column:
@@ -197,35 +196,51 @@ def size_class(percent: int) -> Column:
 
 
 def mixed_buckets(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, component, stray): the expanded members of buckets that hold several components.
+    """(bucket, node, at, n, component, k, stray): the expanded members of buckets that hold several components.
 
-    ``members`` has the groups of each bucket (bucket, head), ``heads`` the group of each class (node,
-    head). A group of several classes is a bucket of its own as well."""
-    told = heads.join(labels, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
+    ``members`` has the groups of each bucket and the shingle's place in their prefixes (bucket, head,
+    at), ``heads`` the group and size of each class (node, head, n). A group of several classes is a
+    bucket of its own as well."""
+    told = heads.join(labels, "node", "left").select("node", "head", "n", F.coalesce("component", "node").alias("component"))
     spans = told.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
     alone = spans.where("k > 1 AND lo <> hi").select(F.xxhash64(F.lit("group"), "head").alias("bucket"), "head")
     across = members.join(spans, "head").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("bucket")
-    rows = members.select("bucket", "head").join(across, "bucket", "left_semi").unionByName(alone)
-    full = stored(rows.join(told, "head").select("bucket", "node", "component").distinct(), "expanded")
+    rows = members.select("bucket", "head", "at").join(across, "bucket", "left_semi").unionByName(alone.withColumn("at", F.lit(0)))
+    full = stored(rows.join(told, "head").select("bucket", "node", "at", "n", "component"), "expanded")
     sizes = full.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     major = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("k"))
-    return stored(full.join(major, "bucket").select("bucket", "node", "component", "k", (F.col("component") != F.col("major")).alias("stray")), "mixed")
+    return stored(full.join(major, "bucket").select("bucket", "node", "at", "n", "component", "k", (F.col("component") != F.col("major")).alias("stray")), "mixed")
+
+
+def may_start(one: str, other: str, percent: int) -> Column:
+    """Whether two linked sets can have this bucket's shingle (place <name>.at of the order) as the first that
+    they share: from there on both must have as many shingles as a link needs."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    rest = F.least(n - F.col(f"{one}.at"), m - F.col(f"{other}.at"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
 def stray_links(mixed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between strays of a bucket and its members of other components.
 
-    They meet by bucket, class of size and block of members, so a large bucket is many small keys."""
-    full = mixed.join(classes.select("node", "n", "bits"), "node").withColumn("size", size_class(percent))
-    full = stored(full.select("bucket", "size", "node", "component", "stray", "n", "bits"), "sized")
+    Members of small buckets meet by id, and pairs that are left meet their parity bits. Those of large ones
+    meet by bucket, class of size and block of members, so a large bucket is many small keys."""
+    few = mixed.where(F.col("k") <= LARGE)
+    x, y = few.where("stray").alias("x"), few.alias("y")
+    here = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & may_start("x", "y", percent)
+    small = x.join(y, here).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    small = likely_pairs(small, classes, percent)
+    full = mixed.where(F.col("k") > LARGE).join(classes.select(F.col("node").alias("_kv_node"), F.col("n").alias("_kv_n"), "bits"), (F.col("node") == F.col("_kv_node")) & (F.col("n") == F.col("_kv_n")))
+    full = stored(full.select("bucket", size_class(percent).alias("size"), "node", "component", "stray", "at", "n", "bits"), "sized")
     held = full.groupBy("bucket", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     other = full.join(held, ["bucket", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("y")
-    looks = full.where("stray").select("bucket", "node", "component", "n", "bits", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    looks = full.where("stray").select("bucket", "node", "component", "at", "n", "bits", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
     looks = looks.join(held, ["bucket", "size"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "size", "block")]
     apart = F.col("x.component") != F.col("y.component")
-    met = looks.join(other, same[0] & same[1] & same[2] & apart & may_link("x", "y", percent))
-    return verified(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), docs, width, percent)
+    met = looks.join(other, same[0] & same[1] & same[2] & apart & may_start("x", "y", percent) & may_link("x", "y", percent))
+    met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return verified(small.unionByName(met), docs, width, percent)
 
 
 def prefix_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -247,7 +262,8 @@ def prefix_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     met = made.join(shared, F.col("digest") == F.col("_kv_digest"), "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
     rows = stored(met.select("doc_id", "n", "digest", node.alias("node")), "rows")
-    classes = met.where("n > 0 AND doc_id IS NOT NULL AND (node IS NULL OR node = doc_id)").dropDuplicates(["doc_id", "digest"])
+    sketched = met.where("n > 0 AND doc_id IS NOT NULL")
+    classes = sketched.where("node IS NULL").unionByName(sketched.where("node = doc_id").dropDuplicates(["doc_id", "digest"]))
     classes = stored(classes.select(F.col("doc_id").alias("node"), "n", "grp", "prefix", "bits"), "classes")
     # Rows with one id but several sets tie the classes of these together.
     torn = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("_kv_id"))
@@ -257,10 +273,10 @@ def prefix_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     groups = classes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").select("grp", "head")
     heads = classes.join(near(stored(groups, "groups")), "grp", "left").select("node", F.coalesce("head", "node").alias("head"), "prefix", "n")
     heads = stored(heads, "heads")
-    spread = heads.where("node = head").select("head", F.explode("prefix").alias("bucket"))
+    spread = heads.where("node = head").select("head", F.posexplode("prefix").alias("at", "bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("head").alias("leader"), F.max("head").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
     members = stored(spread.join(stored(buckets, "buckets"), "bucket"), "members")
-    heads = heads.select("node", "head")
+    heads = heads.select("node", "head", "n")
 
     first = members.where("head <> leader").select(F.col("leader").alias("a"), F.col("head").alias("b"))
     first = first.unionByName(heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
@@ -268,9 +284,10 @@ def prefix_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     labels = components(links)
 
     mixed = mixed_buckets(members, heads, labels)
-    middle = mixed.groupBy("node").agg(F.sum("k").alias("weight"))
-    middles = mixed.join(middle, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct("weight", "node")).alias("x"))
-    again = mixed.join(middles, "bucket").where("component <> x.component").select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
+    large = mixed.where(F.col("k") > LARGE)
+    middle = large.groupBy("node").agg(F.sum("k").alias("weight"))
+    middles = large.join(middle, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct("weight", "node")).alias("x"))
+    again = large.join(middles, "bucket").where("component <> x.component").select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
     more = star_links(again, classes, docs, width, percent)
     if not more.isEmpty():
         links = links.unionByName(more)

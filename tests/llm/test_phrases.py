@@ -69,11 +69,12 @@ def drifting(seed, bases=6, copies=14):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,block,cells", [(1, 512, 22), (2, 5, 10)])
-def test_prefix_join(spark, monkeypatch, seed, block, cells):
+@pytest.mark.parametrize("seed,block,cells,large", [(1, 512, 22, 64), (2, 5, 10, 3)])
+def test_prefix_join(spark, monkeypatch, seed, block, cells, large):
     """Equal to all pairs, also with small blocks and few cells."""
     monkeypatch.setattr(prefixjoin, "BLOCK", block)
     monkeypatch.setattr(prefixjoin, "CELL_BITS", cells)
+    monkeypatch.setattr(prefixjoin, "LARGE", large)
     rows = drifting(seed)
     got = joined(spark, rows)
     assert got == plain_join(rows, 4, 85) and len({c for _, _, c in got}) < len(rows) - 20
@@ -167,7 +168,8 @@ def test_clashing_hashes_are_found(spark, monkeypatch):
     assert not got["clash"].any() and sorted(got["word"].dropna()) == ["a", "b"] and got["n"].tolist() == [6, 18, 24]
 
 
-def test_trie_counts():
+def test_trie_counts(monkeypatch):
+    monkeypatch.setattr(collocations, "BURST", 64)
     rng = np.random.default_rng(2)
     trie, plain, spilled = collocations.Trie(3), Counter(), Counter()
     for _ in range(30):
