@@ -80,18 +80,20 @@ def _latest(target: DataFrame, pk: str, hashdiff: str) -> DataFrame:
     return target.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"), F.max_by(hashdiff, LDTS).alias("_kv_diff"))
 
 
-def load_sat(stage: DataFrame, target: DataFrame | None, pk: str, hashdiff: str, payload: Sequence[str]) -> DataFrame:
+def load_sat(stage: DataFrame, target: DataFrame | None, pk: str, hashdiff: str, payload: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """Rows whose hashdiff differs from the row before of the same key, in order of load time.
 
     Of rows of one key and load time the one with the smallest hashdiff counts. Rows not later than
-    the target's latest of their key are not loaded: see ``late_rows``."""
+    the target's latest of their key are not loaded: see ``late_rows``. ``known`` may have the latest
+    rows of the batch's keys (pk, LOAD_DATETIME, hashdiff), where they are kept apart from the target."""
     columns = [pk, hashdiff, *payload, LDTS, SOURCE]
     once = stage.where(F.col(pk).isNotNull()).groupBy(pk, LDTS).agg(F.min(F.struct(hashdiff, *payload, SOURCE)).alias("x"))
     once = once.select(pk, LDTS, *[F.col(f"x.{c}").alias(c) for c in (hashdiff, *payload, SOURCE)])
     before = F.lag(hashdiff).over(Window.partitionBy(pk).orderBy(LDTS))
-    if target is None:
+    if target is None and known is None:
         return once.withColumn("_kv_before", before).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before"))).select(*columns)
-    met = once.join(_latest(_of_keys(target, stage, pk), pk, hashdiff), F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
+    latest = _latest(_of_keys(target, stage, pk), pk, hashdiff) if known is None else known.select(F.col(pk).alias("_kv_pk"), F.col(LDTS).alias("_kv_ldts"), F.col(hashdiff).alias("_kv_diff"))
+    met = once.join(latest, F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
     changed = met.withColumn("_kv_before", F.coalesce(before, "_kv_diff")).where(~F.col(hashdiff).eqNullSafe(F.col("_kv_before")))
     return changed.select(*columns)
 
@@ -122,17 +124,18 @@ def _sets(once: DataFrame, pk: str, cdk: Sequence[str], hashdiff: str) -> DataFr
     return once.groupBy(pk, LDTS).agg(F.concat_ws(",", F.count("*"), *sums).alias("_kv_set"))
 
 
-def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequence[str], hashdiff: str, payload: Sequence[str]) -> DataFrame:
+def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequence[str], hashdiff: str, payload: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """Several rows at a time for each parent: when the set of (child key, hashdiff) differs from the
-    set before, the whole new set is inserted."""
+    set before, the whole new set is inserted. ``known`` may have the latest rows of the batch's parents
+    (columns of the satellite), where they are kept apart from the target."""
     columns = [pk, *cdk, hashdiff, *payload, LDTS, SOURCE]
     member = [pk, *cdk, hashdiff, LDTS]
     rows = stage.where(F.col(pk).isNotNull())
     once = rows.groupBy(*member).agg(F.min(F.struct(*payload, SOURCE)).alias("x")).select(*member, *[F.col(f"x.{c}").alias(c) for c in (*payload, SOURCE)])
     sets = _sets(rows.select(*member).distinct(), pk, cdk, hashdiff)
     before = F.lag("_kv_set").over(Window.partitionBy(pk).orderBy(LDTS))
-    if target is not None:
-        known = _latest_sets(_of_keys(target, rows, pk), pk, cdk, hashdiff)
+    if target is not None or known is not None:
+        known = _latest_sets(_of_keys(target, rows, pk) if known is None else known, pk, cdk, hashdiff)
         sets = sets.join(known, F.col(pk) == F.col("_kv_pk"), "left").where(F.col("_kv_ldts").isNull() | (F.col(LDTS) > F.col("_kv_ldts")))
         before = F.coalesce(before, "_kv_known")
     changed = sets.withColumn("_kv_before", before).where(~F.col("_kv_set").eqNullSafe(F.col("_kv_before"))).select(pk, LDTS)
@@ -167,46 +170,48 @@ def current_effectivity(target: DataFrame, pk: str) -> DataFrame:
     return target.groupBy(pk).agg(last).select(pk, *[F.col(f"x.{c}").alias(c) for c in (LDTS, end, *others)])
 
 
-def _effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
-    """New relationships of a batch (``n``) beside the open ones of its driving keys (``c``): both
-    where a relationship goes on, one where it begins or is gone. ``_kv_bad`` marks new ones that start
-    before one that is gone; ``_kv_start``, ``_kv_ldts``, ``_kv_source`` are of the sound new ones of the
-    driving key, the earliest start, and ``_kv_key`` is the driving key."""
+def _effectivity(batch: DataFrame, current: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(begins, closed): relationships of a batch that aren't open, those that start before one that is gone
+    with ``_kv_bad``; and open ones of its driving keys that it lacks, with the earliest start, the load
+    time and the source of what follows them.
+
+    ``current`` has the open relationships of the batch's driving keys. What goes on is left out first,
+    and driving keys meet by aggregates and joins, so one with many relationships is spread."""
     values = [pk, *dfk, *sfk, "START_DATE", LDTS, SOURCE]
     opened = _first(batch, pk, [*dfk, *sfk, "START_DATE"]).select(F.col(pk).alias("_kv_n"), F.struct(*values).alias("n"))
-    current = current_effectivity(_of_batch(target, batch, dfk), pk).where(F.col("END_DATE") == high_date(target))
     current = current.select(F.col(pk).alias("_kv_c"), F.struct(*values).alias("c"))
-    met = opened.join(current, F.col("_kv_n") == F.col("_kv_c"), "full_outer")
-    met = met.withColumn("_kv_key", F.struct(*[F.coalesce(f"n.{c}", f"c.{c}").alias(c) for c in dfk]))
-    key = Window.partitionBy("_kv_key")
-    begins, gone = F.col("_kv_c").isNull(), F.col("_kv_n").isNull()
-    met = met.withColumn("_kv_open", F.max(F.when(gone, F.col("c.START_DATE"))).over(key))
-    met = met.withColumn("_kv_bad", begins & F.coalesce(F.col("n.START_DATE") < F.col("_kv_open"), F.lit(False)))
-    sound = begins & ~F.col("_kv_bad")
-    return met.withColumns({"_kv_start": F.min(F.when(sound, F.col("n.START_DATE"))).over(key), "_kv_ldts": F.max(F.when(sound, F.col(f"n.{LDTS}"))).over(key), "_kv_source": F.min(F.when(sound, F.col(f"n.{SOURCE}"))).over(key)})
+    met = opened.join(current, F.col("_kv_n") == F.col("_kv_c"), "full_outer").where("_kv_n IS NULL OR _kv_c IS NULL")
+    met = written(met.select(F.col("_kv_c").isNull().alias("_kv_begins"), F.coalesce("n", "c").alias("x")).select("_kv_begins", F.struct(*[f"x.{c}" for c in dfk]).alias("_kv_key"), "x.*"), "met")
+    begins, gone = met.where("_kv_begins").drop("_kv_begins"), met.where("NOT _kv_begins").drop("_kv_begins")
+    ended = gone.groupBy("_kv_key").agg(F.max("START_DATE").alias("_kv_open"))
+    begins = begins.join(ended, "_kv_key", "left").withColumn("_kv_bad", F.coalesce(F.col("START_DATE") < F.col("_kv_open"), F.lit(False)))
+    follows = begins.where("NOT _kv_bad").groupBy("_kv_key").agg(F.min("START_DATE").alias("END_DATE"), F.max(LDTS).alias("_kv_ldts"), F.min(SOURCE).alias("_kv_source")).where("END_DATE IS NOT NULL")
+    closed = gone.drop(LDTS, SOURCE).join(follows, "_kv_key").withColumnsRenamed({"_kv_ldts": LDTS, "_kv_source": SOURCE})
+    return begins.select(*values, "_kv_bad"), closed.select(pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE)
+
+
+def _open_of_batch(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str]) -> DataFrame:
+    return current_effectivity(_of_batch(target, batch, dfk), pk).where(F.col("END_DATE") == high_date(target))
 
 
-def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
+def load_eff_sat(batch: DataFrame, target: DataFrame | None, pk: str, dfk: Sequence[str], sfk: Sequence[str], current: DataFrame | None = None) -> DataFrame:
     """Effectivity from one snapshot batch (pk, dfk, sfk, START_DATE, LOAD_DATETIME, RECORD_SOURCE).
 
     Relationships that aren't open are opened. For the driving keys of the batch, open relationships
     that it doesn't hold get a closing record that ends with the earliest start among the new ones.
     A driving key may have several columns and nulls. Rows that start before what they would close
-    are left out and close nothing: see ``rejected_effectivity``."""
+    are left out and close nothing: see ``rejected_effectivity``. ``current`` may have the open
+    relationships of the batch's driving keys, where they are kept apart from the target."""
     columns = [pk, *dfk, *sfk, "START_DATE", "END_DATE", LDTS, SOURCE]
-    if target is None:
+    if target is None and current is None:
         return _first(batch, pk, [*dfk, *sfk, "START_DATE"]).withColumn("END_DATE", high_date(batch)).select(*columns)
-    met = _effectivity(batch, target, pk, dfk, sfk)
-    closes = F.col("_kv_n").isNull() & F.col("_kv_start").isNotNull()
-    met = met.where(closes | (F.col("_kv_c").isNull() & ~F.col("_kv_bad")))
-    names = [pk, *dfk, *sfk, "START_DATE"]
-    end = F.when(closes, F.col("_kv_start")).otherwise(high_date(batch))
-    return met.select(*[F.coalesce(f"n.{c}", f"c.{c}").alias(c) for c in names], end.alias("END_DATE"), F.when(closes, F.col("_kv_ldts")).otherwise(F.col(f"n.{LDTS}")).alias(LDTS), F.when(closes, F.col("_kv_source")).otherwise(F.col(f"n.{SOURCE}")).alias(SOURCE))
+    begins, closed = _effectivity(batch, _open_of_batch(batch, target, pk, dfk) if current is None else current, pk, dfk, sfk)
+    return begins.where("NOT _kv_bad").withColumn("END_DATE", high_date(batch)).select(*columns).unionByName(closed)
 
 
 def rejected_effectivity(batch: DataFrame, target: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:
     """New relationships of a batch that start before an open one of their driving key that is gone."""
-    return _effectivity(batch, target, pk, dfk, sfk).where("_kv_bad").select("n.*")
+    return _effectivity(batch, _open_of_batch(batch, target, pk, dfk), pk, dfk, sfk)[0].where("_kv_bad").drop("_kv_bad")
 
 
 def eff_sat_from_history(history: DataFrame, pk: str, dfk: Sequence[str], sfk: Sequence[str]) -> DataFrame:

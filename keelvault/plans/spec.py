@@ -117,6 +117,28 @@ def load_bucketed_vault(spark: SparkSession, spec: VaultSpec, stages: Mapping[st
     return names
 
 
+def compact_bucketed(spark: SparkSession, table: str, buckets: int, pk: str) -> None:
+    """Rewrite a bucketed table with one sorted file a bucket. After many loads a bucket has a file of each,
+    and then its order is no longer known.
+
+    The new table takes the old one's place when it is whole; a run that was broken off is completed by
+    the next one. With ``spark.sql.legacy.bucketedTableScan.outputOrdering`` Spark then joins the
+    table by its key without an exchange and without a sort."""
+    new, old = f"{table}_compacted", f"{table}_replaced"
+    if spark.catalog.tableExists(table):
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        setting, held = "spark.sql.sources.bucketing.enabled", spark.conf.get("spark.sql.sources.bucketing.enabled")
+        spark.conf.set(setting, "false")  # else the exchange that gathers a bucket's files is left out
+        try:
+            spark.table(table).repartition(buckets, pk).write.format("parquet").bucketBy(buckets, pk).sortBy(pk).saveAsTable(new)
+        finally:
+            spark.conf.set(setting, held)
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
 def _parts(spec: VaultSpec) -> tuple:
     return (*spec.hubs, *spec.links, *spec.satellites)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import hash_key, hashdiff
 from keelvault.functions.names import normalize_identifier
-from keelvault.operators import load, read, stage
+from keelvault.operators import heads, load, read, stage
 from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_vault, run_batches
 from keelvault.queries.base import HIGH, hashed, query, table
 from keelvault.sources import feeds
@@ -73,6 +73,17 @@ def s3(spark, d):
     return feeds.snapshot_batch(table(spark, d, "orders"), datetime.datetime(1996, 1, 2), "o_orderdate").select("o_orderkey", "o_custkey")
 
 
+@query("s3_read_batch", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate = TIMESTAMP '1996-01-02 00:00:00' UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-20 00:00:00'")
+def s3_dated(spark, d):
+    """Batches of a table that is laid out by load date (of one month): one of them, and all from a date on."""
+    path = feeds.shared_folder(spark)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("LOAD_DATETIME"))
+    early = o.withColumn("LOAD_DATETIME", F.when(F.col("LOAD_DATETIME") >= "1996-02-01", F.lit("1996-02-01").cast("timestamp")).otherwise(F.col("LOAD_DATETIME")))
+    feeds.append_by_date(early, path)
+    batch, rest = feeds.read_batch(spark, path, "1996-01-02"), feeds.read_batch(spark, path, since="1996-01-20")
+    return batch.unionByName(rest).drop("LOAD_DATETIME")
+
+
 @query("s4_union_feeds", "SELECT feed, count(*) AS n_rows, count(DISTINCT k) AS n_keys FROM (SELECT 'customer' AS feed, c_custkey AS k FROM customer UNION ALL SELECT 'orders', o_custkey FROM orders) GROUP BY feed")
 def s4(spark, d):
     frames = [table(spark, d, "customer").select(F.lit("customer").alias("feed"), F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit("orders").alias("feed"))]
@@ -405,6 +416,32 @@ def l14(spark, d):
     return load.load_fk_link(rows, None, "FK_HK", "ORDER_HK", "o_orderkey", "c_custkey", "o_custkey")
 
 
+@query("l6_load_sat_with_heads", f"WITH {EVENTS} SELECT USER_HK, HASHDIFF, event_type, LOAD_DATETIME, RECORD_SOURCE FROM e QUALIFY {SAT.format(pk='USER_HK')}")
+def l6_heads(spark, d):
+    """Batches, one of them twice, that meet the latest row of each key and not the history."""
+    path, e = feeds.shared_folder(spark), events_stage(spark, d)
+    for name, where in (("a", "ts < '2024-01-10'"), ("b", "ts >= '2024-01-10' AND ts < '2024-01-20'"), ("b", "ts >= '2024-01-10' AND ts < '2024-01-20'"), ("c", "ts >= '2024-01-20'")):
+        heads.load_sat_with_heads(e.where(where), path, name, "USER_HK", "HASHDIFF", ["event_type"])
+    return heads.read_history(spark, path)
+
+
+@query("l10_load_ma_sat_with_heads", MA)
+def l10_heads(spark, d):
+    path, rows = feeds.shared_folder(spark), multi_active(spark, d)
+    for name, where in (("a", "LOAD_DATETIME < '2002-01-15'"), ("b", "LOAD_DATETIME > '2002-01-15'"), ("c", "LOAD_DATETIME > '2002-01-15'")):
+        heads.load_ma_sat_with_heads(rows.where(where), path, name, "ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF", ["QUANTITY"])
+    out = heads.read_history(spark, path)
+    return out.withColumn("QUANTITY", F.col("QUANTITY").cast("double"))
+
+
+@query("l11_load_eff_sat_with_heads", islands("user_id", snapshot_sql("user_id"), hashed("user_id", "{t}") + " AS EFF_HK, user_id, {t} AS event_type"))
+def l11_heads(spark, d):
+    path, rows = feeds.shared_folder(spark), snapshots(spark, d, ["user_id"])
+    for at in [*SNAPSHOTS, SNAPSHOTS[-1]]:
+        heads.load_eff_sat_with_heads(rows.where(F.col("LOAD_DATETIME") == F.lit(at).cast("timestamp")), path, at, "EFF_HK", ["user_id"], ["event_type"])
+    return dated(heads.read_history(spark, path))
+
+
 SPEC = VaultSpec(
     hubs=[Hub("hub_customer", ["orders", "customer"], "CUSTOMER_HK", "CUSTOMER_ID"), Hub("hub_order", ["orders"], "ORDER_HK", "ORDER_ID")],
     links=[Link("link_order_customer", "orders", "ORDER_CUSTOMER_HK", ["ORDER_HK", "CUSTOMER_HK"])],

@@ -56,6 +56,27 @@ def snapshot_batch(df: DataFrame, load_dts=None, column: str = "LOAD_DATETIME")
     return df if load_dts is None else df.where(F.col(column) == F.lit(load_dts))
 
 
+#: The partition column of tables that are laid out by load date.
+LOAD_DATE = "LOAD_DATE"
+
+
+def append_by_date(rows: DataFrame, path: str, column: str = "LOAD_DATETIME") -> None:
+    """Append rows to a table that has a folder a load date, so that readers of a batch open no other."""
+    dated = rows.withColumn(LOAD_DATE, F.to_date(column))
+    dated.repartition(LOAD_DATE).write.mode("append").partitionBy(LOAD_DATE).parquet(path)
+
+
+def read_batch(spark: SparkSession, path: str, load_dts=None, since=None, column: str = "LOAD_DATETIME") -> DataFrame:
+    """Rows of a table that is laid out by load date: those of one load time, those from a load time on
+    (what may be late for a target is never older than its own oldest open batch), or all."""
+    df = spark.read.parquet(path)
+    for value, of in ((load_dts, lambda c, v: c == v), (since, lambda c, v: c >= v)):
+        if value is not None:
+            at = F.lit(value).cast("timestamp")
+            df = df.where(of(F.col(LOAD_DATE), at.cast("date")) & of(F.col(column), at))
+    return df.drop(LOAD_DATE)
+
+
 def union_feeds(frames: Sequence[DataFrame]) -> DataFrame:
     """The stages of all feeds of one hub, matched by column name."""
     return reduce(lambda a, b: a.unionByName(b), frames)

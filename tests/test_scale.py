@@ -1,10 +1,13 @@
 """Forms of operators for wide and large tables, against the plain forms."""
 
 import random
+import shutil
 
 import pytest
 
-from keelvault.operators import extend, integrity, match, profile
+from keelvault.operators import extend, heads, integrity, load, match, profile
+from keelvault.plans.spec import Hub, VaultSpec, compact_bucketed, load_bucketed_vault, run_batches
+from keelvault.sources import feeds
 from keelvault.sources.feeds import shared_folder
 
 
@@ -107,3 +110,98 @@ def test_hash_tree_finds_changed_buckets(spark):
     assert got == full and len(full) == 122 and (None, "removed") in full
     one, other = extend.preserved_hashed(spark, paths[0], paths[3]).first(), extend.preserved(df, changed).first()
     assert tuple(one) == tuple(other)
+
+
+def satellite_rows(spark, seed=2, keys=40, days=6):
+    rng = random.Random(seed)
+    rows = []
+    for day in range(1, days + 1):
+        for k in range(keys):
+            if rng.random() < 0.7:
+                for child in range(rng.randint(1, 3)):
+                    v = rng.randint(1, 3)
+                    rows.append((f"k{k}", child, f"d{v}", v, f"2026-01-{day:02} 00:00:00"))
+    df = spark.createDataFrame(rows, "HK string, CHILD int, HASHDIFF string, V int, at string")
+    return df.selectExpr("HK", "CHILD", "HASHDIFF", "V", "CAST(at AS timestamp) AS LOAD_DATETIME", "'s' AS RECORD_SOURCE")
+
+
+def equal(a, b):
+    b = b.select(*a.columns)
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def on_day(df, day):
+    return df.where(f"LOAD_DATETIME = CAST('2026-01-{day:02}' AS timestamp)")
+
+
+@pytest.mark.parametrize("kind", ["sat", "ma_sat", "eff_sat"])
+def test_heads_stand_for_histories(spark, kind):
+    """Loads by heads give what loads against the whole history give; a batch that was broken off between
+    its two writes, or that comes again, adds nothing twice."""
+    rows, path = satellite_rows(spark), shared_folder(spark)
+    if kind == "eff_sat":
+        rows = rows.where("CHILD = 0").selectExpr("concat(HK, HASHDIFF) AS HK", "IF(HK = 'k3', NULL, HK) AS A", "HASHDIFF AS B", "LOAD_DATETIME AS START_DATE", "LOAD_DATETIME", "RECORD_SOURCE")
+    args = {"sat": ("HK", "HASHDIFF", ["V"]), "ma_sat": ("HK", ["CHILD"], "HASHDIFF", ["V"]), "eff_sat": ("HK", ["A"], ["B"])}[kind]
+    plain, by_heads = getattr(load, f"load_{kind}"), getattr(heads, f"load_{kind}_with_heads")
+    want = run_batches(rows, [f"2026-01-{d:02}" for d in range(2, 7)], lambda b, t: plain(b, t, *args))
+    for day in range(1, 7):
+        if day == 4:
+            shutil.copytree(f"{path}/heads", f"{path}/before")
+        new = by_heads(on_day(rows, day), path, f"b{day}", *args, buckets=8)
+        assert new.count() > 0
+        if day == 4:  # as if the heads had not been written
+            shutil.rmtree(f"{path}/heads")
+            shutil.move(f"{path}/before", f"{path}/heads")
+            by_heads(on_day(rows, day), path, f"b{day}", *args, buckets=8)
+    assert by_heads(on_day(rows, 6), path, "b6", *args, buckets=8).count() == 0
+    assert equal(heads.read_history(spark, path), want)
+
+
+def test_batches_read_heads_only(spark):
+    """What a batch reads of what is stored does not grow with the number of earlier batches."""
+    rows, path = satellite_rows(spark, keys=20), shared_folder(spark)
+    sizes = []
+    for day in range(1, 7):
+        heads.load_sat_with_heads(on_day(rows, day).where("CHILD = 0"), path, f"b{day}", "HK", "HASHDIFF", ["V"], buckets=2)
+        sizes.append(spark.read.parquet(f"{path}/heads").count())
+    assert max(sizes) <= 20 < heads.read_history(spark, path).count()
+
+
+def test_batches_are_partitions(spark):
+    rows, path = satellite_rows(spark), shared_folder(spark)
+    for day in (1, 2, 3):
+        feeds.append_by_date(on_day(rows, day), path)
+    one, rest = feeds.read_batch(spark, path, "2026-01-02"), feeds.read_batch(spark, path, since="2026-01-02")
+    assert equal(on_day(rows, 2), one) and rest.count() == on_day(rows, 2).count() + on_day(rows, 3).count()
+    for df in (one, rest):
+        assert "LOAD_DATE" in str(df._jdf.queryExecution()).split("PartitionFilters: [")[1].split("]")[0]
+    assert equal(feeds.read_batch(spark, path), rows.where("LOAD_DATETIME < CAST('2026-01-04' AS timestamp)"))
+
+
+def test_compacted_tables_join_without_exchange_and_sort(spark):
+    """After many loads a bucket is one sorted file again."""
+    spec = VaultSpec(hubs=[Hub("hub_k", ["s"], "K_HK", "K")])
+    spark.sql("CREATE DATABASE IF NOT EXISTS compacting")
+    stage = spark.range(300).selectExpr("md5(CAST(id AS string)) AS K_HK", "id AS K", "CAST('2026-01-01' AS timestamp) AS LOAD_DATETIME", "'s' AS RECORD_SOURCE")
+    for i in range(12):
+        load_bucketed_vault(spark, spec, {"s": stage.where(f"K % 12 = {i}")}, "compacting", 4)
+    table, before = "compacting.hub_k", spark.table("compacting.hub_k").inputFiles()
+    compact_bucketed(spark, table, 4, "K_HK")
+    compact_bucketed(spark, table, 4, "K_HK")
+    assert len(before) > 12 and len(spark.table(table).inputFiles()) == 4 and equal(stage, spark.table(table))
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(table).select("K_HK", "K").join(spark.table(table).select("K_HK", "LOAD_DATETIME"), "K_HK")
+        assert joined.count() == 300
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    load_bucketed_vault(spark, spec, {"s": stage}, "compacting", 4)
+    assert spark.table(table).count() == 300
+    # A run that was broken off after the old table had gone aside is completed.
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_compacted")
+    compact_bucketed(spark, table, 4, "K_HK")
+    assert spark.table(table).count() == 300
