@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from keelvault.operators.stage import LDTS, role_hash
 from keelvault.sources.feeds import shared_folder, written
 
 
+#: Parts of a kind that are loaded at a time.
+TOGETHER = 4
+
+
 @dataclass(frozen=True)
 class Hub:
     name: str
@@ -144,14 +150,17 @@ def _parts(spec: VaultSpec) -> tuple:
 
 
 def _load(spec: VaultSpec, stages: Mapping[str, DataFrame], held: Callable, add: Callable) -> None:
-    """Load one batch: ``held`` gives what a table has, or None, and ``add`` appends to it."""
+    """Load one batch: ``held`` gives what a table has, or None, and ``add`` appends to it. Parts of a kind
+    don't read each other and are loaded together; if one fails, what the others have loaded stays, and
+    the same batch again completes the load."""
     users: dict[str, int] = {}
     for part in _parts(spec):
         for s in part.stages if isinstance(part, Hub) else [part.stage]:
             users[s] = users.get(s, 0) + 1
     shared = {n: written(df, n) if users.get(n, 0) > 1 else df for n, df in stages.items()}
-    for part in _parts(spec):
-        add(part, new_rows(part, shared, held(part)))
+    for kind in (spec.hubs, spec.links, spec.satellites):
+        with ThreadPoolExecutor(max_workers=TOGETHER) as pool:  # Spark runs the jobs of several threads side by side
+            list(pool.map(inheritable_thread_target(lambda part: add(part, new_rows(part, shared, held(part)))), kind))
 
 
 def run_batches(stage: DataFrame, cuts: Sequence[str], load: Callable[[DataFrame, DataFrame | None], DataFrame], ldts: str = LDTS) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keelvault.functions.hashing import hash_key, hashdiff
 from keelvault.functions.names import normalize_identifier
 from keelvault.operators import heads, load, read, stage
-from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_vault, run_batches
+from keelvault.plans.spec import Hub, Link, Satellite, VaultSpec, load_bucketed_vault, load_vault, run_batches
 from keelvault.queries.base import HIGH, hashed, query, table
 from keelvault.sources import feeds
 
@@ -463,6 +465,48 @@ def l15(spark, d):
     return read.vault_counts({n: spark.read.parquet(p) for n, p in paths.items()})
 
 
+ALL_PARTS = VaultSpec(
+    hubs=SPEC.hubs[:1],
+    links=[SPEC.links[0], Link("t_line", "lines", "LINE_HK", ["ORDER_HK", "PART_HK", "SUPPLIER_HK"], event_time="SHIPPED", payload=["QUANTITY", "PRICE"])],
+    satellites=[
+        SPEC.satellites[1],
+        Satellite("sat_lines", "sets", "ORDER_HK", payload=["QUANTITY"], kind="multi_active", child_keys=["l_linenumber", "l_partkey", "l_suppkey"]),
+        Satellite("eff_user", "states", "EFF_HK", kind="effectivity", driving=["user_id"], secondary=["event_type"]),
+    ],
+)
+EFF_USER = islands("user_id", snapshot_sql("user_id"), hashed("user_id", "{t}") + " AS EFF_HK, user_id, {t} AS event_type")
+
+
+@query(
+    "l15_load_vault_parts",
+    f"""WITH {ORDERS}, {LINES}, u AS (
+      SELECT 'hub_customer' AS table_name, hk, min(at_time) AS LOAD_DATETIME, 1 AS n FROM (SELECT {hashed('o_custkey')} AS hk, o_orderdate AS at_time FROM orders UNION ALL SELECT {hashed('c_custkey')}, TIMESTAMP '1996-06-01 00:00:00' FROM customer) GROUP BY hk
+      UNION ALL SELECT 'link_order_customer', ORDER_CUSTOMER_HK, min(LOAD_DATETIME), 1 FROM o GROUP BY ORDER_CUSTOMER_HK
+      UNION ALL SELECT 't_line', LINE_HK, min(LOAD_DATETIME), 1 FROM l GROUP BY LINE_HK
+      UNION ALL SELECT 'sat_customer', {hashed('c_custkey')}, TIMESTAMP '1996-06-01 00:00:00', 1 FROM customer
+      UNION ALL SELECT 'sat_lines', ORDER_HK, LOAD_DATETIME, count(*) FROM ({MA}) GROUP BY ORDER_HK, LOAD_DATETIME
+      UNION ALL SELECT 'eff_user', EFF_HK, LOAD_DATETIME, count(*) FROM ({EFF_USER}) GROUP BY EFF_HK, LOAD_DATETIME)
+    SELECT table_name, hk, LOAD_DATETIME, CAST(n AS BIGINT) AS n FROM u""",
+)
+def l15_parts(spark, d):
+    """A bucketed vault with all kinds of part, loaded in three batches and the last of them again."""
+    database = f"keelvault_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    orders, lines, sets, states = orders_stage(spark, d), line_stage(spark, d), multi_active(spark, d), snapshots(spark, d, ["user_id"])
+    for i, at in enumerate([*SNAPSHOTS, SNAPSHOTS[-1]]):
+        stages = {
+            "orders": orders.where("LOAD_DATETIME < '1998-01-01'") if i == 0 else orders,
+            "customer": customer_stage(spark, d),
+            "lines": lines.where("LOAD_DATETIME < '1998-01-01'") if i == 0 else lines,
+            "sets": sets.where("LOAD_DATETIME < '2002-01-15'") if i == 0 else sets.where("LOAD_DATETIME > '2002-01-15'"),
+            "states": states.where(F.col("LOAD_DATETIME") == F.lit(at).cast("timestamp")),
+        }
+        names = load_bucketed_vault(spark, ALL_PARTS, stages, database, 8)
+    keys = {p.name: p.pk for p in (*ALL_PARTS.hubs, *ALL_PARTS.links, *ALL_PARTS.satellites)}
+    rows = feeds.union_feeds([spark.table(t).select(F.lit(n).alias("table_name"), F.col(keys[n]).alias("hk"), "LOAD_DATETIME") for n, t in names.items()])
+    return rows.groupBy("table_name", "hk", "LOAD_DATETIME").agg(F.count("*").alias("n"))
+
+
 TRADES = VaultSpec(links=[Link("link_trade", "trades", "TRADE_HK", ["NATION_CUSTOMER_HK", "NATION_SUPPLIER_HK"], event_time="l_shipdate", payload=["QUANTITY"], degenerate_key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], roles=[("nation", "customer", "c_nationkey"), ("nation", "supplier", "s_nationkey")])])
 
 
