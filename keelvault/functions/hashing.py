@@ -11,11 +11,15 @@ SEPARATOR, MISSING = "||", "^^"
 
 
 def canonical(c: Column | str) -> Column:
-    """Trimmed, upper-case text of a value; null and blank values become ``^^``.
+    """Trimmed, upper-case text of a value; null and blank values become ``^^``. A backslash goes before
+    the characters of the separator and of this mark, so no other list of values has the same text.
 
     Cast doubles to decimals first: their text form is not stable across engines."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.nullif(F.upper(F.trim(c.cast("string"))), F.lit("")), F.lit(MISSING))
+    text = F.nullif(F.upper(F.trim(c.cast("string"))), F.lit(""))
+    for sign in ("\\", SEPARATOR[0], MISSING[0]):
+        text = F.replace(text, F.lit(sign), F.lit("\\" + sign))
+    return F.coalesce(text, F.lit(MISSING))
 
 
 def is_blank(c: Column | str) -> Column:

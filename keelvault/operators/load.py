@@ -132,7 +132,8 @@ def load_ma_sat(stage: DataFrame, target: DataFrame | None, pk: str, cdk: Sequen
     member = [pk, *cdk, hashdiff, LDTS]
     rows = stage.where(F.col(pk).isNotNull())
     once = rows.groupBy(*member).agg(F.min(F.struct(*payload, SOURCE)).alias("x")).select(*member, *[F.col(f"x.{c}").alias(c) for c in (*payload, SOURCE)])
-    sets = _sets(rows.select(*member).distinct(), pk, cdk, hashdiff)
+    once = written(once, "once")  # read for the sets and for the rows
+    sets = _sets(once, pk, cdk, hashdiff)
     before = F.lag("_kv_set").over(Window.partitionBy(pk).orderBy(LDTS))
     if target is not None or known is not None:
         known = _latest_sets(_of_keys(target, rows, pk) if known is None else known, pk, cdk, hashdiff)

@@ -21,7 +21,10 @@ def query(name: str, sql: str | None = None):
 
 
 def canon(c: str) -> str:
-    return f"coalesce(nullif(upper(trim(CAST({c} AS VARCHAR))), ''), '^^')"
+    text = f"nullif(upper(trim(CAST({c} AS VARCHAR))), '')"
+    for sign in ("\\", "|", "^"):
+        text = f"replace({text}, '{sign}', '\\{sign}')"
+    return f"coalesce({text}, '^^')"
 
 
 def hashed(*cols: str) -> str:

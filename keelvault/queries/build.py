@@ -125,6 +125,16 @@ def t3(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hash_key(["l_orderkey", "l_partkey", "l_suppkey"]).alias("LINK_HK"))
 
 
+@query("t3_hash_key_marks", f"""WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'A|' WHEN 1 THEN 'A' WHEN 2 THEN '^^' END AS a, CASE l_linenumber % 4 WHEN 0 THEN 'B' WHEN 1 THEN '|B' WHEN 3 THEN '^\\^' END AS b FROM lineitem)
+    SELECT l_orderkey, l_linenumber, {hashed('a', 'b')} AS PAIR_HK, (SELECT count(DISTINCT {hashed('a', 'b')}) FROM x) AS n_keys FROM x""")
+def t3_marks(spark, d):
+    """Values with the separator and the mark of missing values in them: other values, other keys."""
+    k = F.col("l_linenumber") % 4
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(k == 0, "A|").when(k == 1, "A").when(k == 2, "^^").alias("a"), F.when(k == 0, "B").when(k == 1, "|B").when(k == 3, "^\\^").alias("b"))
+    keyed = x.select("l_orderkey", "l_linenumber", hash_key(["a", "b"]).alias("PAIR_HK"))
+    return keyed.crossJoin(F.broadcast(keyed.agg(F.count_distinct("PAIR_HK").alias("n_keys"))))  # a single row
+
+
 @query("t4_hashdiff", f"SELECT c_custkey, {hashed('c_name', 'nullif(c_mktsegment, upper(c_mktsegment))', 'CAST(c_acctbal AS DECIMAL(18,2))')} AS HASHDIFF FROM customer")
 def t4(spark, d):
     return table(spark, d, "customer").select("c_custkey", hashdiff(["c_name", F.nullif("c_mktsegment", F.upper("c_mktsegment")), money("c_acctbal")]).alias("HASHDIFF"))

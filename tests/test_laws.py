@@ -94,6 +94,12 @@ def test_bucketed_vault(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_keys_tell_separators_apart(spark):
+    rows = [("A", "B||C"), ("A||B", "C"), ("A|", "|B"), ("A||", "B"), ("A", "||B"), ("^^", "x"), (None, "x"), ("\\^^", "x"), ("A\\", "B"), ("A\\|", "B")]
+    keys = spark.createDataFrame(rows, "a string, b string").select(hash_key(["a", "b"]).alias("k"))
+    assert keys.distinct().count() == len(rows)
+
+
 def test_two_feeds_give_equal_hashes(spark):
     crm = spark.createDataFrame([("c001 ", DAY1), ("C002", DAY1), (None, DAY1), (" ", DAY1)], "cust_id string, LOAD_DATETIME string")
     victor = spark.createDataFrame([("C001", DAY2), ("C003", DAY2)], "partn_id string, LOAD_DATETIME string")
