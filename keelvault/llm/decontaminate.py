@@ -44,8 +44,8 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def sliced(bench: DataFrame, slice_words: int) -> tuple[DataFrame, int]:
-    """The items (item_id, text) with the slice that each is dealt to, and the number of slices."""
-    items = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").rlike(WORD))
+    """The distinct items (item_id, text) with the slice that each is dealt to, and the number of slices."""
+    items = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").rlike(WORD)).distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n = max(1, -(-words // slice_words))
     return items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
@@ -181,7 +181,9 @@ def span_column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
 
 
 def hit_passages(docs: DataFrame, bench: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, start, end, passage): the hit runs of each document as spans of its original text."""
+    """(doc_id, start, end, passage): the hit runs of each document as spans of its original text (code points,
+    end exclusive), whatever its length. Null and empty texts, an empty table and an empty benchmark give
+    no rows; rows that are equal or share an id give theirs each. Other columns are not read."""
     spans = F.arrow_udf(span_column, "array<struct<start:int,end:int>>").asNondeterministic()
     scanned = scan(docs.select("doc_id", "text"), bench, width).where(F.size("scan.hits") > 0)
     rows = scanned.select("doc_id", "text", F.explode(spans("text", "scan.hits")).alias("s"))

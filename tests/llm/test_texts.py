@@ -609,6 +609,13 @@ def test_decontamination(spark, slice_words):
     assert passages[3] == "short-ONE" and passages[2] == item.upper().replace(" ", "--")
 
 
+def test_equal_items_are_one(spark):
+    """Items that are given a thousand times make one slice, and the same result."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")] * 1000 + [(2, "one two three")], "item_id long, text string")
+    items, n = decontaminate.sliced(bench, 100)
+    assert (items.count(), n) == (2, 1)
+
+
 @pytest.mark.parametrize("items", [[], [(1, None), (2, " ,;")]])
 def test_empty_benchmark(spark, items):
     docs = frame(spark, ["some words", None, ""])
