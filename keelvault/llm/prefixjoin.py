@@ -195,6 +195,20 @@ def size_class(percent: int) -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
+def shared_buckets(spread: DataFrame, percent: int) -> DataFrame:
+    """(bucket, head, at, leader) of the buckets of several groups, with the smallest group of each.
+
+    Most have two. There each of the two knows the other by what both together leave when its own size and
+    place are taken out, so pairs that can't start in such a bucket go before anything is made of them."""
+    own = F.shiftleft("n", 31).bitwiseOR(F.col("at"))
+    buckets = spread.groupBy("bucket").agg(F.count("*").alias("k"), F.bit_xor(own).alias("both")).where("k > 1")
+    met = spread.join(stored(buckets, "buckets"), "bucket").withColumn("other", F.col("both").bitwiseXOR(own))
+    met = met.select("bucket", "head", "at", "k", F.struct("n", "at").alias("x"), F.struct(F.shiftright("other", 31).alias("n"), F.col("other").bitwiseAND(2**31 - 1).alias("at")).alias("y"))
+    members = stored(met.where((F.col("k") > 2) | may_start("x", "y", percent)).select("bucket", "head", "at"), "members")
+    leaders = members.groupBy("bucket").agg(F.min("head").alias("leader"), F.max("head").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
+    return stored(members.join(leaders, "bucket"), "shared")
+
+
 def mixed_buckets(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, at, n, component, k, stray): the expanded members of buckets that hold several components.
 
@@ -273,9 +287,7 @@ def prefix_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     groups = classes.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").select("grp", "head")
     heads = classes.join(near(stored(groups, "groups")), "grp", "left").select("node", F.coalesce("head", "node").alias("head"), "prefix", "n")
     heads = stored(heads, "heads")
-    spread = heads.where("node = head").select("head", F.posexplode("prefix").alias("at", "bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("head").alias("leader"), F.max("head").alias("_kv_last")).where("leader <> _kv_last").drop("_kv_last")
-    members = stored(spread.join(stored(buckets, "buckets"), "bucket"), "members")
+    members = shared_buckets(heads.where("node = head").select("head", "n", F.posexplode("prefix").alias("at", "bucket")), percent)
     heads = heads.select("node", "head", "n")
 
     first = members.where("head <> leader").select(F.col("leader").alias("a"), F.col("head").alias("b"))
