@@ -382,3 +382,12 @@ def test_kept_out_rows_are_told(spark):
     events = frame(spark, "LINK_HK string, A string, B string, EFF string, LOAD_DATETIME string", [("1", "a", None, DAY1, DAY1), ("2", "a", "b", None, DAY1), ("3", "a", "b", DAY1, DAY1)], "s")
     assert [r.LINK_HK for r in load.load_t_link(events, None, "LINK_HK", ["A", "B"], [], "EFF").collect()] == ["3"]
     assert sorted((r.LINK_HK, r.reason) for r in load.rejected_events(events, ["A", "B"], "EFF").collect()) == [("1", "no_participation"), ("2", "no_event_time")]
+
+
+def test_feeds_that_bring_a_key_together_are_both_its_origin(spark):
+    """A key of both feeds at the same time is no other domain; one that a feed brought first is."""
+    orders = frame(spark, "ORDER_HK string, CUSTOMER_HK string, LOAD_DATETIME string", [("o1", "c1", DAY1), ("o2", "c2", DAY2), ("o3", "c3", DAY1)], "orders")
+    customers = frame(spark, "CUSTOMER_HK string, LOAD_DATETIME string", [("c1", DAY1), ("c2", DAY1), ("c3", DAY2)], "customer")
+    first = feeds.union_feeds([df.select("CUSTOMER_HK", "LOAD_DATETIME", "RECORD_SOURCE") for df in (orders, customers)])
+    found = extend.cross_domain_links(orders, {"ORDER_HK": (orders, "ORDER_HK"), "CUSTOMER_HK": (first, "CUSTOMER_HK")})
+    assert [(r.ORDER_HK, r.ORDER_HK_ORIGIN, r.CUSTOMER_HK_ORIGIN) for r in found.collect()] == [("o2", "orders", "customer")]
