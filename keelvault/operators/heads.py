@@ -1,27 +1,28 @@
 """Satellites with heads: beside each history a table of what counts now, so a batch reads no history.
 
-A head table has the latest row of each key (of a multi-active satellite the rows of the latest set, of
+A head table has the latest row of each key (of a multi-active satellite the mark of the latest set, of
 an effectivity satellite the open relationships), laid out by buckets of the key. A batch reads and
 rewrites the buckets that it touches. The history is written by batch, so a batch that is run again,
 after a failure between the two writes or by mistake, writes the same rows in the same place, or none."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelvault.operators.load import high_date, load_eff_sat, load_ma_sat, load_sat
+from keelvault.operators.load import _last_sets, _sets, high_date, load_eff_sat, load_ma_sat, load_sat
 from keelvault.operators.stage import LDTS
-from keelvault.sources.feeds import written
+from keelvault.sources.feeds import PACKED, shared_folder
 
-BUCKET, BATCH = "_kv_bucket", "_kv_batch"
+BUCKET, BATCH, RUN = "_kv_bucket", "_kv_batch", "_kv_run"
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a satellite, without the marks of batches."""
-    return spark.read.parquet(f"{path}/rows").drop(BATCH)
+    return spark.read.parquet(f"{path}/rows").drop(BATCH, RUN)
 
 
 def _touched(batch: DataFrame, path: str, key: Sequence[str], buckets: int) -> DataFrame | None:
@@ -36,16 +37,24 @@ def _touched(batch: DataFrame, path: str, key: Sequence[str], buckets: int) -> D
     return heads.where(F.col(BUCKET).isin([r[0] for r in touched]))
 
 
-def _load(batch: DataFrame, path: str, batch_id: str, key: Sequence[str], buckets: int, load: Callable, heads_of: Callable) -> DataFrame:
-    """Load one batch: ``load(heads)`` gives its new rows, ``heads_of(old heads and new rows)`` the new heads. A
-    key never loses its last head, so no bucket is emptied."""
+def _load(batch: DataFrame, path: str, batch_id: str, key: Sequence[str], buckets: int, load: Callable, heads_of: Callable, head: Callable = lambda rows: rows) -> DataFrame:
+    """Load one batch: ``load(heads)`` gives its new rows, which go to the history and are read from there;
+    ``head(new rows)`` what is kept of them, and ``heads_of(old heads and these)`` the new heads, within
+    buckets. A key never loses its last head, so no bucket is emptied."""
+    spark, run = batch.sparkSession, uuid.uuid4().hex
     held = _touched(batch, path, key, buckets)
-    new = written(load(None if held is None else held.drop(BUCKET)), "new")
+    new = load(None if held is None else held.drop(BUCKET))
+    marked = new.withColumns({RUN: F.lit(run), BATCH: F.lit(batch_id)})
+    marked.write.option("compression", PACKED).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{path}/rows")
+    stored = spark.read.schema(marked.schema).parquet(f"{path}/rows")
+    new = stored.where((F.col(BATCH) == batch_id) & (F.col(RUN) == run)).drop(BATCH, RUN)  # a batch without new rows leaves what it wrote before
     if not new.isEmpty():
-        new.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{path}/rows")
-        heads = heads_of(new if held is None else held.select(*new.columns).unionByName(new))
-        placed = written(heads.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "heads")  # read in full before it is replaced
-        placed.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{path}/heads")
+        rows = head(new)
+        placed = (rows if held is None else held.select(*rows.columns).unionByName(rows)).withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        heads, apart = heads_of(placed.repartition(buckets, BUCKET)), f"{shared_folder(spark)}/heads"
+        heads.write.option("compression", PACKED).partitionBy(BUCKET).parquet(apart)  # made in full before the old ones are replaced
+        heads = spark.read.schema(heads.schema).parquet(apart)
+        heads.write.option("compression", PACKED).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{path}/heads")
     return new
 
 
@@ -53,8 +62,8 @@ def load_sat_with_heads(stage: DataFrame, path: str, batch_id: str, pk: str, has
     """Load a batch of a standard satellite below ``path``; gives its new rows, those of ``load_sat``."""
 
     def heads(rows: DataFrame) -> DataFrame:
-        others = [c for c in rows.columns if c not in (pk, LDTS)]
-        return rows.groupBy(pk).agg(F.max(F.struct(LDTS, *others)).alias("x")).select(pk, "x.*").select(*rows.columns)
+        others = [c for c in rows.columns if c not in (BUCKET, pk, LDTS)]
+        return rows.groupBy(BUCKET, pk).agg(F.max(F.struct(LDTS, *others)).alias("x")).select(BUCKET, pk, "x.*").select(*rows.columns)
 
     return _load(stage.where(F.col(pk).isNotNull()), path, batch_id, [pk], buckets, lambda known: load_sat(stage, None, pk, hashdiff, payload, known), heads)
 
@@ -63,10 +72,13 @@ def load_ma_sat_with_heads(stage: DataFrame, path: str, batch_id: str, pk: str,
     """Load a batch of a multi-active satellite below ``path``; gives its new rows, those of ``load_ma_sat``."""
 
     def heads(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy(F.col(pk).alias("_kv_pk")).agg(F.max(LDTS).alias("_kv_ldts"))
-        return rows.join(last, (F.col(pk) == F.col("_kv_pk")) & (F.col(LDTS) == F.col("_kv_ldts")), "left_semi")
+        last = rows.groupBy(BUCKET, pk).agg(F.max(F.struct(LDTS, "_kv_set")).alias("x"))
+        return last.select(BUCKET, pk, "x.*").select(*rows.columns)
 
-    return _load(stage.where(F.col(pk).isNotNull()), path, batch_id, [pk], buckets, lambda known: load_ma_sat(stage, None, pk, cdk, hashdiff, payload, known), heads)
+    def head(new: DataFrame) -> DataFrame:
+        return _last_sets(_sets(new, pk, cdk, hashdiff), pk)  # a member is loaded once
+
+    return _load(stage.where(F.col(pk).isNotNull()), path, batch_id, [pk], buckets, lambda known: load_ma_sat(stage, None, pk, cdk, hashdiff, payload, known), heads, head)
 
 
 def load_eff_sat_with_heads(batch: DataFrame, path: str, batch_id: str, pk: str, dfk: Sequence[str], sfk: Sequence[str], buckets: int = 64) -> DataFrame:
@@ -81,7 +93,7 @@ def load_eff_sat_with_heads(batch: DataFrame, path: str, batch_id: str, pk: str,
         return load_eff_sat(batch, None, pk, dfk, sfk, current)
 
     def heads(rows: DataFrame) -> DataFrame:
-        last = Window.partitionBy(pk).orderBy(F.col(LDTS).desc(), F.col("END_DATE").desc())  # an open row, and a closing or opening one
+        last = Window.partitionBy(BUCKET, pk).orderBy(F.col(LDTS).desc(), F.col("END_DATE").desc())  # an open row, and a closing or opening one
         latest = rows.withColumn("_kv_n", F.row_number().over(last)).where("_kv_n = 1").drop("_kv_n")
         return latest.where(F.col("END_DATE") == high_date(batch))
 
