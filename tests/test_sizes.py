@@ -1,11 +1,13 @@
 """What loads exchange and write, and forms for hot parents, against the plain forms."""
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_scale import equal, on_day, satellite_rows
 
 from keelvault.functions.hashing import packed, unpacked
-from keelvault.operators import load
+from keelvault.operators import contract, load
+from keelvault.queries import checks
 
 ARGS = ("HK", ["CHILD"], "HASHDIFF")
 
@@ -46,3 +48,20 @@ def test_repeated_rows_of_a_set_count_once(spark):
     one = load.load_ma_sat(rows, None, *ARGS, ["V"])
     assert equal(one, load.load_ma_sat(rows.unionByName(rows), None, *ARGS, ["V"]))
     assert load.late_sets(on_day(rows, 6).unionByName(on_day(rows, 6)), rows, *ARGS).count() == 0
+
+
+def test_narrow_rows_are_spread_before_they_are_made_wide(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(checks, "WIDE_ROWS", 20)
+    monkeypatch.setattr(checks.integrity, "duplicate_columns", lambda df, *a: seen.append(df.rdd.getNumPartitions()))
+    checks.v13_wide(spark, SF)
+    assert seen[0] > 4
+
+
+def test_text_that_is_no_number_is_not_parsed_as_one(spark):
+    """The guard keeps all that a decimal reads and saves the parse of words and times."""
+    texts = ["1", " 1.5 ", "+1", "-.5", "5.", "1e5", "1E-5", "1.2e+3", "\t7\n", "٣٤", "1e", "e", "--1", "1-2", "", " ", "x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN", "Infinity", "1d", "0x1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", contract.read_as(F.col("t"), "number").alias("a"), F.col("t").try_cast("decimal(38,9)").alias("b"), F.col("t").rlike(contract.NO_NUMBER).alias("no")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert {r.t for r in rows if r.no} >= {"x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN"}
