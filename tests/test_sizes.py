@@ -58,10 +58,11 @@ def test_narrow_rows_are_spread_before_they_are_made_wide(spark, monkeypatch):
     assert seen[0] > 4
 
 
-def test_text_that_is_no_number_is_not_parsed_as_one(spark):
-    """The guard keeps all that a decimal reads and saves the parse of words and times."""
-    texts = ["1", " 1.5 ", "+1", "-.5", "5.", "1e5", "1E-5", "1.2e+3", "\t7\n", "٣٤", "1e", "e", "--1", "1-2", "", " ", "x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN", "Infinity", "1d", "0x1", None]
+def test_text_of_another_type_is_not_parsed(spark):
+    """Guards keep all that a type reads and save the parse of other text."""
+    texts = ["1", " 1.5 ", "+1", "-.5", "5.", "1e5", "1E-5", "1.2e+3", "\t7\n", "٣٤", "1e", "e", "--1", "1-2", "", " ", "x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN", "Infinity", "1d", "0x1", "TRUE", " yes", "n", "F\n", "0", "truest", "+", "9" * 30, "\x017\x7f", "\u00a07", "\u2003true", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.select("t", contract.read_as(F.col("t"), "number").alias("a"), F.col("t").try_cast("decimal(38,9)").alias("b"), F.col("t").rlike(contract.NO_NUMBER).alias("no")).collect()
-    assert all(r.a == r.b for r in rows)
-    assert {r.t for r in rows if r.no} >= {"x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN"}
+    for kind, words in (("boolean", {"x", "2024-01-01", "truest", "1.2e+3"}), ("integer", {"x", " 1.5 ", "2024-01-01", "1e5"}), ("number", {"x", "2024-01-01", "2024-01-01 10:00:00", "1,5", "NaN"})):
+        rows = df.select("t", contract.read_as(F.col("t"), kind).alias("a"), F.col("t").try_cast(contract.PHYSICAL[kind]).alias("b"), F.col("t").rlike(contract.MAY_BE[kind]).alias("may")).collect()
+        assert all(r.a == r.b for r in rows) and any(r.a is not None for r in rows)
+        assert not any(r.may for r in rows if r.t in words)
