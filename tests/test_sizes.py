@@ -7,7 +7,9 @@ from test_scale import equal, on_day, satellite_rows
 
 from keelvault.functions.hashing import packed, unpacked
 from keelvault.operators import contract, load
-from keelvault.queries import checks
+from keelvault.operators.stage import Staged, StageSpec
+from keelvault.plans.spec import Link, Satellite, VaultSpec, load_bucketed_vault
+from keelvault.queries import build, checks
 
 ARGS = ("HK", ["CHILD"], "HASHDIFF")
 
@@ -66,3 +68,47 @@ def test_text_of_another_type_is_not_parsed(spark):
         rows = df.select("t", contract.read_as(F.col("t"), kind).alias("a"), F.col("t").try_cast(contract.PHYSICAL[kind]).alias("b"), F.col("t").rlike(contract.MAY_BE[kind]).alias("may")).collect()
         assert all(r.a == r.b for r in rows) and any(r.a is not None for r in rows)
         assert not any(r.may for r in rows if r.t in words)
+
+
+def exchanges(df):
+    return plan(df).count("Exchange hashpartitioning")
+
+
+def test_staged_rows_are_exchanged_before_they_are_hashed(spark):
+    """No hash crosses the exchange, loads by its key need no other, and results are those of plain stages."""
+    staged = build.line_staged(spark, SF).where("LOAD_DATETIME < '1999-01-01'")
+    args = ("LINE_HK", ["ORDER_HK", "PART_HK", "SUPPLIER_HK"], ["QUANTITY", "PRICE"], "SHIPPED")
+    link, plain = load.load_t_link(staged.rows("LINE_HK", 4), None, *args), load.load_t_link(staged.rows(), None, *args)
+    again = link.repartition(4, "LINE_HK")
+    assert exchanges(again) == 1 and plan(again).index("ORDER_HK") < plan(again).index("Exchange hashpartitioning")
+    assert equal(link, plain)
+    sets = build.multi_active_staged(spark, SF)
+    args = ("ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF", ["QUANTITY"])
+    assert exchanges(load.load_ma_sat(sets, None, *args, parts=4).repartition(4, "ORDER_HK")) == 1
+    assert equal(load.load_ma_sat(sets, None, *args), load.load_ma_sat(sets.rows(), None, *args))
+
+
+def test_staged_rows_with_keys_to_clean(spark):
+    """Blank, padded and null keys, and those with marks, lie where their hash keys say."""
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a", " A ", "", " ", None, "b|", "^^", "\\", "b"] * 3)], "k string, v int").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
+    staged = Staged(rows, StageSpec(derived={"ID": "k"}, keys={"HK": ["ID"]}, diffs={"HASHDIFF": ["v"]}, ldts="at", source="x"))
+    one = staged.rows("HK", 4)
+    assert equal(one, staged.rows())
+    assert exchanges(one.groupBy("HK").count()) == 1
+    assert {r.HK for r in one.groupBy("HK").count().where("`count` % 3 = 0").collect()} == {r.HK for r in staged.rows().select("HK").distinct().collect()}
+
+
+def test_bucketed_tables_are_met_where_rows_lie(spark, monkeypatch):
+    """A second batch of a bucketed vault exchanges the rows of its stages only, once for each use."""
+    spark.sql("CREATE DATABASE staged")
+    spec = VaultSpec(links=[Link("t_line", "lines", "LINE_HK", ["ORDER_HK"], event_time="SHIPPED", payload=["QUANTITY"])], satellites=[Satellite("sat_lines", "sets", "ORDER_HK", payload=["QUANTITY"], kind="multi_active", child_keys=["l_linenumber", "l_partkey", "l_suppkey"])])
+    stages = {"lines": build.line_staged(spark, SF), "sets": build.multi_active_staged(spark, SF)}
+    load_bucketed_vault(spark, spec, {"lines": stages["lines"].where("l_orderkey % 2 = 0"), "sets": stages["sets"].where("LOAD_DATETIME < '2002-01-15'")}, "staged", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line = load.load_t_link(stages["lines"].rows("LINE_HK", 4), spark.table("staged.t_line"), "LINE_HK", ["ORDER_HK"], ["QUANTITY"], "SHIPPED").repartition(4, "LINE_HK")
+        sets = load.load_ma_sat(stages["sets"], spark.table("staged.sat_lines"), "ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF", ["QUANTITY"], parts=4).repartition(4, "ORDER_HK")
+        assert (exchanges(line), exchanges(sets)) == (1, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
