@@ -9,10 +9,11 @@ from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from keelvault.functions.hashing import is_blank
+from keelvault.functions.hashing import is_blank, packed
 from keelvault.operators.load import current_effectivity, high_date
-from keelvault.operators.stage import LDTS, SOURCE
+from keelvault.operators.stage import LDTS, SOURCE, Staged
 
 
 def issue(rows: DataFrame, severity: str, code: str, construct: str, count: Column | None = None) -> DataFrame:
@@ -27,6 +28,11 @@ def issues(one: DataFrame, found: Sequence[tuple[str, str, str, Column]]) -> Dat
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def narrow(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash keys in half their length where they only tell rows apart, so that less is exchanged."""
+    return df.withColumns({c: packed(c) for c in keys if df.schema[c].dataType == StringType()})
+
+
 def required_columns(table: DataFrame, construct: str, kind: str, pk: str, nk: str | None = None, hashdiff: str | None = None) -> DataFrame:
     """Nulls in required columns: hash key, load time, source, of hubs the business key, of satellites
     the hashdiff (effectivity satellites have none). A column that isn't there counts for all rows."""
@@ -55,7 +61,7 @@ def bk_collision(sat_a: DataFrame, sat_b: DataFrame, construct: str, pk: str, sh
 
 def link_orphans(link: DataFrame, construct: str, hubs: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Participations without a hub row, for each foreign key ({foreign key: (hub, hub key)})."""
-    parts = [issue(link.join(hub.select(F.col(pk).alias(fk)), fk, "left_anti"), "error", "E_LINK_UNKNOWN_HUB", f"{construct}.{fk}") for fk, (hub, pk) in hubs.items()]
+    parts = [issue(narrow(link.select(fk), [fk]).join(narrow(hub.select(F.col(pk).alias(fk)), [fk]), fk, "left_anti"), "error", "E_LINK_UNKNOWN_HUB", f"{construct}.{fk}") for fk, (hub, pk) in hubs.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -78,14 +84,14 @@ def redundant_grain(one: DataFrame, other: DataFrame, construct: str, fks: Seque
 
 def txn_events(t_link: DataFrame, construct: str, pk: str, eff: str) -> DataFrame:
     """Events without a time, and rows of event keys that occur more than once."""
-    keys = t_link.groupBy(pk).agg(F.count("*").alias("n"), F.count_if(F.col(eff).isNull()).alias("none"))
+    keys = narrow(t_link.select(pk, eff), [pk]).groupBy(pk).agg(F.count("*").alias("n"), F.count_if(F.col(eff).isNull()).alias("none"))
     one = keys.agg(F.sum("none").alias("none"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"))
     code = "E_TXNLINK_NO_TIMESTAMP"
     return issues(one, [("error", code, f"{construct}.{eff}", F.col("none")), ("error", code, f"{construct}.{pk}", F.col("twice"))])
 
 
 def sat_orphans(sat: DataFrame, construct: str, pk: str, parent: DataFrame, parent_pk: str) -> DataFrame:
-    return issue(sat.join(parent.select(F.col(parent_pk).alias(pk)), pk, "left_anti"), "error", "E_SAT_UNKNOWN_PARENT", construct)
+    return issue(narrow(sat.select(pk), [pk]).join(narrow(parent.select(F.col(parent_pk).alias(pk)), [pk]), pk, "left_anti"), "error", "E_SAT_UNKNOWN_PARENT", construct)
 
 
 def empty_payload(sat: DataFrame, construct: str, payload: Sequence[str]) -> DataFrame:
@@ -155,16 +161,18 @@ def attribute_overlap(one: DataFrame, other: DataFrame, construct: str, pk: str,
     return out.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "construct", "n_rows")
 
 
-def cdk_unique(sat: DataFrame, construct: str, pk: str, cdk: Sequence[str]) -> DataFrame:
-    """Rows without a child key, and rows that share parent, child key and load time."""
+def cdk_unique(sat: DataFrame | Staged, construct: str, pk: str, cdk: Sequence[str]) -> DataFrame:
+    """Rows without a child key, and rows that share parent, child key and load time. A ``Staged`` is exchanged
+    before its hash keys are made."""
+    rows = sat.rows(pk) if isinstance(sat, Staged) else narrow(sat.select(pk, *cdk, LDTS), [pk])
     none = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cdk])
-    one = sat.groupBy(pk, *cdk, LDTS).agg(F.count("*").alias("n")).agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"))
+    one = rows.groupBy(pk, *cdk, LDTS).agg(F.count("*").alias("n")).agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"))
     return issues(one, [("error", "E_MASAT_NO_CDK", f"{construct}.null", F.col("none")), ("error", "E_MASAT_NO_CDK", f"{construct}.duplicate", F.col("twice"))])
 
 
 def parent_grain(stage: DataFrame, construct: str, pk: str) -> DataFrame:
     """Parents with several rows in one load: the relation is finer than its parent."""
-    return issue(stage.groupBy(pk, LDTS).agg(F.count("*").alias("n")).where("n > 1"), "warning", "W_MASAT_SHARED_GRAIN", construct)
+    return issue(narrow(stage.select(pk, LDTS), [pk]).groupBy(pk, LDTS).agg(F.count("*").alias("n")).where("n > 1"), "warning", "W_MASAT_SHARED_GRAIN", construct)
 
 
 def driving_key_exclusive(eff: DataFrame, construct: str, pk: str, dfk: Sequence[str]) -> DataFrame:

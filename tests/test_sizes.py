@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_scale import equal, on_day, satellite_rows
 
 from keelvault.functions.hashing import packed, unpacked
-from keelvault.operators import contract, load
+from keelvault.operators import contract, integrity, load
 from keelvault.operators.stage import Staged, StageSpec
 from keelvault.plans.spec import Link, Satellite, VaultSpec, load_bucketed_vault
 from keelvault.queries import build, checks
@@ -112,3 +112,13 @@ def test_bucketed_tables_are_met_where_rows_lie(spark, monkeypatch):
         assert (exchanges(line), exchanges(sets)) == (1, 2)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_integrity_checks_exchange_narrow_keys(spark):
+    """Checks that only tell keys apart exchange them as bytes, or source values before keys are made."""
+    lines, args = build.multi_active_staged(spark, SF), ("lines", "ORDER_HK", ["l_linenumber"])
+    staged, plain = integrity.cdk_unique(lines, *args), integrity.cdk_unique(lines.rows(), *args)
+    assert exchanges(staged) == 1 and "Exchange hashpartitioning(ORDER_HK" not in plan(staged)
+    assert staged.collect() == plain.collect()
+    for df in (plain, integrity.parent_grain(lines.rows(), "lines", "ORDER_HK"), integrity.txn_events(build.line_stage(spark, SF), "lines", "ORDER_HK", "SHIPPED")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("unhex(") > 0
