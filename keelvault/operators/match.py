@@ -40,24 +40,27 @@ def match_tokens(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
     A pair with ``least`` shared tokens shares one of the rarest tokens of both: all of a record's
     tokens that the other table has but the ``least`` - 1 most frequent. So records meet by their
     rare tokens only, and what they share is counted on their whole sets. With ``most_documents``
-    tokens that more records of ``b`` have are left out as saying nothing (a frequency rule)."""
-    left = a.select(F.col(a_id).alias("id"), F.explode(tokens(a_text, 2, tuple(stop))).alias("token"))
+    tokens that more records of ``b`` have are left out as saying nothing (a frequency rule).
+
+    Texts of ``a`` are split once, and those of their tokens that ``b`` has are written as hashes."""
+    words = a.select(F.col(a_id).alias("id"), F.explode(F.array_distinct(F.split(a_text, "[^0-9a-zA-Z]+"))).alias("w"))
+    left = words.select("id", F.upper("w").alias("token")).where((F.length("token") >= 2) & ~F.col("token").isin(*stop))  # as ``tokens``
     right = b.select(F.col(b_id).alias("id"), F.explode(tokens(b_text, 2, tuple(stop))).alias("token"))
-    counts = [df.groupBy("token").agg(F.count("*").alias(n)) for df, n in ((left, "k"), (right, "n"))]
-    common = counts[0].join(counts[1], "token")
+    counts = right.groupBy("token").agg(F.count("*").alias("n"))
     if most_documents is not None:
-        common = common.where(F.col("n") <= most_documents)
-    common = common.select(F.col("token").alias("_kv_token"), F.struct((F.col("k") * F.col("n")).alias("n"), F.xxhash64("token").alias("t")).alias("x"))
+        counts = counts.where(F.col("n") <= most_documents)
+    held = written(left.join(counts, "token").select("id", F.xxhash64("token").alias("t"), "n"), "tokens")
+    common = held.groupBy("t").agg((F.count("*") * F.max("n")).alias("n")).select(F.col("t").alias("_kv_t"), F.struct("n", "t").alias("x"))
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        sets = df.join(common, F.col("token") == F.col("_kv_token")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # a record's tokens
+        sets = df.join(common, F.col("t") == F.col("_kv_t")).groupBy("id").agg(F.sort_array(F.collect_set("x")).alias("x"))  # a record's tokens
         return sets.where(F.size("x") >= least).select(F.col("id").alias(f"{name}_id"), F.transform("x", lambda x: x["t"]).alias(f"{name}_set"))
 
     def rare(df: DataFrame, name: str) -> DataFrame:
         of = F.col(f"{name}_set")
         return df.select("*", F.explode(F.slice(of, F.lit(1), F.size(of) - (least - 1))).alias("t"))
 
-    one, other = ranked(left, "a"), ranked(right, "b")
+    one, other = ranked(held.select("id", "t"), "a"), ranked(right.select("id", F.xxhash64("token").alias("t")), "b")
     met = rare(one, "a").select("a_id", "t").join(rare(other, "b").select("b_id", "t"), "t").select("a_id", "b_id").distinct()
     full = met.join(other, "b_id").join(one, "a_id").select("a_id", "b_id", F.size(F.array_intersect("a_set", "b_set")).cast("long").alias("n_shared"))
     return full.where(F.col("n_shared") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_scale import equal, on_day, satellite_rows
 
 from keelvault.functions.hashing import packed, unpacked
-from keelvault.operators import contract, integrity, load
+from keelvault.operators import contract, integrity, load, match
 from keelvault.operators.stage import Staged, StageSpec
 from keelvault.plans.spec import Link, Satellite, VaultSpec, load_bucketed_vault
 from keelvault.queries import build, checks
@@ -122,3 +122,16 @@ def test_integrity_checks_exchange_narrow_keys(spark):
     assert staged.collect() == plain.collect()
     for df in (plain, integrity.parent_grain(lines.rows(), "lines", "ORDER_HK"), integrity.txn_events(build.line_stage(spark, SF), "lines", "ORDER_HK", "SHIPPED")):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("unhex(") > 0
+
+
+def test_texts_are_split_once_for_their_tokens(spark):
+    """Pairs are those of the tokens, and the plan of the pairs holds no text of the larger side."""
+    texts = ["one two three four", "ONE-two, Three  the of", "straße ıx ﬁne one_two", "", " ,", "a b c", None, "two Two TWO one three", "four five\nsix"]
+    a = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, long_text string")
+    b = spark.createDataFrame([(i, t) for i, t in enumerate(reversed(texts))], "j int, t string")
+    sets = {t: set(r) for t, r in b.select("t", match.tokens("t", 2, match.STOP_TOKENS)).collect() if r is not None}
+    for least in (1, 2, 3):
+        got = match.match_tokens(a, b, "i", "long_text", "j", "t", least=least)
+        assert "long_text" not in plan(got)
+        want = {(i, j, len(sets[x] & sets[y])) for i, x in enumerate(texts) for j, y in enumerate(reversed(texts)) if x is not None and y is not None and len(sets[x] & sets[y]) >= least}
+        assert want and {tuple(r) for r in got.collect()} == want
