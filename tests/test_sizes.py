@@ -88,6 +88,25 @@ def test_staged_rows_are_exchanged_before_they_are_hashed(spark):
     assert equal(load.load_ma_sat(sets, None, *args), load.load_ma_sat(sets.rows(), None, *args))
 
 
+def test_tasks_are_sized_by_rows(spark, monkeypatch):
+    """Many rows are dealt into parts by their number, whatever few bytes of them cross the exchange."""
+    sets = build.multi_active_staged(spark, SF)
+    args = ("ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF", ["QUANTITY"])
+    held = load.load_ma_sat(sets.where("LOAD_DATETIME < '2002-01-15'"), None, *args)
+    cores = spark.sparkContext.defaultParallelism
+    n = sets.rows().count()
+    monkeypatch.setattr(load, "TASK_ROWS", n // (3 * cores))
+    for target in (None, held):
+        many = load.load_ma_sat(sets, target, *args)
+        assert f"{-(-n // load.TASK_ROWS)}), REPARTITION_BY_NUM" in plan(many)
+        largest = many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 3 * load.TASK_ROWS
+    monkeypatch.setattr(load, "TASK_ROWS", 1 << 19)
+    few = load.load_ma_sat(sets, held, *args)
+    assert "REPARTITION_BY_NUM" not in plan(few) and equal(few, many) and few.count() > 0
+    assert load.load_ma_sat(sets.where("l_orderkey < 0"), held, *args).count() == 0
+
+
 def test_staged_rows_with_keys_to_clean(spark):
     """Blank, padded and null keys, and those with marks, lie where their hash keys say."""
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a", " A ", "", " ", None, "b|", "^^", "\\", "b"] * 3)], "k string, v int").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
