@@ -5,10 +5,10 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_scale import equal, on_day, satellite_rows
 
-from keelvault.functions.hashing import packed, unpacked
+from keelvault.functions.hashing import hash_key, packed, unpacked
 from keelvault.operators import contract, integrity, load, match
 from keelvault.operators.stage import Staged, StageSpec
-from keelvault.plans.spec import Link, Satellite, VaultSpec, load_bucketed_vault
+from keelvault.plans.spec import Link, Satellite, VaultSpec, buckets_for, load_bucketed_vault
 from keelvault.queries import build, checks
 
 ARGS = ("HK", ["CHILD"], "HASHDIFF")
@@ -154,3 +154,86 @@ def test_texts_are_split_once_for_their_tokens(spark):
         assert "long_text" not in plan(got)
         want = {(i, j, len(sets[x] & sets[y])) for i, x in enumerate(texts) for j, y in enumerate(reversed(texts)) if x is not None and y is not None and len(sets[x] & sets[y]) >= least}
         assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_numbers_and_dates_are_hashed_without_cleaning(spark):
+    """Keys are those of the cleaned text, whatever the types, and the plan cleans text only."""
+    rows = [(-5, 2**40, "-0.50", "1.5", " a|b ", "2024-01-05", True), (0, -1, "0.00", "NaN", "^^", "0001-01-01", False), (7, 10**18, "12345678901234567.89", "-0.0", "", "9999-12-31", None), (None,) * 7]
+    df = spark.createDataFrame(rows, "i int, l long, d string, x string, t string, a string, b boolean").selectExpr("i", "l", "CAST(l % 100 AS smallint) AS s", "CAST(d AS decimal(20,2)) AS d", "CAST(d AS decimal(38,18)) AS e", "CAST(x AS double) AS x", "t", "CAST(a AS date) AS a", "CAST(a AS timestamp) AS at", "b")
+    for cols in [[c] for c in df.columns] + [df.columns, [F.col("d") + 1, "t"]]:
+        both = df.select(hash_key(cols).alias("plain"), hash_key(cols, df).alias("typed"))
+        assert all(r.plain == r.typed for r in both.collect())
+    assert "upper(" not in plan(df.select(hash_key(["i", "l", "s", "d", "a"], df))) and "upper(" in plan(df.select(hash_key(["b"], df)))
+
+
+def test_marks_of_sets_stay_as_they_are(spark):
+    """Marks are kept in head tables: sums of halves give what sums of whole hashes gave."""
+    rows = satellite_rows(spark)
+    values = [F.col("CHILD"), F.col("CHILD").isNull(), F.col("HASHDIFF")]
+    sums = [F.sum(F.xxhash64(F.lit(i), *values).cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    old = rows.groupBy("HK", "LOAD_DATETIME").agg(F.unhex(F.md5(F.concat_ws(",", F.count("*").cast("string"), *sums).cast("binary"))).alias("_kv_set"))
+    assert equal(load._sets(rows, *ARGS), old)
+    last = old.groupBy("HK").agg(F.max("LOAD_DATETIME").alias("LOAD_DATETIME"), F.max_by("_kv_set", "LOAD_DATETIME").alias("_kv_set"))
+    assert equal(load.set_marks(rows.unionByName(rows), *ARGS), last)
+
+
+def test_sets_of_one_load_time(spark, monkeypatch):
+    """A batch of one load time needs no look at the set before within the batch, with the same result."""
+    rows = satellite_rows(spark)
+    rows, first = rows.unionByName(rows.where("V = 1")), load.load_ma_sat(on_day(rows, 2), None, *ARGS, ["V"])
+    batch = rows.where("LOAD_DATETIME = CAST('2026-01-04' AS timestamp)")
+    short = [load.load_ma_sat(batch, t, *ARGS, ["V"]) for t in (None, first)]
+    cells = load._cells
+    monkeypatch.setattr(load, "_cells", lambda *a: (*cells(*a)[:2], False))
+    whole = [load.load_ma_sat(batch, t, *ARGS, ["V"]) for t in (None, first)]
+    for a, b in zip(short, whole, strict=True):
+        assert equal(a, b) and 0 < a.count() and plan(a).count("lag(") == 0 < plan(b).count("lag(")
+    assert short[1].count() < short[0].count()
+    assert not cells(rows, "HK")[2] and not cells(batch.withColumn("LOAD_DATETIME", F.when(F.col("V") > 1, F.col("LOAD_DATETIME"))), "HK")[2] and not cells(batch.limit(0), "HK")[2]
+
+
+def test_known_events_are_left_out_before_they_are_hashed(spark):
+    """Of a repeated batch only the key is hashed; ties and repeated events count as in the plain form."""
+    lines = build.line_staged(spark, SF)
+    lines = Staged(lines.df.unionByName(lines.df.withColumn("l_quantity", F.col("l_quantity") + F.col("l_linenumber") % 3)), lines.spec)
+    args = ("LINE_HK", ["ORDER_HK", "PART_HK", "SUPPLIER_HK"], ["QUANTITY", "PRICE"], "SHIPPED")
+    held = load.load_t_link(lines.where("LOAD_DATETIME < '1998-01-01'").rows(), None, *args)
+    held.write.saveAsTable("held_lines")
+    held = spark.table("held_lines")
+    for target in (None, held):
+        new = load.load_t_link(lines, target, *args, parts=4)
+        assert equal(new, load.load_t_link(lines.rows(), target, *args)) and new.count() > 0
+    below = plan(new).split("LeftAnti")[1]
+    assert "AS LINE_HK" in below and "AS ORDER_HK" not in below and "AS PART_HK" not in below
+    assert load.load_t_link(lines.where("LOAD_DATETIME < '1998-01-01'"), held, *args, parts=4).count() == 0
+    own = Staged(lines.df.withColumn("LINE_HK", F.md5(F.col("l_orderkey").cast("string"))), lines.spec)  # the source's own column wins
+    assert equal(load.load_t_link(own, held, *args, parts=4), load.load_t_link(own.rows(), held, *args))
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """Tables get buckets by what they will hold, each its own number, with the same rows."""
+    assert (buckets_for(0), buckets_for(8 << 19), buckets_for((8 << 19) + 1), buckets_for(216_000_000)) == (8, 8, 9, 412)
+    lines, sets = build.line_staged(spark, SF), build.multi_active_staged(spark, SF)
+    spec = VaultSpec(links=[Link("t_line", "lines", "LINE_HK", ["ORDER_HK"], event_time="SHIPPED", payload=["QUANTITY"])], satellites=[Satellite("sat_lines", "sets", "ORDER_HK", payload=["QUANTITY"], kind="multi_active", child_keys=["l_linenumber", "l_partkey", "l_suppkey"])])
+    found = []
+    for name, buckets in (("apart", {"t_line": 5, "sat_lines": 3}), ("alike", 4)):
+        spark.sql(f"CREATE DATABASE {name}")
+        for batch in (sets.where("LOAD_DATETIME < '2002-01-15'"), sets.where("LOAD_DATETIME > '2002-01-15'")):
+            load_bucketed_vault(spark, spec, {"lines": lines, "sets": batch}, name, buckets)
+        found.append([spark.table(f"{name}.{t}") for t in ("t_line", "sat_lines")])
+        has = [spark.sql(f"DESCRIBE EXTENDED {name}.{t}").where("col_name = 'Num Buckets'").first().data_type for t in ("t_line", "sat_lines")]
+        assert has == (["5", "3"] if name == "apart" else ["4", "4"])
+    assert all(equal(a, b) for a, b in zip(*found, strict=True))
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args):
+        found.append(args[-1])
+        raise Stop
+
+    monkeypatch.setattr(build, "load_bucketed_vault", stop)
+    monkeypatch.setattr(load, "TASK_ROWS", 500)
+    with pytest.raises(Stop):
+        build.l15_parts(spark, SF)
+    assert found[-1]["t_line"] == found[-1]["sat_lines"] == -(-lines.df.count() // 500) > 8 and found[-1]["hub_customer"] == 8
