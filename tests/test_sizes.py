@@ -237,3 +237,34 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
     with pytest.raises(Stop):
         build.l15_parts(spark, SF)
     assert found[-1]["t_line"] == found[-1]["sat_lines"] == -(-lines.df.count() // 500) > 8 and found[-1]["hub_customer"] == 8
+
+
+def test_late_sets_are_exchanged_before_they_are_hashed(spark, monkeypatch):
+    """Staged rows cross the exchange without hashes, into parts by their number, and give what plain rows give."""
+    sets, args = build.multi_active_staged(spark, SF), ("ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF")
+    other = sets.then(lambda df: df.withColumn("HASHDIFF", F.when(F.col("l_orderkey") % 30 == 0, F.md5("HASHDIFF")).otherwise(F.col("HASHDIFF"))))
+    held = load.load_ma_sat(sets, None, *args, ["QUANTITY"])
+    plain = load.late_sets(other.rows(), held, *args)
+    few = load.late_sets(other, held, *args)
+    monkeypatch.setattr(load, "TASK_ROWS", 500)
+    many = load.late_sets(other, load.load_ma_sat(sets, None, *args, ["QUANTITY"]), *args)
+    assert "unhex(ORDER_HK" not in plan(many) and "REPARTITION_BY_NUM" in plan(many) and "Exchange hashpartitioning(ORDER_HK" not in plan(many)
+    assert few.columns == plain.columns and equal(few, plain) and equal(many, plain) and plain.count() > 0
+    assert load.late_sets(other.where("l_orderkey < 0"), held, *args).count() == 0
+    monkeypatch.setattr(load, "HOT_ROWS", 10)
+    monkeypatch.setattr(load, "HOT_TIMES", 0)
+    assert load._hot(other.rows(), "ORDER_HK") and equal(load.late_sets(other, held, *args), plain)
+
+
+def test_keys_are_not_made_again_to_tell_nulls_apart(spark):
+    """Joins by keys that cross an exchange as bytes add no filter with the hash in it again and again."""
+    rows, args = build.multi_active(spark, SF), ("ORDER_HK", ["l_linenumber", "l_partkey", "l_suppkey"], "HASHDIFF")
+    held = load.load_ma_sat(rows, None, *args, ["QUANTITY"])
+    marks = load.set_marks(held, *args)
+    for df in (load.late_sets(rows, held, *args), load.load_ma_sat(rows, None, *args, ["QUANTITY"], known=marks)):
+        conditions = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert conditions and not [c for c in conditions if "concat_ws(||" in c]  # marks of sets have commas
+    nulls = rows.withColumn("ORDER_HK", F.when(F.col("l_orderkey") % 3 > 0, F.col("ORDER_HK")))
+    keyed = rows.where("l_orderkey % 3 > 0")
+    assert equal(load.load_ma_sat(nulls, None, *args, ["QUANTITY"]), load.load_ma_sat(keyed, None, *args, ["QUANTITY"]))
+    assert equal(load.late_sets(nulls, held, *args), load.late_sets(keyed, held, *args))
