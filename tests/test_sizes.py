@@ -268,3 +268,18 @@ def test_keys_are_not_made_again_to_tell_nulls_apart(spark):
     keyed = rows.where("l_orderkey % 3 > 0")
     assert equal(load.load_ma_sat(nulls, None, *args, ["QUANTITY"]), load.load_ma_sat(keyed, None, *args, ["QUANTITY"]))
     assert equal(load.late_sets(nulls, held, *args), load.late_sets(keyed, held, *args))
+
+
+def test_targets_like_the_batch_are_marked_as_a_whole(spark):
+    """A target that isn't much larger than the batch needs no search for the batch's parents, with the same result."""
+    rows = satellite_rows(spark)
+    first = load.load_ma_sat(on_day(rows, 2), None, *ARGS, ["V"])
+    n, some = first.count(), rows.where("HK IN ('k1', 'k2', 'k3')")
+    late = on_day(some, 2).withColumn("HASHDIFF", F.when(F.col("CHILD") == 1, "z").otherwise(F.col("HASHDIFF")))
+    assert some.count() * load.WHOLE < 4 * n and 0 < n <= load.WHOLE * rows.count()
+    for batch, held in ((rows, n), (some, 4 * n), (some, 0)):
+        whole, found = (load.load_ma_sat(batch, first, *ARGS, ["V"], target_rows=r) for r in (held, None))
+        assert ("LeftSemi" in plan(whole)) == (held > load.WHOLE * batch.count()) and "LeftSemi" in plan(found)
+        assert equal(whole, found) and whole.count() > 0
+    kept_out = load.late_sets(late, first, *ARGS, target_rows=0)
+    assert equal(kept_out, load.late_sets(late, first, *ARGS)) and kept_out.count() > 0 and "LeftSemi" not in plan(kept_out)
